@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, secrets
 
 
 def queries():
     return {
+        "op2_secret_scan": secrets.query,
         "op6_quality_rules": quality.query,
     }
 
