@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import bpe, quality, secrets
 
 
 def queries():
     return {
+        "op4_bpe": bpe.query,
         "op2_secret_scan": secrets.query,
         "op6_quality_rules": quality.query,
     }
