@@ -37,6 +37,8 @@ TOGETHER = (8, 12, 16, 24, 40)
 #: Bytes of the longest token that is proposed; any proposal is right if it holds.
 REACH = 8
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Fixed value: how the vocabulary's pre-tokeniser cuts words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = np.iinfo(np.int64).max
 
 
@@ -94,15 +96,19 @@ class ByteBPE:
         self.byte_id = np.array([self.id_of.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.pair_key = np.array([k for k, _ in pairs], np.int64)
         self.pair_rank = np.array([r for _, r in pairs], np.int64)
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.pieces = regex.compile(r"\s*\S+|\s+")
-        self.doubled = re.compile(r"\s\x20")
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self._cutters(self.special)
         #: Tokens that merging their own bytes gives; others are never taken from a proposal.
         self.sound = np.array([not b or len(b) == 1 or self.merged(b) == [i] for i, b in enumerate(self.bytes_of)])
-        self.table: dict[str, bytes] = {}
         self.stats = {"words": 0, "merged": 0}
 
+    def _cutters(self, special: dict[str, int]) -> None:
+        self.special = special
+        self.words = regex.compile(PATTERN)
+        self.pieces = regex.compile(r"\s*\S+|\s+")
+        self.doubled = re.compile(r"\s\x20")
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.table: dict[str, bytes] = {}
+
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: always the pair of least rank, leftmost first."""
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, secrets
+from . import bpe, packing, quality, secrets
 
 
 def queries():
     return {
+        "op9_packing": packing.query,
         "op4_bpe": bpe.query,
         "op2_secret_scan": secrets.query,
         "op6_quality_rules": quality.query,
