@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, secrets
+from . import bpe, packing, quality, secrets, warc
 
 
 def queries():
     return {
+        "op8_warc": warc.query,
         "op9_packing": packing.query,
         "op4_bpe": bpe.query,
         "op2_secret_scan": secrets.query,
@@ -15,4 +16,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op8_warc": warc.ORACLE_SQL,
+    }
