@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, secrets, warc
+from . import bpe, packing, pii, quality, secrets, warc
 
 
 def queries():
     return {
+        "op10_pii": pii.query,
         "op8_warc": warc.query,
         "op9_packing": packing.query,
         "op4_bpe": bpe.query,
