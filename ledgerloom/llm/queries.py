@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, pii, quality, secrets, warc
+from . import bpe, gif, packing, pii, quality, secrets, warc
 
 
 def queries():
     return {
+        "op1_gif_media": gif.query,
         "op10_pii": pii.query,
         "op8_warc": warc.query,
         "op9_packing": packing.query,
