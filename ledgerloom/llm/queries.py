@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, packing, pii, quality, secrets, warc
+from . import bpe, gif, packing, pii, quality, secrets, toxicity, warc
 
 
 def queries():
     return {
+        "op7_toxicity": toxicity.query,
         "op1_gif_media": gif.query,
         "op10_pii": pii.query,
         "op8_warc": warc.query,
