@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, jaccard, packing, pii, quality, secrets, toxicity, warc
+from . import bpe, gif, jaccard, packing, pii, quality, secrets, suffixes, toxicity, warc
 
 
 def queries():
     return {
+        "op5_suffix_dedup": suffixes.query,
         "op3_ngram_jaccard": jaccard.query,
         "op7_toxicity": toxicity.query,
         "op1_gif_media": gif.query,
