@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, gif, jaccard, packing, pii, quality, secrets, suffixes, toxicity, warc
 
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op5_suffix_dedup": suffixes.query,
         "op3_ngram_jaccard": jaccard.query,
         "op7_toxicity": toxicity.query,
