@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
+from .operators import aggregates, scoring
+from .plans import costs, routing
+
 Query = Callable[[SparkSession, str], DataFrame]
+STATEMENTS: dict[str, str] = scoring.QUERIES | aggregates.QUERIES | costs.QUERIES | routing.QUERIES
+
+
+def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql.run(spark, sf_dir, text)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: partial(_run, text) for name, text in STATEMENTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.duck(text) for name, text in STATEMENTS.items()}
