@@ -7,12 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql
+from . import frames, sql
+from .functions import text
 from .operators import aggregates, scoring
 from .plans import costs, routing
 
 Query = Callable[[SparkSession, str], DataFrame]
-STATEMENTS: dict[str, str] = scoring.QUERIES | aggregates.QUERIES | costs.QUERIES | routing.QUERIES
+STATEMENTS: dict[str, str] = scoring.QUERIES | aggregates.QUERIES | costs.QUERIES | routing.QUERIES | text.QUERIES
 
 
 def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: partial(_run, text) for name, text in STATEMENTS.items()}
+    return {name: partial(_run, text) for name, text in STATEMENTS.items()} | frames.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

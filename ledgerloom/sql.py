@@ -46,7 +46,6 @@ def duck(sql: str) -> str:
     text = text.replace("/*g*/", ", 'g'").replace("LEFT ANTI JOIN", "ANTI JOIN").replace("percentile(", "quantile_cont(").replace("regexp_like(", "regexp_matches(")
     text = re.sub(r"weekday\(([^()]+)\)", r"(isodow(\1) - 1)", text)
     text = re.sub(r"sha2\(([^()]+), 256\)", r"sha256(\1)", text)
-    text = re.sub(r"date_add\(([^(),]+), ([^()]+|\([^()]*\))\)", r"CAST(\1 + CAST(\2 AS INTEGER) AS DATE)", text)
     text = re.sub(r"timestampdiff\(SECOND, ", "date_diff('second', ", text)
     return text
 
