@@ -14,8 +14,8 @@ after that are compared tile by tile on bitmaps, and what passes exactly.
 Fingerprints travel as packed blocks: a few bytes each, a block per key range. Equal sets of a block are sent once.
 
 Defined results: a null or empty text, or one of white space, has the empty set and is linked with nothing; repeated
-rows are linked; texts of any length count whole; null ids are carried along; an empty table gives an empty result;
-extra columns are ignored by ``jaccard_classes`` and kept by ``drop_near_duplicates``.
+rows are linked, and rows that share an id stay or go together; texts of any length count whole; a null id is less than
+all others; an empty table gives an empty result; extra columns are ignored by ``jaccard_classes`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 16000
 BITS, SIDE = 8, 512
 _PAIR = np.dtype([("sig", "<u4"), ("at", "<u2")])
 _HIGH = 1 << 15
+NO_ID = -(1 << 63)
 
 
 class Bands:
@@ -278,7 +279,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(docs).alias("text"))
     made = staged(texts.mapInArrow(_emit(width, percent, buckets(spark)), STAGED), "shingles")
     rows = made.filter("bucket IS NULL").select("doc_id", "node", "n", "key")
     met = staged(made.filter("bucket IS NOT NULL").select("bucket", "node", "block").groupBy("bucket").applyInArrow(_meet, MEETINGS), "meetings")
@@ -320,7 +321,8 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         comps = components(links)
     placed = rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return placed.join(least, "component").select(known("doc_id"), F.col("n").alias("n_shingles"), known("component_id"))
 
 
 def _pack_sets(width: int):
@@ -343,8 +345,8 @@ def _pack_sets(width: int):
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs in their own columns, of each class the one with the smallest doc_id."""
     classes = jaccard_classes(docs, width, percent)
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
