@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import frames, sql
 from .functions import text
 from .operators import aggregates, scoring
-from .plans import costs, routing
+from .plans import costs, gates, routing
 
 Query = Callable[[SparkSession, str], DataFrame]
-STATEMENTS: dict[str, str] = scoring.QUERIES | aggregates.QUERIES | costs.QUERIES | routing.QUERIES | text.QUERIES
+STATEMENTS: dict[str, str] = scoring.QUERIES | aggregates.QUERIES | costs.QUERIES | routing.QUERIES | gates.QUERIES | text.QUERIES
 
 
 def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:

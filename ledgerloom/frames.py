@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .functions import fuzzy, parsing
-from .operators.resampling import bootstrap_ci
+from .operators.resampling import bootstrap_ci, stratified_sample
 from .streaming import jobs
 
 
@@ -134,7 +134,13 @@ def mixed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.filter(F.col("rn") <= F.round(100 * F.col("weight"))).select("task", "item_id")
 
 
+def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred calls, in proportion to tasks."""
+    return stratified_sample(sql.run(spark, sf_dir, "SELECT seq, task, model_id FROM calls"), "task", 100, "seq")
+
+
 QUERIES = {
+    "stratified_sample": sample,
     "bootstrap_ci": bootstrap,
     "corrected_pass_rate_ci": corrected_rate,
     "fuzzy_similarity": fuzzy_similarity,

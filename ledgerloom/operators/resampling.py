@@ -1,7 +1,8 @@
-"""Bootstrap intervals by multiplicities: what a resample is, for sums, is how often it takes each row.
+"""Bootstrap intervals of ratios of sums.
 
-For a group of k rows the multiplicities of all resamples are drawn once per distinct k, joined on (k, position), and
-each resample's statistic is a ratio of weighted sums: one join and one aggregation, no resample is ever built.
+A group is dealt by a hash to strata of some hundred rows; each stratum is resampled on its own, on arrays, and the
+strata's sums add up to the group's (a stratified bootstrap; a group of one stratum is the plain one). A hot group is as
+many strata as it needs, so no task holds more than one stratum's rows at a time, and each sends one row a resample.
 """
 
 from __future__ import annotations
@@ -10,40 +11,63 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Rows of a group up to which multiplicities are drawn; larger groups are cut into as many parts of equal size, whose
-#: resamples are independent and add up (a stratified bootstrap).
 STRATUM = 500
 
 
-def multiplicities(spark, sizes: list[int], resamples: int, seed: int) -> DataFrame:
-    """(k, pos, b, times) for each size k: bounded by the number of sizes up to STRATUM."""
-
-    def draw(batches):
-        for pdf in batches:
-            for k in pdf["k"]:
-                rng = np.random.default_rng([seed, int(k)])
-                for b in range(resamples):
-                    times = np.bincount(rng.integers(0, k, k), minlength=k)
-                    at = np.flatnonzero(times)
-                    yield pd.DataFrame({"k": k, "pos": at, "b": b, "times": times[at]})
-
-    return spark.createDataFrame([(k,) for k in sizes], "k int").repartition(max(1, len(sizes))).mapInPandas(draw, "k int, pos int, b int, times int")
-
-
-def bootstrap_ci(scores: DataFrame, keys: list[str], top: str, bottom: str, order: str, resamples: int = 200, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """keys, estimate, low and high of sum(top) / sum(bottom)."""
-    spark = scores.sparkSession
-    sized = scores.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    parts = F.ceil(F.col("__n") / STRATUM).cast("int")
-    placed = sized.withColumn("__part", F.pmod(F.row_number().over(Window.partitionBy(*keys).orderBy(order)), parts))
-    inside = Window.partitionBy(*keys, "__part")
-    placed = placed.withColumn("pos", F.row_number().over(inside.orderBy(order)) - 1).withColumn("k", F.count(F.lit(1)).over(inside).cast("int"))
-    sizes = [r[0] for r in placed.select("k").distinct().collect()]  # at most STRATUM + 1 values
-    drawn = placed.join(multiplicities(spark, sizes, resamples, seed), ["k", "pos"])
-    each = drawn.groupBy(*keys, "b").agg((F.sum(F.col(top) * F.col("times")) / F.sum(F.col(bottom) * F.col("times"))).alias("v"))
-    low, high = int(alpha / 2 * resamples), max(0, int((1 - alpha / 2) * resamples) - 1)
-    bounds = each.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("v")).select(*keys, F.get("v", F.lit(low)).alias("low"), F.get("v", F.lit(high)).alias("high"))
-    whole = scores.groupBy(*keys).agg((F.sum(top) / F.sum(bottom)).alias("estimate"))
-    return whole.join(bounds, keys)
+def bootstrap_ci(scores: DataFrame, keys: list[str], top: str, bottom: str, order: str, resamples: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """keys, estimate, low and high of sum(top) / sum(bottom).
+
+    order names the rows of a group, so that draws don't depend on partitioning. A null statistic counts as 0; resamples
+    whose bottom is 0 are left out; a group without any gets null bounds.
+    """
+    sums = scores.groupBy(*keys).agg(F.sum(top).alias("__top"), F.sum(bottom).alias("__bottom"), F.count(F.lit(1)).alias("__n"))
+    parts = F.ceil(F.col("__n") / STRATUM).cast("long")
+    placed = scores.join(sums.select(*keys, "__n"), keys).select(
+        *keys, F.pmod(F.xxhash64(order), parts).alias("__part"), F.col(order).alias("__order"), F.coalesce(F.col(top).cast("double"), F.lit(0.0)).alias("__t"), F.coalesce(F.col(bottom).cast("double"), F.lit(0.0)).alias("__b")
+    )
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.select(*keys).schema.fields)
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__order", "__t", "__b"])
+        k, part = len(pdf), int(pdf["__part"].iloc[0])
+        taken = np.random.default_rng([seed, part, k]).integers(0, k, (resamples, k))
+        out = pd.DataFrame({"__resample": np.arange(resamples), "__t": pdf["__t"].to_numpy()[taken].sum(1), "__b": pdf["__b"].to_numpy()[taken].sum(1)})
+        for c in reversed(keys):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    drawn = placed.groupBy(*keys, "__part").applyInPandas(resample, f"{names}, __resample int, __t double, __b double")
+    each = drawn.groupBy(*keys, "__resample").agg(F.sum("__t").alias("t"), F.sum("__b").alias("b"))
+    ratios = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("b") != 0, F.col("t") / F.col("b")))).alias("v"))
+    n = F.size("v")
+    low = F.greatest(F.lit(0), F.least(n - 1, F.floor(n * (alpha / 2)).cast("int")))
+    high = F.greatest(F.lit(0), F.least(n - 1, F.floor(n * (1 - alpha / 2)).cast("int") - 1))
+    bounds = ratios.select(*keys, F.get("v", low).alias("low"), F.get("v", high).alias("high"))
+    estimate = F.when(F.col("__bottom") != 0, F.col("__top") / F.col("__bottom"))
+    return sums.select(*keys, estimate.alias("estimate")).join(bounds, keys)
+
+
+def stratified_sample(df: DataFrame, key: str, n: int, order: str, seed: int = 7) -> DataFrame:
+    """About proportional sample of n rows: floors of the shares, and one more for the largest groups while any are left.
+
+    Within a group the rows with the least hashes are taken; only rows whose hash is near enough are ranked.
+    """
+    counts = df.groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    if n <= 0 or not total:
+        return df.limit(0)
+    if n >= total:
+        return df
+    from pyspark.sql.window import Window
+
+    shares = counts.withColumn("__base", F.floor(F.col("count") * n / total))
+    rest = n - shares.agg(F.sum("__base")).first()[0]
+    ranked = shares.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("count"), key)))  # a row a group
+    quota = ranked.select(F.col(key).alias("__key"), "count", (F.col("__base") + (F.col("__rank") <= rest).cast("long")).alias("__take"))
+    chance = F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    near = df.join(quota, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__chance", chance)
+    # well above the share, so that ranking drops nothing that belongs to the sample
+    near = near.filter(F.col("__chance") <= (F.col("__take") + 12 * F.sqrt(F.col("__take") + 1.0) + 30) / F.col("count"))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__chance", order))
+    return near.withColumn("__place", place).filter(F.col("__place") <= F.col("__take")).select(*df.columns)

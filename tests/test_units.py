@@ -5,9 +5,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import sql
+from ledgerloom import catalog, sql  # noqa: F401  the catalog registers the relations
 from ledgerloom.functions import fuzzy, parsing, text
-from ledgerloom.operators.resampling import bootstrap_ci
+from ledgerloom.operators.resampling import bootstrap_ci, stratified_sample
 
 
 def one(spark, statement):
@@ -85,3 +85,10 @@ def test_bootstrap_covers(spark):
     df = spark.range(1200).select((F.col("id") % 2).alias("g"), "id", (F.col("id") % 5 < 2).cast("int").alias("ok"), F.lit(1).alias("one"))
     for r in bootstrap_ci(df, ["g"], "ok", "one", "id").collect():
         assert r["low"] < r["estimate"] < r["high"] and r["high"] - r["low"] < 0.2
+
+
+def test_stratified_sample(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 10 < 7).cast("int").alias("g"))
+    got = stratified_sample(df, "g", 101, "id").groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in got} == {1: 71, 0: 30}
+    assert stratified_sample(df, "g", 0, "id").count() == 0 and stratified_sample(df, "g", 5000, "id").count() == 3000
