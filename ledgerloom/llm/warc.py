@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,14 @@ SPACE_ID = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-records")
 EPOCH = datetime(2001, 1, 1, tzinfo=timezone.utc)
 
 
+GZIP = b"\x1f\x8b"
+
+
+def members(parts: list[bytes]) -> bytes:
+    """Each part as a gzip member of its own, as archives are kept: a reader can start at any of them."""
+    return b"".join(gzip.compress(p, 6, mtime=0) for p in parts)
+
+
 def http_head(n: int) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
 
@@ -67,7 +76,8 @@ def write_arc(name: str, version: int, records: list[tuple[str, str, datetime, b
 
 
 def read_arc(blob: bytes) -> Iterator[dict]:
-    """The records of an ARC file: header fields by name, ``offset`` and ``block``."""
+    """The records of an ARC file, plain or compressed: header fields by name, ``offset`` (uncompressed) and ``block``."""
+    blob = gzip.decompress(blob) if blob[:2] == GZIP else blob
     at, fields = 0, FIELDS[1]
     while at < len(blob):
         end = blob.index(b"\n", at)
@@ -151,7 +161,8 @@ def convert_record(record: dict, name: str, page_id: int, digest: str, first: tu
 
 
 def read_warc(blob: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(fields, block) of each record."""
+    """(fields, block) of each record of a WARC file, plain or compressed."""
+    blob = gzip.decompress(blob) if blob[:2] == GZIP else blob
     at = 0
     while at < len(blob):
         end = blob.index(b"\r\n\r\n", at)
@@ -186,7 +197,7 @@ def arc_files(pages: DataFrame) -> DataFrame:
                     name, version = f"pages-{task:06d}-{count:06d}.arc", 1 + count % 2
                     count += 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([write_arc(name, version, [g[1] for g in group])], pa.binary())],
+                        [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([gzip.compress(write_arc(name, version, [g[1] for g in group]), 6, mtime=0)], pa.binary())],
                         names=["name", "page_ids", "body"],
                     )
                     group, size = [], 0
@@ -241,7 +252,7 @@ def convert(archives: DataFrame, roles: DataFrame) -> DataFrame:
                 for page, r in zip(ids, read_arc(body), strict=True):
                     digest = hashlib.sha256(split_http(r["block"])[1]).hexdigest()
                     parts.append(convert_record(r, name, page, digest, firsts.get(r["offset"])))
-                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([b"".join(parts)], pa.binary())], names=["name", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([members(parts)], pa.binary())], names=["name", "body"])
 
     return archives.join(roles, "name", "left").select("name", "page_ids", "body", "revisits").mapInArrow(work, "name string, body binary")
 
