@@ -7,6 +7,7 @@ plans agree.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,23 +22,23 @@ def relation(name: str, sql: str) -> str:
     return name
 
 
-def needed(sql: str) -> list[str]:
+def needed(sql: str, relations: dict[str, str] = RELATIONS) -> list[str]:
     """Relations that sql uses, each after those it uses itself."""
     out: list[str] = []
 
     def visit(text: str) -> None:
         for name in _NAME.findall(text):
-            if name in RELATIONS and name not in out:
-                visit(RELATIONS[name])
+            if name in relations and name not in out:
+                visit(relations[name])
                 out.append(name)
 
     visit(sql)
     return out
 
 
-def statement(sql: str) -> str:
-    names = needed(sql)
-    return (f"WITH {', '.join(f'{n} AS ({RELATIONS[n]})' for n in names)} " if names else "") + sql.strip()
+def statement(sql: str, relations: dict[str, str] = RELATIONS) -> str:
+    names = needed(sql, relations)
+    return (f"WITH {', '.join(f'{n} AS ({relations[n]})' for n in names)} " if names else "") + sql.strip()
 
 
 def duck(sql: str) -> str:
@@ -50,9 +51,26 @@ def duck(sql: str) -> str:
     return text
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    text = statement(sql)
+#: Relations of a row per model, task and split, which planner, replay and reports read many times: kept per session and
+#: input folder, with their lineage, so that a lost executor costs a recomputation.
+KEPT = ("candidates", "chain")
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str) -> str:
+    view = f"kept_{name}_{hashlib.md5(f'{spark.sparkContext.applicationId}|{sf_dir}'.encode()).hexdigest()[:12]}"
+    if not spark.catalog.tableExists(view):
+        run(spark, sf_dir, RELATIONS[name]).coalesce(1).persist().createOrReplaceTempView(view)
+    return view
+
+
+def _query(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     for t in TABLES:
         if re.search(rf"\b{t}\b", text):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(text)
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    used = needed(sql)
+    kept = {name: f"SELECT * FROM {_kept(spark, sf_dir, name)}" for name in KEPT if name in used}
+    return _query(spark, sf_dir, statement(sql, RELATIONS | kept))
