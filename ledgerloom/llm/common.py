@@ -29,13 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is read many times.
 
-    The folder goes when the driver's process ends.
+    The table goes with ``discard``, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no frame refers to any more, as what came of them is written."""
+    for df in tables:
+        _drop(df.sparkSession, df._staged_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,5 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         # stars only: no edge starts where another ends
         if then.join(then.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0:
             if then.groupBy("u").count().filter("count > 1").limit(1).count() == 0:
+                discard(now)
                 return then.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        discard(now)
         now = then

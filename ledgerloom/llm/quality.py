@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, read, staged
+from .common import SPACE, discard, read, staged
 
 #: Dimensions of the statistic vector and the least standard deviation that an estimate may have in each.
 FLOORS = {"len": 0.35, "mean": 0.12, "sym": 0.20, "dup": 0.10, "rep": 0.10}
@@ -142,6 +142,23 @@ def _moments(scale: Column) -> list[Column]:
     ]
 
 
+#: Groups up to which a table of estimates (some 200 bytes a group) is broadcast; salts that spread a group beyond it.
+BROADCAST_GROUPS, SALTS = 20_000, 64
+
+
+def _with(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with their group's estimate. estimates is a written table, a row per group.
+
+    The table is broadcast if it is small; otherwise both sides are salted, so that a group that holds most rows, as
+    that of all rows does, is spread over many tasks.
+    """
+    if estimates.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(estimates), "__key", how)
+    salted = estimates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64(*[f"__{d}" for d in DIMS]), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", own).join(salted, ["__key", "__salt"], how).drop("__salt")
+
+
 def mcd_estimates(vectors: DataFrame) -> DataFrame:
     """One row per group: centre and covariance factor.
 
@@ -151,7 +168,7 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
     """
     rows = vectors.filter(~F.col("__failed")).select(F.explode(_keys(vectors)).alias("__key"), *[f"__{d}" for d in DIMS])
     medians = staged(rows.groupBy("__key").agg(*[F.percentile_approx(f"__{d}", 0.5, 1000).alias(f"m_{d}") for d in DIMS]), "mcd")
-    spread = rows.join(medians, "__key").groupBy("__key").agg(
+    spread = _with(rows, medians).groupBy("__key").agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.percentile_approx(F.abs(F.col(f"__{d}") - F.col(f"m_{d}")), 0.5, 1000).alias(f"s_{d}") for d in DIMS],
     )
@@ -167,27 +184,32 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
     )
     params = staged(_cholesky(start), "mcd")
     for _ in range(STEPS):
-        far = _distance(rows.join(params, "__key"))
+        far = _distance(_with(rows, params))
         reach = staged(far.groupBy("__key").agg(F.percentile_approx("__d2", SUBSET, 1000).alias("__reach")), "mcd")
-        near = far.select("__key", "__d2", *[f"__{d}" for d in DIMS]).join(reach, "__key").filter("__d2 <= __reach")
+        near = _with(far.select("__key", "__d2", *[f"__{d}" for d in DIMS]), reach).filter("__d2 <= __reach")
         params = staged(_cholesky(near.groupBy("__key").agg(*_moments(F.lit(1.9)))), "mcd")
     return params
 
 
 def quality_verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Statistics, base rule and verdict of each row; the kept columns come as struct ``__row``."""
-    vectors = _vector(staged(quality_stats(docs, keep), "stats"))
-    params = mcd_estimates(vectors).filter(F.col("__n") >= int(LEAST_ROWS * SUBSET))
+    stats = staged(quality_stats(docs, keep), "stats")
+    return _judged(_vector(stats), mcd_estimates(_vector(stats)))
+
+
+def _judged(vectors: DataFrame, params: DataFrame) -> DataFrame:
+    params = params.filter(F.col("__n") >= int(LEAST_ROWS * SUBSET))
     named = vectors.withColumn("__keys", _keys(vectors))
-    # The most specific group that has an estimate; groups are few against rows, and their table's size decides the join.
-    fitted = params.select(F.col("__key").alias("__own"), F.lit(True).alias("__has"))
+    # The most specific group that has an estimate.
+    fitted = params.select("__key", F.lit(True).alias("__has"))
     for level in range(LEVELS - 1):
-        named = named.join(fitted.withColumnRenamed("__has", f"__has{level}"), F.get("__keys", F.lit(level)) == F.col("__own"), "left").drop("__own")
+        own = named.withColumn("__key", F.get("__keys", F.lit(level)))
+        named = _with(own, fitted.withColumnRenamed("__has", f"__has{level}"), "left").drop("__key")
     named = named.withColumn(
         "__key",
         F.when(F.col("__has0"), F.get("__keys", F.lit(0))).when(F.col("__has1"), F.get("__keys", F.lit(1))).otherwise(F.get("__keys", F.lit(2))),
     )
-    scored = _distance(named.join(params, "__key", "left"))
+    scored = _distance(_with(named, params, "left"))
     return scored.select(
         "__row",
         *STATS,
@@ -198,8 +220,14 @@ def quality_verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, in their own columns."""
-    return quality_verdicts(docs, docs.columns).filter("kept").select("__row.*")
+    """The documents that the rules keep, in their own columns.
+
+    Texts are read twice, for the estimates and for the verdicts, which costs less than a copy of them would take.
+    """
+    stats = staged(quality_stats(docs, ["doc_id"]).drop("__row"), "stats")
+    params = mcd_estimates(_vector(stats))
+    discard(stats)
+    return _judged(_vector(quality_stats(docs, docs.columns)), params).filter("kept").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
