@@ -63,6 +63,8 @@ def byte_letters() -> dict[str, int]:
 class ByteBPE:
     """Encoder and decoder of a byte-level vocabulary file, with whole-text ids equal to the library's."""
 
+    room = TABLE
+
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -260,7 +262,7 @@ class ByteBPE:
         table = self.table
         new = list({p for x in cut for p in x if p not in table})
         if new:
-            if len(table) + len(new) > TABLE:
+            if len(table) + len(new) > self.room:
                 table = self.table = {}
                 new = list({p for x in cut for p in x})
             for s, i in self.special.items():

@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets, read, small_batches, staged, text_of
+from .common import buckets, discard, read, small_batches, staged, text_of
 from .components import components
 from .shingles import mix, shingle_sets
 
 #: Bytes of text and rows to a block of sets.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 16000
+BLOCK_BYTES, BLOCK_ROWS = 3 << 20, 16000
 #: Bits of a bitmap to an element, and sets to a side of a tile of bitmaps.
 BITS, SIDE = 8, 512
 _PAIR = np.dtype([("sig", "<u4"), ("at", "<u2")])
@@ -281,16 +281,17 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     small_batches(spark)
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(docs).alias("text"))
     made = staged(texts.mapInArrow(_emit(width, percent, buckets(spark)), STAGED), "shingles")
-    rows = made.filter("bucket IS NULL").select("doc_id", "node", "n", "key")
+    rows = staged(made.filter("bucket IS NULL").select("doc_id", "node", "n", "key"), "rows")
     met = staged(made.filter("bucket IS NOT NULL").select("bucket", "node", "block").groupBy("bucket").applyInArrow(_meet, MEETINGS), "meetings")
+    discard(made)
     pairs = met.filter("a IS NOT NULL").select("a", "b").distinct()
     lists = met.filter("members IS NOT NULL").select("members").distinct()
 
     # What has met: sizes, bitmaps and packed texts.
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = rows.join(nodes, "node").groupBy("node").agg(F.min_by(F.struct("doc_id", "key"), F.col("doc_id")).alias("r")).select("node", "r.doc_id", "r.key")
-    sets = staged(texts.join(wanted, "doc_id").select("node", "key", "text").mapInArrow(_pack_sets(width), "node long, n long, bits binary, z binary"), "sets")
-    sets = sets.dropDuplicates(["node"])
+    packed = staged(texts.join(wanted, "doc_id").select("node", "key", "text").mapInArrow(_pack_sets(width), "node long, n long, bits binary, z binary"), "sets")
+    sets = packed.dropDuplicates(["node"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("z").alias("zb"))
@@ -317,8 +318,8 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     tiles = tiles.join(sets.select("node", "n", "bits"), "node").groupBy("list", "i", "j").applyInArrow(_tile(percent), "a long, b long")
     rest = staged(tiles.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest))
-        comps = components(links)
+        comps = components(links.unionByName(verified(rest)))
+    discard(met, packed, links, rest)
     placed = rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import PATTERN, ByteBPE, default_vocabulary, packed
+from .bpe import PATTERN, TABLE, ByteBPE, default_vocabulary, packed
 from .common import read, small_batches, staged, text_of
 
 END = 1
@@ -44,9 +44,11 @@ class LibraryTokens(ByteBPE):
 
     Where the ids of a vocabulary follow the order of its merges, and merging any token's bytes gives the token, its
     merge list and its ranks are the same encoder, and the faster of the two libraries reads it as ranks. Otherwise the
-    tokenizers library encodes with the file as it is.
+    tokenizers library encodes with the file as it is. New pieces cost little here, so the table is half as large.
     """
 
+    room = TABLE // 2
+
     def __init__(self, path: str) -> None:
         super().__init__(path)
         ranks = {b: i for b, i in self.id_of.items()}

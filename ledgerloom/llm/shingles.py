@@ -13,6 +13,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+KEPT_POWERS = 4 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -24,14 +25,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n of each at least."""
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for i, b in enumerate((_BASE, _INVERSE)):
-                out = np.full(n, b, np.uint64)
-                out[0] = 1
-                _powers[i] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, n of each at least; up to KEPT_POWERS stay for the next time."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    with np.errstate(over="ignore"):
+        for b in (_BASE, _INVERSE):
+            out = np.full(n, b, np.uint64)
+            out[0] = 1
+            made.append(np.multiply.accumulate(out))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
