@@ -388,6 +388,29 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, toxicity.learn(none, labels.limit(0))).count() == 0
 
 
+def test_toxicity_of_misspelt_words(spark):
+    rng = random.Random(9)
+    words = [f"word{c}" for c in "abcdefghijklmnopqrst"]
+    insults = ["idiot", "moron", "trash", "worthless", "stupid"] * 4 + ["nitwit"]  # nitwit: far below 3% of the toxic texts
+    misspelt = ["idoit", "mroon", "tarsh", "wrthless", "id1ot", "st*pid", "nitwti"]
+    rows, held = [], []
+    for i in range(2400):
+        t = [rng.choice(words) for _ in range(rng.randrange(10, 60))]
+        if toxic := i % 5 == 0:
+            t[3] = rng.choice(insults)
+            if zlib.crc32(str(i).encode()) % 4 == 2:
+                held.append(i)
+                t[3] = misspelt[len(held) % len(misspelt)]
+        rows.append((i, " ".join(t), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    got = by_id(toxicity.score(docs, model))
+    assert len(held) > 50 and all(got[i]["predicted"] and got[i]["n_hits"] for i in held)
+    assert not any(got[i]["predicted"] for i, _, x in rows if not x)
+    trie = toxicity.Trie(["idiot", "worthless"], whole=True)
+    assert [trie.match(w) for w in ("idiot", "idoit", "idiots", "idi", "odiit", "wrothles", "wrthls")] == [0, 1, 1, -1, -1, 2, -1]
+
+
 # --- archives ---
 
 
