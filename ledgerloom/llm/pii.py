@@ -6,7 +6,11 @@ walking), which keeps the map a bijection on them. So a card stays a card with a
 in its notation, and equal values have equal pseudonyms in all documents, whichever worker meets them.
 
 Kinds: e-mail addresses, phone numbers, payment cards (Luhn), bank accounts (mod 97), social security numbers, IPv4
-addresses and calendar dates. Numbers that fail their check are left alone.
+addresses and calendar dates. Where a find fails its check, its beginnings are tried from the longest to the shortest,
+then what starts after its first character. Numbers that fail with all of these are left alone.
+
+Phones: three-three-four digits; with '+', any grouping of 8 to 15 digits; nationally, '0' and groups with 9 to 12 digits
+in all. Dates: year first, day first or, where only that is a date, month first.
 
 Defined results: a null or empty text has no spans and stays as it is; of overlapping finds the leftmost, then longest,
 counts; repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
@@ -84,13 +88,23 @@ def card(value: str, key: bytes) -> str | None:
 
 def phone(value: str, key: bytes) -> str | None:
     d = only_digits(value)
-    if not 10 <= len(d) <= 13:
+    if AMERICAN.fullmatch(value) or value[1:] == d and 10 <= len(d) <= 13:
+        country, local = d[:-10], d[-10:]
+        sound = lambda s: s[0] >= "2" and s[3] >= "2"
+        was = sound(local)
+        x = walk(int(local), 10**10, key, f"phone{country}", lambda x: sound(f"{x:010d}") == was)
+        return refill(value, country + f"{x:010d}")
+    if not (8 <= len(d) <= 15 if value[0] == "+" else 9 <= len(d) <= 12) or date_like(value):
         return None
-    country, local = d[:-10], d[-10:]
-    sound = lambda s: s[0] >= "2" and s[3] >= "2"
-    was = sound(local)
-    x = walk(int(local), 10**10, key, f"phone{country}", lambda x: sound(f"{x:010d}") == was)
-    return refill(value, country + f"{x:010d}")
+    # The country or the trunk's zero stays, and the digit after it, so that the number stays one of its kind.
+    head = re.match(r"\+\d{1,3}|\(?0|", value).group()
+    kept = min(len(only_digits(head)) + 1, len(d) - 6)
+    n = len(d) - kept
+    return refill(value, d[:kept] + f"{feistel(int(d[kept:]), 10**n, key, f'phone{d[:kept]}.{n}'):0{n}d}")
+
+
+def date_like(value: str) -> bool:
+    return re.match(r"\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d(?!\d)", value) is not None
 
 
 def ssn(value: str, key: bytes) -> str | None:
@@ -148,7 +162,15 @@ def email(value: str, key: bytes) -> str | None:
 
 
 #: Date notations, as patterns whose groups are year, month and day in the given order.
-NOTATIONS = [("ymd", r"(\d{4})-(\d{2})-(\d{2})"), ("ymd", r"(\d{4})/(\d{2})/(\d{2})"), ("dmy", r"(\d{1,2})[./](\d{1,2})[./](\d{4})")]
+NOTATIONS = [("ymd", r"(\d{4})-(\d{2})-(\d{2})"), ("ymd", r"(\d{4})/(\d{2})/(\d{2})"), ("dmy", r"(\d{1,2})[./](\d{1,2})[./](\d{4})"), ("mdy", r"(\d{1,2})/(\d{1,2})/(\d{4})")]
+#: Phones with three, three and four digits.
+AMERICAN = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})")
+#: Characters of a country's IBAN: the beginning of a find to try first.
+LENGTHS = dict(x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 "
+    "JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+).split())
+LENGTHS = {k: int(n) for k, n in LENGTHS.items()}
 
 
 def day(value: str, key: bytes) -> str | None:
@@ -158,10 +180,11 @@ def day(value: str, key: bytes) -> str | None:
             try:
                 x = date(got["y"], got["m"], got["d"]).toordinal()
             except ValueError:
-                return None
+                continue
             if not FIRST_DAY <= x <= LAST_DAY:
                 return None
-            new = date.fromordinal(FIRST_DAY + feistel(x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+            late = order == "mdy"  # a day past the 12th gets another such, so that no other notation's dates are met
+            new = date.fromordinal(FIRST_DAY + walk(x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", lambda x: not late or date.fromordinal(FIRST_DAY + x).day > 12))
             parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
             marks = re.findall(r"\D+", value)
             return "".join(x for pair in zip((parts[c] for c in order), [*marks, ""], strict=True) for x in pair)
@@ -171,7 +194,9 @@ def day(value: str, key: bytes) -> str | None:
 MAKERS = {"email": email, "phone": phone, "card": card, "iban": iban, "ssn": ssn, "ip": ip, "date": day}
 FINDERS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|(?<!\w)\+\d{10,13}(?!\w)"),
+    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|(?<!\w)\+\d{10,13}(?!\w)"
+        r"|(?<!\w)\+\d{1,3}(?:[ ./-]?\(0?\d{0,4}\))?(?:[ ./-]?\d){6,14}(?!\w)|(?<![\w.,+/-])\(?0\d{1,4}\)?(?:[ ./-]{1,2}\d{2,8}){1,5}(?!\w)"
+        r"|(?<![\w.,+/-])(?<!\d )(?:[6-9]\d\d \d{3} \d{3}|[6-9]\d\d \d\d \d\d \d\d|[89]\d \d{3} \d\d \d\d)(?! ?\w*\d)"),
     "card": re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -180,6 +205,18 @@ FINDERS = {
 }
 
 
+def beginnings(kind: str, text: str, start: int, end: int) -> Iterator[int]:
+    """Ends of the kind's finds from start to end, of whole groups only: all, then an IBAN's length, then the longest."""
+    yield end
+    ends = [i for i in range(end - 1, start, -1) if text[i - 1].isalnum() and not text[i].isalnum()]
+    if kind == "iban":
+        n = LENGTHS.get(text[start : start + 2])
+        ends.sort(key=lambda i: len(text[start:i].replace(" ", "")) != n)
+    for i in ends:
+        if FINDERS[kind].fullmatch(text, start, i):
+            yield i
+
+
 def pseudonyms(text: str, key: bytes, table: dict | None = None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of each value, in order and without overlap. table: what is known already."""
     table = {} if table is None else table
@@ -187,14 +224,19 @@ def pseudonyms(text: str, key: bytes, table: dict | None = None) -> list[tuple[i
     for rank, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text:
             continue
-        for m in FINDERS[kind].finditer(text):
-            at = (kind, m.group())
-            if at not in table:
-                if len(table) > 100_000:
-                    table.clear()
-                table[at] = MAKERS[kind](m.group(), key)
-            if table[at] is not None:
-                found.append((m.start(), -m.end(), rank, kind, table[at]))
+        at = 0
+        while m := FINDERS[kind].search(text, at):
+            at = m.start() + 1
+            for end in beginnings(kind, text, *m.span()):
+                known = (kind, text[m.start() : end])
+                if known not in table:
+                    if len(table) > 100_000:
+                        table.clear()
+                    table[known] = MAKERS[kind](known[1], key)
+                if table[known] is not None:
+                    found.append((m.start(), -end, rank, kind, table[known]))
+                    at = end
+                    break
     out, last = [], 0
     for start, end, _, kind, new in sorted(found):
         if start >= last:

@@ -464,3 +464,22 @@ def test_pseudonymise(spark, docs, none):
     assert "a.b@mail" not in got[1]["text"] and "1234567890123456" in got[2]["text"]
     assert got[1]["text"].split(" ")[1] == got[2]["text"].split(" ")[1].rstrip(";")
     assert pii.pseudonymise(none).count() == 0
+
+
+def test_pseudonyms_inside_longer_finds():
+    def found(text):
+        return [(kind, text[a:b]) for a, b, kind, _ in pii.pseudonyms(text, b"k")]
+
+    for t in ("card 4111111111111111 12/26", "card 4111 1111 1111 1111 123", "no 12 4111 1111 1111 1111"):
+        assert [(k, pii.only_digits(v)) for k, v in found(t)] == [("card", "4111111111111111")], t
+    assert not found("order 4111111111111111123") and not found("card 4111 1111 1111 1112 123")
+    assert found("to ES91 2100 0418 4502 0005 1332 EUR") == [("iban", "ES91 2100 0418 4502 0005 1332")]
+    assert found("DE89370400440532013000 BANK GB82WEST12345698765432 OK") == [("iban", "DE89370400440532013000"), ("iban", "GB82WEST12345698765432")]
+    for t in ("+33 1 23 45 67 89", "+49 30 1234567", "030 12345678", "01 23 45 67 89", "0171/1234567", "+34 612 34 56 78", "612 345 678", "+49 (0)30 1234567"):
+        assert found(f"tel {t}, or") == [("phone", t)], t
+        new = pii.phone(t, b"k")
+        assert new != t and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", t)
+    assert found("on 12/25/2020.") == [("date", "12/25/2020")] and found("on 31.12.2020 10 30") == [("date", "31.12.2020")]
+    assert not found("on 13/32/2020") and not found("1 612 345 678 of 0.5 12345678")
+    days = {pii.day(f"{m:02d}/{d:02d}/{y}", b"k") for y in (2019, 2020) for m in range(1, 13) for d in range(13, 29)}
+    assert len(days) == 384 and all(int(d[:2]) <= 12 < int(d[3:5]) for d in days)
