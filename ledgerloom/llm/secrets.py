@@ -1,6 +1,7 @@
 """Secret scans: three base patterns and windowed entropy over candidate strings.
 
-A candidate is a maximal run of token characters. For each character class a window slides over it; the counts of the
+A candidate is a maximal run of token characters. For each character class a window slides over its runs of that class;
+a run shorter than the window, of 20 characters at least, is one window with a threshold for its length. The counts of the
 window's characters, and the sum of n log n over them, change by one character in and one out, so that each step costs
 the same whatever the window. A window above its class's threshold marks a span, and overlapping marks are one span.
 Candidates that the allow-list knows are passed over; base spans are never suppressed.
@@ -42,41 +43,59 @@ ALLOWED = [
     for p in (
         r"[a-z]+(?:[-_/][a-z]+)*",
         r"[A-Z]+(?:[-_/][A-Z]+)*",
-        r"[A-Z]?[a-z]+(?:[-_/]?[A-Z]?[a-z]+)*",
+        r"[A-Z]?[a-z]+(?:(?:[-_/][A-Z]?|[A-Z])[a-z]+)*",  # a run of letters can be split in one way only
         r"[0-9+/_=-]+",
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-        r"[=_+/-]+.?[=_+/-]+",
+        r"[=_+/-]+(?:[^=_+/-][=_+/-]+)?",
     )
 ]
+#: Shortest run that is measured.
+SHORTEST = 20
 _NLOGN = [0.0, *(n * math.log2(n) for n in range(1, 65))]
 
 
+def threshold(kind: str, n: int) -> float:
+    """Bits above which a window of n characters, at most its class's, is too even: lower by what a random key loses."""
+    chars, width, bits = CLASSES[kind]
+    if kind == "hex":  # of few characters: a random key's expected loss is (characters - 1) / (2 n ln 2), and it varies more
+        return bits - 1.4 * 15 / (2 * math.log(2)) * (1 / n - 1 / width)
+    return bits + 1.5 * math.log2(n / width)
+
+
+def runs_of(kind: str, s: str) -> Iterator[tuple[int, int]]:
+    """Maximal runs of the class's characters, SHORTEST or longer. Shorter than its window, a number isn't hex."""
+    chars, width, _ = CLASSES[kind]
+    start = 0
+    for i in range(len(s) + 1):
+        if i == len(s) or s[i] not in chars:
+            if i - start >= SHORTEST and (kind != "hex" or i - start >= width or not s[start:i].isdigit()):
+                yield start, i
+            start = i + 1
+
+
 def high_entropy(s: str, allowed: list[re.Pattern] = ALLOWED) -> list[tuple[int, int]]:
     """Merged (start, end) of the windows of s that are above their class's threshold."""
     if any(p.fullmatch(s) for p in allowed):
         return []
     found: list[tuple[int, int]] = []
-    for chars, width, bits in CLASSES.values():
-        if len(s) < width:
-            continue
-        limit = (math.log2(width) - bits) * width  # the entropy is log2(width) - sum(n log n) / width
-        counts: dict[str, int] = {}
-        total, since = 0.0, 0
-        for i, c in enumerate(s):
-            if c not in chars:
-                counts, total, since = {}, 0.0, 0
-                continue
-            since += 1
-            if since > width:
-                gone = s[i - width]
-                n = counts[gone]
-                total += _NLOGN[n - 1] - _NLOGN[n]
-                counts[gone] = n - 1
-            n = counts.get(c, 0)
-            total += _NLOGN[n + 1] - _NLOGN[n]
-            counts[c] = n + 1
-            if since >= width and total < limit:
-                found.append((i + 1 - width, i + 1))
+    for kind, (_, most, _) in CLASSES.items():
+        for start, end in runs_of(kind, s):
+            width = min(most, end - start)
+            limit = (math.log2(width) - threshold(kind, width)) * width  # the entropy is log2(width) - sum(n log n) / width
+            counts: dict[str, int] = {}
+            total = 0.0
+            for i in range(start, end):
+                if i - start >= width:
+                    gone = s[i - width]
+                    n = counts[gone]
+                    total += _NLOGN[n - 1] - _NLOGN[n]
+                    counts[gone] = n - 1
+                c = s[i]
+                n = counts.get(c, 0)
+                total += _NLOGN[n + 1] - _NLOGN[n]
+                counts[c] = n + 1
+                if i - start + 1 >= width and total < limit:
+                    found.append((i + 1 - width, i + 1))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:

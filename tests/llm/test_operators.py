@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -150,6 +151,26 @@ def test_entropy_windows():
         assert all(any(a <= i and i + width <= b for a, b in spans) for i in plain)
 
 
+def test_short_keys_and_long_slugs():
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for chars, lengths in ((letters, range(20, 24)), ("0123456789abcdef", range(20, 32))):
+        for n in lengths:
+            keys = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(200)]
+            assert sum((0, n, 3) in secrets.spans_of(k) for k in keys) >= 190, (n, chars)
+    assert secrets.redacted("key 3q2+7wXvQm0TzLr8YbKc5A end") == "key [SECRET] end"
+    for plain in ("internationalization", "a" * 22, "12345678901234567890", "ThisIsAnOrdinaryName", "order_12345678901234567890", "the-the-the-the-the-23"):
+        assert not secrets.high_entropy(plain), plain
+    began = time.perf_counter()
+    secrets.high_entropy("how-to-make-white-bread-home-without-mix-or-any-oven-in-the-winter-of-2023")
+    secrets.high_entropy("=" * 20000 + "ab")
+    assert time.perf_counter() - began < 2
+    old, new = re.compile(r"[A-Z]?[a-z]+(?:[-_/]?[A-Z]?[a-z]+)*"), secrets.ALLOWED[2]
+    for _ in range(3000):
+        s = "".join(rng.choice("abAB-_1") for _ in range(rng.randrange(1, 9)))
+        assert bool(old.fullmatch(s)) == bool(new.fullmatch(s))
+
+
 # --- tokens and packing ---
 
 
