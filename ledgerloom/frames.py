@@ -45,7 +45,7 @@ def partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contained, or close enough to a window; the costly test only sees what isn't contained."""
-    d = sql.run(spark, sf_dir, "SELECT conv_id, substr(coalesce(summary, ''), 1, 20) AS value, substr(coalesce(asked, ''), 1, 400) AS source FROM summaries")
+    d = sql.run(spark, sf_dir, "SELECT conv_id, coalesce(summary, '') AS value, coalesce(asked, '') AS source FROM summaries")
     inside = F.contains(F.lower("source"), F.lower("value"))
     ratio = fuzzy.partial_ratio(F.when(~inside, F.lower("value")), F.when(~inside, F.lower("source")))
     return d.select("conv_id", ((F.trim("value") != "") & (inside | (ratio >= 90))).alias("grounded"))
@@ -53,7 +53,7 @@ def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grounding_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio that all but one in a hundred of the sound values reach, kept between 80 and 100."""
-    d = sql.run(spark, sf_dir, "SELECT conv_id, substr(coalesce(summary, ''), 1, 20) AS value, substr(coalesce(asked, ''), 1, 400) AS source FROM summaries")
+    d = sql.run(spark, sf_dir, "SELECT conv_id, coalesce(summary, '') AS value, coalesce(asked, '') AS source FROM summaries")
     r = d.select(fuzzy.partial_ratio("value", "source").alias("r"))
     low = F.get(F.sort_array(F.collect_list("r")), F.floor(F.count("r") * 0.01).cast("int"))
     return r.agg(F.greatest(F.lit(80.0), F.least(F.lit(100.0), F.coalesce(low, F.lit(80.0)))).alias("ratio"))
@@ -106,16 +106,16 @@ def births(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of test documents by word weights and a linear model fitted on a bounded sample of the others."""
+    """Language of test documents by weights of words and of pairs of words, and a linear model fitted on a bounded sample of the others."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, IDF, StringIndexer, Tokenizer
+    from pyspark.ml.feature import HashingTF, IDF, NGram, StringIndexer, Tokenizer, VectorAssembler
 
-    docs = sql.run(spark, sf_dir, "SELECT doc_id, lang, substr(text, 1, 400) AS text FROM documents WHERE length(text) > 100")
+    docs = sql.run(spark, sf_dir, "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents")
     train = docs.filter("doc_id % 3 = 0")
     share = min(1.0, 3000 / max(1, train.count()))
     model = Pipeline(
-        stages=[StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc"), Tokenizer(inputCol="text", outputCol="w"), HashingTF(inputCol="w", outputCol="tf", numFeatures=4096), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.01)]
+        stages=[StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc"), Tokenizer(inputCol="text", outputCol="w"), HashingTF(inputCol="w", outputCol="tf1", numFeatures=4096), NGram(n=2, inputCol="w", outputCol="w2"), HashingTF(inputCol="w2", outputCol="tf2", numFeatures=16384), VectorAssembler(inputCols=["tf1", "tf2"], outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.01)]
     ).fit(train.sample(share, seed=7))
     return model.transform(docs.filter("doc_id % 3 <> 0")).select("doc_id", "label", "prediction")
 

@@ -48,9 +48,33 @@ def partial(a: str, b: str) -> float:
         return 0.0
     if short in long:
         return 100.0
-    n = len(short)
-    windows = {long[max(0, i) : i + n] for i in range(1 - n, len(long))}
-    return max(indel(short, w) for w in windows if w)
+    n, total = len(short), len(long)
+    begin, end = strands(short, long)
+    # Window i (clipped at both ends) has all of its characters in common but one for each strand within it.
+    inside = end - begin < n
+    change = np.bincount(end[inside], minlength=total + n) - np.bincount(begin[inside] + n, minlength=total + n)
+    i = np.arange(1 - n, total)
+    size = np.minimum(total, i + n) - np.maximum(0, i)
+    return float((200.0 * (size - np.cumsum(change)[: total + n - 1]) / (n + size)).max())
+
+
+def strands(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strands of a's and b's sticky braid that go through b from top to bottom begin and end.
+
+    The longest common subsequence of a with any part of b is the part's length less the strands that stay within it.
+    Cells of an antidiagonal don't depend on each other, so each is one step over arrays.
+    """
+    rows, columns = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in (a[::-1], b))
+    m, n = len(rows), len(columns)
+    left, top = np.arange(m), np.arange(m, m + n)
+    for d in range(m + n - 1):
+        low, high = max(0, d - m + 1), min(n, d + 1)
+        at = m - 1 - d + low
+        h, v = left[at : at + high - low], top[low:high]
+        swap = (rows[at : at + high - low] == columns[low:high]) | (h > v)
+        h[:], v[:] = np.where(swap, v, h), np.where(swap, h, v)
+    end = np.flatnonzero(top >= m)
+    return top[end] - m, end
 
 
 def _vectorised(f):

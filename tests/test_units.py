@@ -1,5 +1,6 @@
 """Hand-worked values of the cost model, statistics, parsers and similarities."""
 
+import random
 from datetime import date
 
 import pytest
@@ -92,3 +93,35 @@ def test_stratified_sample(spark):
     got = stratified_sample(df, "g", 101, "id").groupBy("g").count().collect()
     assert {r["g"]: r["count"] for r in got} == {1: 71, 0: 30}
     assert stratified_sample(df, "g", 0, "id").count() == 0 and stratified_sample(df, "g", 5000, "id").count() == 3000
+
+
+def test_partial_ratio_equals_every_window():
+    rng = random.Random(4)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 30))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        want = max(fuzzy.indel(short, w) for i in range(1 - n, len(long)) if (w := long[max(0, i) : i + n]))
+        assert abs(fuzzy.partial(a, b) - want) < 1e-9, (a, b)
+
+
+def test_whole_texts_are_judged(spark, tmp_path):
+    from ledgerloom import frames
+
+    rng = random.Random(5)
+    say = lambda n, part: " ".join(rng.choice(part) + rng.choice(part) for _ in range(n))
+    asked = say(200, ["ka", "lo", "mi", "re"])
+    answers = [asked[600:700], asked[:30] + "".join(rng.choice("xyzvwq") for _ in range(90)), asked[500:560] + "X" + asked[560:600]]
+    turns = [(i, k, r, t) for i, x in enumerate(answers) for k, r, t in ((0, "user", asked), (1, "assistant", x))]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plain = lambda a, b: 100.0 if a in b else max(fuzzy.indel(a, w) for i in range(1 - len(a), len(b)) if (w := b[max(0, i) : i + len(a)]))
+    got = {r["conv_id"]: r["grounded"] for r in frames.grounded(spark, str(tmp_path)).collect()}
+    assert got == {i: plain(x.lower(), asked.lower()) >= 90 for i, x in enumerate(answers)} == {0: True, 1: False, 2: True}
+    ratio = frames.grounding_ratio(spark, str(tmp_path)).first()["ratio"]
+    assert abs(ratio - max(80.0, min(plain(x, asked) for x in answers))) < 1e-9
+    # The language stands after 400 characters, or in a text of one word; pairs tell the last two apart.
+    head = "same words " * 40
+    docs = [(i, f"l{i % 4}", [head + "ja", "nein", "p q p q r r", "q p r q r p"][i % 4]) for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = frames.tfidf(spark, str(tmp_path)).collect()
+    assert len(got) == 80 and all(r["label"] == r["prediction"] for r in got)
