@@ -1,20 +1,17 @@
 """Media columns: GIF files to timed frames with colour histograms.
 
 The decoder reads any GIF87a or GIF89a file: blocks, palettes (global and local), interlace, code streams of the
-Lempel-Ziv-Welch kind with clear and end codes, transparency, the disposal methods and delays. Frames are composed on
-the canvas as a viewer would show them.
+Lempel-Ziv-Welch kind with growing widths, clear and end codes, transparency, the disposal methods and delays. Frames
+are composed on the canvas as a viewer would show them.
 
-Code streams are decoded on arrays. Between clear codes the width of each code follows from its place, so codes are cut
-out of the bits together; an entry of the table is a stretch of the output, so lengths and then bytes come from
-following references, halving the chains at each step, instead of copying strings one by one.
-
-``payload_gif`` stores bytes losslessly: each byte is a palette index of a grey palette, 64 to a row, in frames of up to
-1,024 rows. Its code stream clears the table before codes would grow, which any decoder accepts and which costs an
-eighth in size; ``lzw_encode`` compresses.
+``payload_gif`` stores bytes losslessly: each byte is the index of a colour whose red part is the byte, 64 to a row, in
+frames of up to 256 rows. A frame draws only what the canvas doesn't show yet (one colour that it has no use for is
+transparent) and the disposal methods take turns, so that reading back goes through all of the decoder.
 
 Defined results: a null or empty text is stored as 64 zero bytes; equal texts give equal files; texts of any length
-take as many frames as they need; a file that is cut short raises an error; an empty table gives an empty result; extra
-columns are ignored.
+take as many frames as they need; an empty table gives an empty result; extra columns are ignored. A null or empty file
+has no frames. Of a file that is damaged, or whose canvas or frame is above ``MAX_PIXELS``, the frames before the damage
+come out, then a row that says what is wrong.
 """
 
 from __future__ import annotations
@@ -32,180 +29,106 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read, small_batches, text_of
 
 ROW = 64
-FRAME_ROWS = 1024
+FRAME_ROWS = 256
 DELAY = 4  # hundredths of a second
-#: Literals between clear codes: the table then never outgrows nine bits.
-RUN = 254
+#: Pixels of a canvas or a frame that the decoder makes room for.
+MAX_PIXELS = 1 << 26
 
 
 # --- code streams ---
 
-
-def pack_codes(codes: np.ndarray, width: int) -> bytes:
-    """Codes of one width, least significant bit first."""
-    bits = ((codes[:, None] >> np.arange(width)) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+#: Most codes of a table, by the format, and codes that are cut out of the bits at a time once the width is full.
+FULL, CHUNK = 4096, 4096
 
 
-def literal_codes(data: np.ndarray) -> np.ndarray:
-    """Nine-bit codes of bytes: a clear code before every run of literals, and the end code."""
-    runs = -(-len(data) // RUN)
-    padded = np.zeros(runs * RUN, np.uint16)
-    padded[: len(data)] = data
-    codes = np.empty((runs, RUN + 1), np.uint16)
-    codes[:, 0], codes[:, 1:] = 256, padded.reshape(runs, RUN)
-    return np.append(codes.ravel()[: len(data) + runs], np.uint16(257))
+def pack_codes(codes: np.ndarray, width: np.ndarray) -> bytes:
+    """Codes of the given widths, least significant bit first."""
+    place = np.arange(12)
+    bits = ((codes[:, None] >> place) & 1).astype(np.uint8)
+    return np.packbits(bits[place < width[:, None]], bitorder="little").tobytes()
 
 
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
-    """Compressed code stream of data."""
+    """Code stream of data: the longest string that the table holds, each time, and a clear code when the table is full."""
     clear = 1 << bits
-    out, held, n, width = bytearray(), 0, 0, bits + 1
-
-    def put(code: int) -> None:
-        nonlocal held, n
-        held |= code << n
-        n += width
-        while n >= 8:
-            out.append(held & 255)
-            held >>= 8
-            n -= 8
-
-    table: dict[tuple[int, int], int] = {}
-    put(clear)
-    at, size = -1, clear + 2
+    runs: list[list[int]] = []
+    codes, table, size, at = [clear], {}, clear + 2, -1
+    find, put = table.get, codes.append
     for b in data:
         if at < 0:
             at = b
-        elif (at, b) in table:
-            at = table[at, b]
+            continue
+        key = at << 8 | b
+        known = find(key)
+        if known is not None:
+            at = known
+            continue
+        put(at)
+        at = b
+        if size < FULL:
+            table[key] = size
+            size += 1
         else:
-            put(at)
-            if size < 4096:
-                table[at, b] = size
-                if size == 1 << width and width < 12:
-                    width += 1
-                size += 1
-            else:
-                put(clear)
-                table, size, width = {}, clear + 2, bits + 1
-            at = b
+            runs.append(codes)
+            codes, table, size = [clear], {}, clear + 2
+            find, put = table.get, codes.append
     if at >= 0:
         put(at)
-        # the decoder's table follows the encoder's by one entry
-        if size == 1 << width and width < 12:
-            width += 1
     put(clear + 1)
-    if n:
-        out.append(held & 255)
-    return bytes(out)
-
-
-def _read_codes(bits: np.ndarray, at: int, count: int, width: int) -> np.ndarray:
+    runs.append(codes)
+    # The reader's table grows by a code with each but the first of a run, and the width with the table.
+    width, grown = [], bits + 1
+    for run in runs:
+        size = np.arange(len(run)) + clear
+        own = np.clip(np.frexp(size)[1], bits + 1, 12)
+        own[0] = grown  # a clear code is read at the width that the run before has come to
+        grown = min(12, (clear + len(run)).bit_length())
+        width.append(own)
+    return pack_codes(np.array([c for run in runs for c in run], np.int32), np.concatenate(width))
+
+
+def _codes(stream: np.ndarray, at: int, count: int, width: int) -> np.ndarray:
     """Up to count codes of width from bit at."""
-    count = min(count, (len(bits) - at) // width)
-    return bits[at : at + count * width].reshape(count, width).astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
-
-
-def _expand(codes: np.ndarray, bits: int) -> np.ndarray:
-    """Bytes of one run of codes after a clear code, by following references."""
-    first = (1 << bits) + 2
-    n = len(codes)
-    if not n:
-        return np.empty(0, np.uint8)
-    if codes.max() < first:
-        if (codes >= first - 2).any():
-            raise ValueError("control code among literals")
-        return codes.astype(np.uint8)
-    # entry first + k is the k-th code's string and one byte more
-    refers = codes - first
-    if (refers >= np.arange(n)).any():
-        raise ValueError("code beyond the table")
-    far = np.where(refers >= 0, refers, np.arange(n))
-    step = (refers >= 0).astype(np.int64)
-    while True:  # the number of references down to a literal
-        more = step + step[far]
-        if (more == step).all():
-            break
-        step, far = more, far[far]
-    length = step + 1
-    start = np.cumsum(length) - length
-    total = int(length.sum())
-    owner = np.repeat(np.arange(n), length)
-    offset = np.arange(total) - start[owner]
-    # a byte of a reference is the byte as far into the code referred to, or the first byte of the next code
-    source = np.where(refers[owner] >= 0, start[np.maximum(refers[owner], 0)] + offset, np.arange(total))
-    while True:
-        further = source[source]
-        if (further == source).all():
-            break
-        source = further
-    literal = np.zeros(total, np.uint8)
-    plain = refers < 0
-    literal[start[plain]] = codes[plain].astype(np.uint8)
-    return literal[source]
+    count = min(count, (len(stream) - at) // width)
+    return stream[at : at + count * width].reshape(count, width).astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
 
 
-def lzw_decode(data: bytes, bits: int, limit: int) -> np.ndarray:
-    """The first limit bytes of a code stream."""
+def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
+    """The first limit bytes of a code stream. Codes are cut out of the bits together, as far as one width reaches."""
+    if not 2 <= bits <= 8:
+        raise ValueError(f"code size {bits}")
     stream = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    clear, parts, got, at = 1 << bits, [], 0, 0
-    # While clear codes come before the table outgrows the first width, all codes have that width.
-    narrow = _read_codes(stream, 0, 1 << 60, bits + 1)
-    marks = np.flatnonzero((narrow == clear) | (narrow == clear + 1))
-    run = clear - 1  # codes after a clear code that the first width holds
-    gaps = np.diff(marks)
-    long = np.flatnonzero(gaps - 1 > run)
-    safe = len(marks) - 1 if not len(long) else int(long[0])
-    ends = np.flatnonzero(narrow[marks[: safe + 1]] == clear + 1)
-    if len(ends):
-        safe = int(ends[0])
-    if len(marks) and marks[0] == 0 and safe > 0:
-        body = narrow[: marks[safe]]
-        pieces = np.split(body, marks[:safe])[1:]
-        if body.max() <= clear:
-            out = body[body != clear].astype(np.uint8)
-            parts, got = [out], len(out)
-        else:
-            for piece in pieces:
-                parts.append(_expand(piece[1:], bits))
-                got += len(parts[-1])
-        at = int(marks[safe]) * (bits + 1)
-        if len(ends):
-            return np.concatenate(parts)[:limit]
+    clear, first = 1 << bits, (1 << bits) + 2
+    plain = [bytes([i]) for i in range(clear)] + [b"", b""]
+    parts, got, at = [], 0, 0
+    table, last = plain[:], b""
     while got < limit:
-        codes, done, width, count = [], False, bits + 1, 0
-        while not done:  # one run, a width at a time
-            # the code numbered count adds entry clear + 1 + count, so the width grows when that reaches a power of two
-            room = (1 << width) - (clear + 1) - count if width < 12 else 1 << 60
-            some = _read_codes(stream, at, room, width)
-            stop = np.flatnonzero((some == clear) | (some == clear + 1))
-            if len(stop):
-                done = True
-                last = int(some[stop[0]])
-                at += (int(stop[0]) + 1) * width
-                some = some[: stop[0]]
-            else:
-                at += len(some) * width
-                if len(some) < room:
-                    done, last = True, clear + 1
-                width += 1
-            count += len(some)
-            codes.append(some)
-        run_codes = np.concatenate(codes)
-        full = 4096 - clear - 2
-        parts.append(_expand(run_codes, bits) if len(run_codes) <= full + 1 else _expand_full(run_codes, bits, full))
-        got += len(parts[-1])
-        if last == clear + 1:
+        width = min(12, len(table).bit_length())
+        room = CHUNK if width == 12 else (1 << width) - len(table)
+        some = _codes(stream, at, room, width)
+        if not len(some):
             break
-    return np.concatenate(parts)[:limit] if parts else np.empty(0, np.uint8)
-
-
-def _expand_full(codes: np.ndarray, bits: int, full: int) -> np.ndarray:
-    """As _expand, where codes go on after the table is full."""
-    if (codes - (1 << bits) - 2 >= full).any():
-        raise ValueError("code beyond the table")
-    return _expand(codes, bits)
+        stop = np.flatnonzero((some == clear) | (some == clear + 1))
+        end = int(stop[0]) if len(stop) else len(some)
+        for code in some[:end].tolist():
+            if code < len(table):
+                entry = table[code]
+                if last and len(table) < FULL:
+                    table.append(last + entry[:1])
+            elif code == len(table) and last and code < FULL:
+                entry = last + last[:1]
+                table.append(entry)
+            else:
+                raise ValueError("code beyond the table")
+            parts.append(entry)
+            got += len(entry)
+            last = entry
+        at += width * (end + (1 if len(stop) else 0))
+        if len(stop):
+            if some[end] == clear + 1:
+                break
+            table, last = plain[:], b""
+    return b"".join(parts)[:limit]
 
 
 # --- files ---
@@ -252,12 +175,18 @@ def _palette(blob: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return np.frombuffer(blob, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
+#: What ``decode_gif`` raises on a damaged file.
+DAMAGE = (ValueError, IndexError, struct.error)
+
+
 def decode_gif(blob: bytes) -> Iterator[Frame]:
-    """Frames of a file in order."""
+    """Frames of a file in order. A damaged file raises one of ``DAMAGE``."""
     if blob[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF file")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", blob, 6)
     common, at = _palette(blob, 13, flags)
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
     canvas = np.zeros((height, width, 3), np.uint8)
     delay, disposal, transparent = 0, 0, None
     while True:
@@ -278,9 +207,11 @@ def decode_gif(blob: bytes) -> Iterator[Frame]:
         palette = common if own is None else own
         if palette is None:
             raise ValueError("no palette")
-        bits = blob[at]
-        data, at = _blocks(blob, at + 1)
-        pixels = lzw_decode(data, bits, w * h)
+        if w * h > MAX_PIXELS:
+            raise ValueError(f"a frame of {w} x {h}")
+        data, end = _blocks(blob, at + 1)
+        pixels = np.frombuffer(lzw_decode(data, blob[at], w * h), np.uint8)
+        at = end
         if len(pixels) < w * h:
             raise ValueError("frame is cut short")
         pixels = pixels.reshape(h, w)
@@ -306,47 +237,57 @@ def decode_gif(blob: bytes) -> Iterator[Frame]:
         delay, disposal, transparent = 0, 0, None
 
 
-GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+_BYTES = np.arange(256, dtype=np.uint8)
+#: The stored files' colours; red tells the byte.
+COLOURS = np.stack([_BYTES, 255 - _BYTES, _BYTES * np.uint8(37)], 1).tobytes()
 
 
 def payload_gif(payload: bytes) -> bytes:
-    """A file whose frames show payload (a multiple of 64 bytes) as grey rows of 64."""
-    data = np.frombuffer(payload, np.uint8)
-    rows = len(data) // ROW
-    parts = [b"GIF89a", struct.pack("<HHBBB", ROW, min(rows, FRAME_ROWS), 0xF7, 0, 0), GREY]
-    for top in range(0, rows, FRAME_ROWS):
-        h = min(FRAME_ROWS, rows - top)
-        parts.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, DELAY, 0, 0))
-        parts.append(struct.pack("<BHHHHBB", 0x2C, 0, 0, ROW, h, 0, 8))
-        parts.append(chained(pack_codes(literal_codes(data[top * ROW : (top + h) * ROW]), 9)))
+    """A file whose frames show payload (a multiple of 64 bytes) in rows of 64."""
+    data = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+    shown = np.zeros((min(len(data), FRAME_ROWS), ROW), np.uint8)
+    parts = [b"GIF89a", struct.pack("<HHBBB", ROW, len(shown), 0xF7, 0, 0), COLOURS]
+    for number, top in enumerate(range(0, len(data), FRAME_ROWS)):
+        frame = data[top : top + FRAME_ROWS]
+        seen = shown[: len(frame)]
+        unused = np.flatnonzero(np.bincount(frame.ravel(), minlength=256) == 0)
+        clear = int(unused[0]) if len(unused) else None
+        drawn = frame if clear is None else np.where(frame == seen, np.uint8(clear), frame)
+        disposal = 1 + number % 3
+        parts.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | (clear is not None), DELAY, clear or 0, 0))
+        parts.append(struct.pack("<BHHHHBB", 0x2C, 0, 0, ROW, len(frame), 0, 8))
+        parts.append(chained(lzw_encode(drawn.tobytes())))
+        if disposal < 3:
+            seen[:] = frame if disposal == 1 else 0
     return b"".join([*parts, b"\x3b"])
 
 
 def histogram(frame: Frame, bins: int = 8) -> np.ndarray:
     """Pixels of the frame's rectangle by channel and bin (3 x bins)."""
-    shown = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width].reshape(-1, 3)
-    if bool((shown[:, 0] == shown[:, 1]).all()) and bool((shown[:, 1] == shown[:, 2]).all()):
-        return np.tile(np.bincount(shown[:, 0], minlength=256).reshape(bins, -1).sum(1), (3, 1))
-    return np.stack([np.bincount(shown[:, c], minlength=256).reshape(bins, -1).sum(1) for c in range(3)])
+    seen = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width].reshape(-1, 3)
+    return np.stack([np.bincount(seen[:, c], minlength=256).reshape(bins, -1).sum(1) for c in range(3)])
 
 
-FRAMES = "media_id string, frame int, start_ms long, delay_ms long, x int, y int, width int, height int, disposal int, transparent int, red array<long>, green array<long>, blue array<long>"
+FRAMES = "media_id string, frame int, start_ms long, delay_ms long, x int, y int, width int, height int, disposal int, transparent int, red array<long>, green array<long>, blue array<long>, error string"
 
 
 def gif_frames(media: DataFrame) -> DataFrame:
     """One row per frame of media (media_id, body): time, place, disposal and histogram columns."""
     small_batches(media.sparkSession, 200)
 
+    schema = pa.schema([("media_id", pa.string()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), *((n, pa.int32()) for n in ("x", "y", "width", "height", "disposal", "transparent")), *((n, pa.list_(pa.int64())) for n in ("red", "green", "blue")), ("error", pa.string())])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("media_id", pa.string()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), *((n, pa.int32()) for n in ("x", "y", "width", "height", "disposal", "transparent")), *((n, pa.list_(pa.int64())) for n in ("red", "green", "blue"))])
         for batch in batches:
             rows = []
             for key, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 start = 0
-                for i, f in enumerate(decode_gif(body) if body else ()):
-                    red, green, blue = histogram(f).tolist()
-                    rows.append((key, i, start, 10 * f.delay, f.left, f.top, f.width, f.height, f.disposal, f.transparent, red, green, blue))
-                    start += 10 * f.delay
+                try:
+                    for i, f in enumerate(decode_gif(body) if body else ()):
+                        rows.append((key, i, start, 10 * f.delay, f.left, f.top, f.width, f.height, f.disposal, f.transparent, *histogram(f).tolist(), None))
+                        start += 10 * f.delay
+                except DAMAGE as error:
+                    rows.append((key, *[None] * 12, str(error) or type(error).__name__))
             columns = list(zip(*rows, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
