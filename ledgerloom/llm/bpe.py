@@ -34,8 +34,8 @@ from .common import read, small_batches, text_of
 TABLE = 600_000
 #: Failing words up to these lengths in bytes are merged together, a matrix for each; longer ones one by one.
 TOGETHER = (8, 12, 16, 24, 40)
-#: Bytes of the longest token that is proposed; any proposal is right if it holds.
-REACH = 8
+#: Bytes of a token's beginning by which the lengths to try are looked up.
+LEAD = 3
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Fixed value: how the vocabulary's pre-tokeniser cuts words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,6 +71,8 @@ class ByteBPE:
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab = spec["model"]["vocab"]
+        if odd := [t["content"] for t in spec["added_tokens"] if any(t.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized"))]:
+            raise ValueError(f"added tokens that are found in other ways than as they stand: {odd}")
         self.id_of = {raw(t): i for t, i in vocab.items()}
         size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.bytes_of: list[bytes] = [b""] * size
@@ -99,6 +101,11 @@ class ByteBPE:
         self.pair_key = np.array([k for k, _ in pairs], np.int64)
         self.pair_rank = np.array([r for _, r in pairs], np.int64)
         self._cutters(self.special)
+        #: Lengths of the tokens with a beginning, longest first; those of one and two bytes may be met anywhere.
+        lengths: dict[bytes, set[int]] = {}
+        for b in self.id_of:
+            lengths.setdefault(b[:LEAD], {1, 2}).add(len(b))
+        self.lengths = {b: tuple(sorted(n, reverse=True)) for b, n in lengths.items() if len(b) == LEAD}
         #: Tokens that merging their own bytes gives; others are never taken from a proposal.
         self.sound = np.array([not b or len(b) == 1 or self.merged(b) == [i] for i, b in enumerate(self.bytes_of)])
         self.stats = {"words": 0, "merged": 0}
@@ -139,13 +146,13 @@ class ByteBPE:
         """The word itself if it is a token, else the longest match from the left."""
         if (t := self.id_of.get(word)) is not None:
             return [t]
-        out, i, n, id_of = [], 0, len(word), self.id_of
+        out, i, n, id_of, lengths = [], 0, len(word), self.id_of, self.lengths
         while i < n:
-            j = min(n, i + REACH)
-            while (t := id_of.get(word[i:j])) is None:
-                j -= 1
-            out.append(t)
-            i = j
+            for k in lengths.get(word[i : i + LEAD], (2, 1)):
+                if k <= n - i and (t := id_of.get(word[i : i + k])) is not None:
+                    out.append(t)
+                    i += k
+                    break
         return out
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
