@@ -1,20 +1,26 @@
 """Mixture-controlled packing: every window takes the target proportion of each source.
 
-Each source is a queue of tokens. A deficit round-robin gives queue j its share of every window and carries what
-rounding withholds to the next one. Served that way, queue j has given ``floor(y P_j) - floor(y P_(j-1))`` tokens after
-y tokens in all (P: running sums of the shares), so what each window takes, and where in the window it lies, follows
-from y alone: windows need no common state, and partitions agree on them without talking to each other. The carried
-deficit is ``y p_j`` minus what the queue has given, less than one token either way.
+Each source is a queue of tokens with a target weight. A deficit round-robin gives queue j its part of every window and
+carries what rounding withholds to the next one. Served that way, queue j has given ``floor(y P_j) - floor(y P_(j-1))``
+tokens after y tokens in all (P: running sums of the targets), so what each window takes, and where in the window it
+lies, follows from y alone: windows need no common state, and partitions agree on them without talking to each other.
+The carried deficit is ``y p_j`` minus what the queue has given, less than one token either way.
 
-Sources with less than one token a window share a queue, so there are at most as many queues as a window has tokens,
-whatever the number of sources. Shares are the sources' parts of all tokens, so all queues run dry together, and
-targets that deviate are met in phases (``phases``).
+Targets are weights by source (sources without one come last), or, without ``targets``, the sources' tokens to the power
+``temperature``: 1 keeps natural proportions, less favours small sources. As each token is packed once, a mixture runs in
+phases: every window has the targets' proportions among the sources that are left, until the first of them runs dry.
 
-Places within a queue: a hash deals its documents to blocks, block sums give the blocks' starts, and each block sums
-its own documents. A hot source is spread over as many blocks as it needs.
+Sources with less than one token a window share a queue, unless the targets name them, so there are at most as many
+queues as a window has tokens and targets have names, whatever the number of sources.
+
+Places within a queue: a hash deals its documents to blocks, block sums give the blocks' starts in two levels, and each
+block sums its own documents. A hot source is spread over as many blocks as it needs.
+
+Tokens are those of the tokenizers library (the tests hold them against it); see ``LibraryTokens``.
 
 Defined results: a null or empty text is its end token alone; a null source is a source; repeated rows are packed once
-each; documents longer than a window are cut; an empty table gives an empty result; extra columns are ignored.
+each; rows that share an id, or have none, are packed each on its own; documents longer than a window are cut; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +41,14 @@ from .common import read, small_batches, staged, text_of
 
 END = 1
 WINDOW = 2048
-#: Documents to a block, about; a block is one group of a window function.
-BLOCK = 2000
+#: Documents to a block and blocks to a stretch, about; each is one group of a window function.
+BLOCK, STRETCH = 1000, 1000
+#: Power of the sources' tokens that the query's mixture weights follow.
+TEMPERATURE = 0.7
 
 
 class LibraryTokens(ByteBPE):
-    """Pieces are cut and kept as in ByteBPE; new ones are encoded by libraries.
+    """Pieces are cut and kept as in ByteBPE; new ones are encoded by libraries, with the ids of the tokenizers library.
 
     Where the ids of a vocabulary follow the order of its merges, and merging any token's bytes gives the token, its
     merge list and its ranks are the same encoder, and the faster of the two libraries reads it as ranks. Otherwise the
@@ -89,26 +97,28 @@ def library(path: str) -> LibraryTokens:
 
 
 def token_table(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, source, n (with the end token) and ids (two or four bytes each, little-endian) of each row."""
+    """doc_id, source, n (with the end token), ids (two or four bytes each, little-endian) and their checksum of each row."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = library(vocabulary or default_vocabulary())
         for batch in batches:
             ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(END)) for x in tokens.encode_batch(batch.column(2).to_pylist())]
+            blobs = [packed_ids(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([packed_ids(x) for x in ids], pa.binary()),
+                    pa.array(blobs, pa.binary()),
+                    pa.array([zlib.crc32(x) for x in blobs], pa.int64()),
                 ],
-                names=["doc_id", "source", "n", "ids"],
+                names=["doc_id", "source", "n", "ids", "tag"],
             )
 
     source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source.alias("source"), text_of(docs).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, source string, n long, ids binary")
+    return rows.mapInArrow(work, "doc_id long, source string, n long, ids binary, tag long")
 
 
 def packed_ids(ids: np.ndarray) -> bytes:
@@ -170,15 +180,46 @@ class Plan:
             at, w = upto, w + 1
 
 
-def queues_of(sums: DataFrame, total: int, window: int = WINDOW) -> list[tuple[list[str | None] | None, int]]:
+class Mixture:
+    """Where each queue's tokens go, phase by phase."""
+
+    def __init__(self, sizes: list[int], weights: list[float], window: int = WINDOW) -> None:
+        self.phases: list[tuple[Plan, int]] = []  # with the phase's first sequence
+        self.begins: list[list[int]] = [[] for _ in sizes]  # of each queue, by phase
+        at, first = [0] * len(sizes), 0
+        for windows, take in phases(dict(enumerate(sizes)), dict(enumerate(weights)), window):
+            part = [take.get(j, 0) for j in range(len(sizes))]
+            self.phases.append((Plan(part, window), first))
+            for j, n in enumerate(part):
+                self.begins[j].append(at[j])
+                at[j] += n
+            first += windows
+
+    def pieces(self, j: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start in the document, length, sequence, offset) of a document of n tokens at start in queue j."""
+        begins, at, end = self.begins[j], start, start + n
+        k = bisect_right(begins, at) - 1
+        while at < end:
+            upto = min(end, begins[k + 1]) if k + 1 < len(begins) else end
+            if upto > at:
+                plan, first = self.phases[k]
+                for s, length, sequence, offset in plan.pieces(j, at - begins[k], upto - at):
+                    yield at - start + s, length, first + sequence, offset
+            at, k = upto, k + 1
+
+
+def queues_of(sums: DataFrame, total: int, window: int = WINDOW, named: list[str] | None = None) -> list[tuple[list[str | None] | None, int]]:
     """(sources, tokens) of each queue, largest first; None: all sources that have no queue of their own.
 
-    Only sources with a token a window or more are fetched: fewer than a window has tokens.
+    Only sources that are named, or have a token a window or more, are fetched: the latter are fewer than a window has
+    tokens.
     """
-    large = [(r["source"], r["n"]) for r in sums.filter(F.col("n") * window >= total).orderBy(F.desc("n"), "source").collect()]
+    own = F.col("n") * window >= total
+    own = own | F.coalesce(F.col("source").isin(named), F.lit(False)) if named else own
+    large = [(r["source"], r["n"]) for r in sums.filter(own).orderBy(F.desc("n"), "source").collect()]
     rest = total - sum(n for _, n in large)
     out: list[tuple[list[str | None] | None, int]] = [([s], n) for s, n in large]
-    if rest and rest * window < total and out:
+    if rest and rest * window < total and out and not named:
         rest += out.pop()[1]  # too small even together: they join the smallest queue
     if rest:
         out.append((None, rest))
@@ -188,14 +229,15 @@ def queues_of(sums: DataFrame, total: int, window: int = WINDOW) -> list[tuple[l
 def phases(tokens: dict[str, int], targets: dict[str, float], window: int = WINDOW) -> list[tuple[int, dict[str, int]]]:
     """(windows, tokens a phase takes of each source) for targets other than the sources' own shares.
 
-    In a phase every window has the targets' proportions among the sources left; it ends when the first runs dry.
+    In a phase every window has the targets' proportions among the sources left, and a token at least of each that has a
+    weight; it ends when the first runs dry.
     """
     left, out = {s: n for s, n in tokens.items() if n}, []
     while left:
         weight = {s: max(targets.get(s, 0.0), 0.0) for s in left}
         if not sum(weight.values()):
             weight = dict(left)
-        live = {s: w / sum(weight.values()) for s, w in weight.items() if w}
+        live = _shares(weight, window)
         count = min(int(left[s] // (window * p)) for s, p in live.items())
         if count:
             take = {s: min(left[s], int(count * window * p)) for s, p in live.items()}
@@ -210,6 +252,19 @@ def phases(tokens: dict[str, int], targets: dict[str, float], window: int = WIND
     return out
 
 
+def _shares(weight: dict, window: int) -> dict:
+    """Parts of a window by weight, none below one token; of more sources than a window has tokens, the heaviest."""
+    some = sorted((s for s in weight if weight[s]), key=lambda s: -weight[s])[:window]
+    least: list = []
+    while True:
+        others = sum(weight[s] for s in some if s not in least)
+        part = {s: 1 / window if s in least else weight[s] / others * (1 - len(least) / window) for s in some}
+        small = [s for s in some if s not in least and part[s] < 1 / window]
+        if not small:
+            return part
+        least += small
+
+
 def _one_window(left: dict[str, int], live: dict[str, float], window: int) -> dict[str, int]:
     take = {s: min(left[s], int(window * p)) for s, p in live.items()}
     for s in sorted(left, key=lambda s: (-live.get(s, 0.0), s)):
@@ -221,28 +276,41 @@ def _one_window(left: dict[str, int], live: dict[str, float], window: int) -> di
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece of each document."""
+def pack(
+    docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = 1.0, window: int = WINDOW, vocabulary: str | None = None
+) -> DataFrame:
+    """One row per piece of each document. targets: weights by source, as many as a window has tokens at most."""
+    if targets is not None and (len(targets) > window or not all(0 <= w < float("inf") for w in targets.values())):
+        raise ValueError("targets are weights from 0 on, as many as a window has tokens at most")
     spark = docs.sparkSession
     table = staged(token_table(docs, vocabulary), "tokens")
     sums = table.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     totals = sums.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).first()
     if not totals["n"]:
         return spark.createDataFrame([], SCHEMA)
-    queues = queues_of(sums, totals["n"], window)
-    plan = Plan([n for _, n in queues], window)
+    queues = queues_of(sums, totals["n"], window, sorted(targets or {}))
+    sizes = [n for _, n in queues]
+    if targets is None:
+        weights = [float(n) ** temperature for n in sizes]
+    else:
+        weights = [sum(targets.get(s, 0.0) for s in names or []) for names, _ in queues]
+    mixture = Mixture(sizes, weights, window)
     blocks = max(1, totals["docs"] // BLOCK)
-    # At most `window` names, so the map is bounded.
+    # At most `window` names and as many again that targets name, so the map is bounded.
     own = {s: j for j, (names, _) in enumerate(queues) for s in names or []}
     last = len(queues) - 1
     named = [x for s, j in own.items() if s is not None for x in (F.lit(s), F.lit(j))]
     queue = F.coalesce(F.element_at(F.create_map(*named), F.col("source")), F.lit(last)) if named else F.lit(last)
     queue = F.when(F.col("source").isNull(), F.lit(own.get(None, last))).otherwise(queue)
-    placed = table.withColumns({"q": queue, "b": F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")})
-    starts = placed.groupBy("q", "b").agg(F.sum("n").alias("n")).select(
-        "q", "b", (F.sum("n").over(Window.partitionBy("q").orderBy("b")) - F.col("n")).alias("block_start")
+    block = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(blocks))
+    placed = table.withColumns({"q": queue, "b": block.cast("long")})
+    sums = placed.groupBy("q", "b").agg(F.sum("n").alias("n")).withColumn("c", (F.col("b") / STRETCH).cast("long"))
+    wide = sums.groupBy("q", "c").agg(F.sum("n").alias("m")).select(
+        "q", "c", (F.sum("m").over(Window.partitionBy("q").orderBy("c")) - F.col("m")).alias("before")
     )
-    within = Window.partitionBy("q", "b").orderBy("doc_id", "n", "ids")
+    starts = sums.withColumn("own", F.sum("n").over(Window.partitionBy("q", "c").orderBy("b")) - F.col("n")).join(wide, ["q", "c"])
+    starts = starts.select("q", "b", (F.col("own") + F.col("before")).alias("block_start"))
+    within = Window.partitionBy("q", "b").orderBy("doc_id", "n", "tag", "ids")
     rows = (
         placed.join(starts, ["q", "b"])
         .withColumn("at", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") + F.col("block_start"))
@@ -254,7 +322,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
             out = []
             for doc, source, q, at, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = unpacked_ids(blob)
-                for start, length, sequence, offset in plan.pieces(q, at, len(ids)):
+                for start, length, sequence, offset in mixture.pieces(q, at, len(ids)):
                     crc = zlib.crc32(ids[start : start + length].tobytes())
                     out.append((doc, start, length, crc, len(ids), sequence, offset, source))
             columns = list(zip(*out, strict=True)) or [()] * 8
@@ -268,4 +336,4 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir))
+    return pack(read(spark, sf_dir), temperature=TEMPERATURE)

@@ -231,6 +231,14 @@ def test_bpe_equals_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_batch(texts)] == want
     assert [own.decode(np.array(x)) for x in want] == [lib.decode(x, skip_special_tokens=False) for x in want]
     assert 0 < own.stats["merged"] < own.stats["words"]
+    most = max(map(len, own.id_of))
+    for t in [*texts[:300], "internationalisation" * 3, " " * 200, "=" * 150 + "x"]:
+        raw, at, want = t.encode(), 0, []
+        while raw not in own.id_of and at < len(raw):  # the longest token at each place
+            n = next(k for k in range(min(most, len(raw) - at), 0, -1) if raw[at : at + k] in own.id_of)
+            want.append(own.id_of[raw[at : at + n]])
+            at += n
+        assert own.proposed(raw) == (want or [own.id_of[raw]] if raw else [])
     words = ["".join(random.Random(i).choice("aeinrst") for _ in range(i % 60 + 1)).encode() for i in range(300)]
     assert own.merged_together(words) == [own.merged(w) for w in words]
 
@@ -279,6 +287,63 @@ def test_packing_proportions():
             assert abs(plan.given(w, j) - plan.given(w - 1, j) - 2048 * share) < 2 and abs(plan.deficit(w, j)) < 1
     taken = packing.phases({"a": 100_000, "b": 30_000}, {"a": 0.5, "b": 0.5})
     assert sum(sum(t.values()) for _, t in taken) == 130_000 and taken[0][1]["a"] == taken[0][1]["b"]
+    rng = random.Random(3)
+    for _ in range(60):  # every token of every queue has one place, whatever sizes and weights
+        sizes = [rng.randrange(1, 400) for _ in range(rng.randrange(1, 7))]
+        mixture = packing.Mixture(sizes, [rng.choice([0.0, 0.2, 1.0, 5.0]) for _ in sizes], 16)
+        places = []
+        for j, n in enumerate(sizes):
+            at = 0
+            while at < n:
+                m = min(n - at, rng.randrange(1, 50))
+                pieces = list(mixture.pieces(j, at, m))
+                assert [s for s, *_ in pieces] == [sum(x[1] for x in pieces[:i]) for i in range(len(pieces))] and sum(x[1] for x in pieces) == m
+                places += [(seq, off + i) for _, length, seq, off in pieces for i in range(length)]
+                at += m
+        assert len(set(places)) == len(places) == sum(sizes)
+        fill = {}
+        for seq, off in places:
+            fill[seq] = max(fill.get(seq, 0), off + 1)
+        assert sum(fill.values()) == len(places) and sorted(fill) == list(range(len(fill)))
+        assert all(n == 16 or not n & (n - 1) for n in fill.values())
+
+
+@pytest.mark.parametrize("targets", [{"web": 0.5, "books": 0.3, "code": 0.2}, {"code": 0.6, "books": 0.4}, None])
+def test_packed_windows_have_the_targets(spark, none, targets):
+    """Proportions of pack's own rows: within two tokens of the targets in each window until a source runs dry, deficits below one."""
+    rng = random.Random(7)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    sizes = {"web": 260, "books": 60, "code": 40, None: 6}
+    rows, i = [], 0
+    for source, n in sizes.items():
+        for _ in range(n):
+            rows.append((i if i % 9 else None, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 150))), source, 0))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, start int").repartition(5)
+    got = packing.pack(docs, targets, temperature=0.5, window=256).collect()
+    lib = library()
+    tokens: dict = {}
+    for _, t, s, _ in rows:
+        tokens[s] = tokens.get(s, 0) + len(lib.encode(t, add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in got) == sum(tokens.values())
+    weight = {s: n**0.5 for s, n in tokens.items()} if targets is None else {s: targets.get(s, 0.0) for s in tokens}
+    share = {s: w / sum(weight.values()) for s, w in weight.items()}
+    full = min(int(tokens[s] // (256 * p)) for s, p in share.items() if p)
+    given: dict = {}
+    for r in got:
+        given.setdefault(r["sequence_id"], {}).setdefault(r["source"], []).append(r["length"])
+    owed = dict.fromkeys(share, 0.0)
+    assert full > 10
+    for w in range(full):
+        for s, p in share.items():
+            n = sum(given[w].get(s, []))
+            assert abs(n - 256 * p) < 2, (w, s, n, 256 * p)
+            owed[s] += 256 * p - n
+            assert abs(owed[s]) < 3
+    assert all(sum(map(sum, x.values())) == 256 for w, x in given.items() if w < sum(tokens.values()) // 256)
+    assert packing.pack(none, targets).count() == 0
+    with pytest.raises(ValueError, match="weights"):
+        packing.pack(docs, {"web": -1.0})
 
 
 # --- near duplicates and repeats ---
