@@ -10,7 +10,8 @@ a UTC instant, a response (or, where an equal payload stands earlier, a revisit
 digests, and its declared HTTP type.
 
 Defined results: a null or empty html is an empty payload; a null url becomes ``urn:page:<id>``; blanks and line breaks
-in a URL are percent-encoded; repeated rows make a record each; an empty table gives an empty result; extra columns are
+in a URL are percent-encoded; repeated rows make a record each, and of equal payloads all but one revisit that one; a
+null page_id comes after all others; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, staged
+from .common import discard, read, small_batches, staged
 
 #: The fields of the two versions' header lines.
 FIELDS = {
@@ -229,10 +230,13 @@ def arc_index(archives: DataFrame) -> DataFrame:
 def revisits(index: DataFrame) -> DataFrame:
     """(name, revisits) by archive: the place of each revisit and its response's page, id and date.
 
+    The response is the record with the smallest page, one of them if a page stands on several rows; no page is last.
+
     Digests are counted before the shuffle; only those that repeat are joined, so a hot payload costs a row a copy.
     """
     large = index.filter(F.col("n") >= LEAST)
-    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "id", "date", "name", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "name", "at", "id", "date")
+    first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     again = large.select("digest", "name", "at").join(first, "digest").filter("name != first.name or at != first.at")
     return again.groupBy("name").agg(
         F.collect_list(F.struct("at", F.col("first.page_id").alias("page_id"), F.col("first.id").alias("id"), F.col("first.date").alias("date"))).alias("revisits")
@@ -290,8 +294,10 @@ def read_back(archives: DataFrame) -> DataFrame:
 def warc_of(pages: DataFrame) -> DataFrame:
     """Archive pages as ARC, convert to WARC, write, and read the records back."""
     archives = staged(arc_files(pages), "arc")
-    roles = revisits(staged(arc_index(archives), "arc-index"))
-    return read_back(staged(convert(archives, roles), "warc"))
+    index = staged(arc_index(archives), "arc-index")
+    made = staged(convert(archives, revisits(index)), "warc")
+    discard(archives, index)
+    return read_back(made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,9 +307,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
-f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT d.page_id, payload_bytes, d.payload_digest,
-  CASE WHEN first IS NULL OR first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> d.page_id THEN first END AS refers_to
-FROM d LEFT JOIN f USING (payload_digest)
+n AS (SELECT *, row_number() OVER same AS nth, first_value(page_id) OVER same AS first
+  FROM d WINDOW same AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND nth > 1 THEN first END AS refers_to
+FROM n
 """
