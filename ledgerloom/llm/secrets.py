@@ -6,8 +6,12 @@ window's characters, and the sum of n log n over them, change by one character i
 the same whatever the window. A window above its class's threshold marks a span, and overlapping marks are one span.
 Candidates that the allow-list knows are passed over; base spans are never suppressed.
 
-Defined results: a null or empty text has no spans; repeated rows get equal results; an empty table gives an empty
-result; extra columns are ignored by ``scan_secrets`` and kept by ``redact_secrets``.
+Runs under ``SHORTEST`` characters aren't measured: they have too few for entropy to tell a key from a word.
+
+Defined results: a null or empty text has no spans; texts of any length are scanned whole, in time linear in it; of base
+finds of one kind that overlap the leftmost counts, and kinds that start together stand in the order of ``KINDS``;
+repeated rows get equal results; an empty table gives an empty result; extra columns are ignored by ``scan_secrets`` and
+kept by ``redact_secrets``.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ LEAST = {"assign": 8, "access": 16}
 #: Character class: its characters, window and bits above which a window is too even to be language.
 CLASSES = {
     "hex": (frozenset("0123456789abcdefABCDEF"), 32, 3.3),
-    "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 4.05),
+    "base32": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 32, 3.9),
+    "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 3.95),
 }
 #: What looks random and is none: words of one case, numbers, identifiers in the usual grouping, paths.
 ALLOWED = [
@@ -63,13 +68,18 @@ def threshold(kind: str, n: int) -> float:
 
 
 def runs_of(kind: str, s: str) -> Iterator[tuple[int, int]]:
-    """Maximal runs of the class's characters, SHORTEST or longer. Shorter than its window, a number isn't hex."""
+    """Maximal runs of the class's characters, SHORTEST or longer. Shorter than its window, a number isn't hex.
+
+    Capitals alone aren't base32, nor digits alone.
+    """
     chars, width, _ = CLASSES[kind]
     start = 0
     for i in range(len(s) + 1):
         if i == len(s) or s[i] not in chars:
-            if i - start >= SHORTEST and (kind != "hex" or i - start >= width or not s[start:i].isdigit()):
-                yield start, i
+            if i - start >= SHORTEST:
+                run = s[start:i]
+                if not (kind == "hex" and i - start < width and run.isdigit() or kind == "base32" and (run.isalpha() or run.isdigit())):
+                    yield start, i
             start = i + 1
 
 
