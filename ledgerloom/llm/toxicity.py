@@ -12,7 +12,8 @@ are the features of a logistic regression; words, language, source and identifie
 
 Both are fitted on at most about ``SAMPLE`` labelled rows, taken by a hash of doc_id. Scoring covers all rows.
 
-Defined results: a null or empty text has no hits and the score of clean texts; rows without a label are scored alike;
+Defined results: a null or empty text has no hits and the score of clean texts; texts of any length count whole; rows
+without a label are scored alike; an id with several labels is toxic if one of them is;
 without labelled rows of both kinds the lexicon is empty and the score is one half or the labels' mean; repeated rows
 get equal scores; an empty table gives an empty result; extra columns are ignored.
 """
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, text_of
 
-#: Bounds: labelled rows that are fitted on, and entries of the lexicon.
-SAMPLE, ENTRIES = 8000, 400
+#: Labelled rows that are fitted on, about. The lexicon holds what they show, without another bound.
+SAMPLE = 8000
 THRESHOLD = 0.3
 #: Stem lengths; toxic texts that an entry must stand in, copies counted once (what only copies of a few texts hold says
 #: nothing); the share of toxic ones among its texts.
@@ -221,7 +222,7 @@ class Scorer:
         exact = near = quoted = addressed = 0
         kinds, shouted = set(), 0
         open_quote = False
-        raw = text.split() if len(text) == len(lowered) else tokens
+        raw = text.split()
         for i, w in enumerate(tokens):
             marks = sum(map(w.count, QUOTES)) if not w.isalpha() else 0
             if w in hits:
@@ -304,23 +305,23 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     total = rows.count()
     part = min(1.0, SAMPLE / max(total, 1))
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).dropDuplicates(["doc_id"])
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     sample = texts.join(F.broadcast(picked), "doc_id").select("toxic", "text")  # about SAMPLE rows
     counts = sample.mapInArrow(_entry_counts, "entry string, bad long, n long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     precise = counts.filter((F.col("bad") >= LEAST) & (F.col("bad") >= PRECISION * F.col("n")))
-    found = precise.orderBy(F.desc("bad"), F.length("entry"), "entry").limit(10 * ENTRIES).collect()
+    found = precise.collect()  # of SAMPLE texts
     places = sample.filter("toxic = 1").select("text").mapInArrow(_places(frozenset(r["entry"] for r in found)), "entry string, beside long")
     apart = {r["entry"] for r in places.groupBy("entry").agg(F.countDistinct("beside").alias("n")).filter(F.col("n") >= LEAST).collect()}
     kept = [r["entry"] for r in found if r["entry"] in apart]
-    words = sorted(x[:-1] for x in [k for k in kept if k.endswith(" ")][:ENTRIES])
+    words = sorted(x[:-1] for x in kept if x.endswith(" "))
     chosen: list[str] = []
-    for stem in sorted([k for k in kept if not k.endswith(" ")][:ENTRIES], key=lambda s: (len(s), s)):
+    for stem in sorted((k for k in kept if not k.endswith(" ")), key=lambda s: (len(s), s)):
         if not any(stem.startswith(s) for s in chosen):
             chosen.append(stem)
     clean = counts.filter(F.col("entry").endswith(" ") & (F.col("n") - F.col("bad") >= USUAL) & (F.col("bad") < PRECISION * F.col("n")))
     near = clean.select(F.expr("substring(entry, 1, length(entry) - 1)").alias("word")).mapInArrow(_near_words(chosen, words), "word string")
-    usual = [r["word"] for r in near.orderBy("word").limit(10 * ENTRIES).collect()]
+    usual = sorted(r["word"] for r in near.collect())  # of SAMPLE texts
     fitted = sample.mapInArrow(_features(chosen, words, usual), "toxic int, x array<double>").collect()  # bounded by SAMPLE
     x = np.array([r["x"] for r in fitted], float).reshape(-1, len(NAMES))
     y = np.array([r["toxic"] for r in fitted], float)
