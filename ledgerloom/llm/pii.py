@@ -12,7 +12,8 @@ then what starts after its first character. Numbers that fail with all of these
 Phones: three-three-four digits; with '+', any grouping of 8 to 15 digits; nationally, '0' and groups with 9 to 12 digits
 in all. Dates: year first, day first or, where only that is a date, month first.
 
-Defined results: a null or empty text has no spans and stays as it is; of overlapping finds the leftmost, then longest,
+Defined results: a null text becomes an empty one, an empty one stays, neither has spans; texts of any length are read
+whole; of overlapping finds the leftmost, then longest,
 counts; repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
@@ -31,8 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read, small_batches, text_of
 
 ROUNDS = 8
-KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date")
-FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: Of finds with the same ends, the first kind counts.
+KINDS = ("email", "card", "iban", "ssn", "ip", "date", "phone")
+#: Dates stay within their stretch of years, so that those of living people stay such dates.
+STRETCHES = [(date(1, 1, 1).toordinal(), date(1899, 12, 31).toordinal()), (date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()), (date(2100, 1, 1).toordinal(), date.max.toordinal())]
 
 
 def feistel(x: int, size: int, key: bytes, tweak: str) -> int:
@@ -181,10 +185,9 @@ def day(value: str, key: bytes) -> str | None:
                 x = date(got["y"], got["m"], got["d"]).toordinal()
             except ValueError:
                 continue
-            if not FIRST_DAY <= x <= LAST_DAY:
-                return None
+            first, last = next(s for s in STRETCHES if s[0] <= x <= s[1])
             late = order == "mdy"  # a day past the 12th gets another such, so that no other notation's dates are met
-            new = date.fromordinal(FIRST_DAY + walk(x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", lambda x: not late or date.fromordinal(FIRST_DAY + x).day > 12))
+            new = date.fromordinal(first + walk(x - first, last - first + 1, key, "date", lambda x: not late or date.fromordinal(first + x).day > 12))
             parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
             marks = re.findall(r"\D+", value)
             return "".join(x for pair in zip((parts[c] for c in order), [*marks, ""], strict=True) for x in pair)
@@ -193,7 +196,7 @@ def day(value: str, key: bytes) -> str | None:
 
 MAKERS = {"email": email, "phone": phone, "card": card, "iban": iban, "ssn": ssn, "ip": ip, "date": day}
 FINDERS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|(?<!\w)\+\d{10,13}(?!\w)"
         r"|(?<!\w)\+\d{1,3}(?:[ ./-]?\(0?\d{0,4}\))?(?:[ ./-]?\d){6,14}(?!\w)|(?<![\w.,+/-])\(?0\d{1,4}\)?(?:[ ./-]{1,2}\d{2,8}){1,5}(?!\w)"
         r"|(?<![\w.,+/-])(?<!\d )(?:[6-9]\d\d \d{3} \d{3}|[6-9]\d\d \d\d \d\d \d\d|[89]\d \d{3} \d\d \d\d)(?! ?\w*\d)"),
@@ -248,16 +251,28 @@ def pseudonyms(text: str, key: bytes, table: dict | None = None) -> list[tuple[i
 SCHEMA = "doc_id long, n_spans long, spans string, text string"
 
 
-@lru_cache(maxsize=1)
-def default_key() -> bytes:
-    """Stands for a secret that a deployment passes in."""
-    return hashlib.sha256(b"ledgerloom test key").digest()
+KEY_SETTING = "spark.ledgerloom.pseudonym.key"
 
 
-def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+@lru_cache(maxsize=8)
+def _fresh_key(application: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting gives in hexadecimal; else a random one that ends with the application.
+
+    With a random key, equal values are linked within the application, and nobody can undo or repeat its pseudonyms.
+    """
+    given = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(given) if given else _fresh_key(spark.sparkContext.applicationId)
+
+
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """Number and spans (kind:start:end in code points) of the values found in each row, and the text with pseudonyms."""
+    if not 16 <= len(key) <= 64:
+        raise ValueError("a key has 16 to 64 bytes")
     small_batches(docs.sparkSession)
-    key = key or default_key()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict = {}
@@ -281,4 +296,4 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir))
+    return pseudonymise(read(spark, sf_dir), session_key(spark))
