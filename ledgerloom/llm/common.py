@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +20,21 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, as in tests, a temporary one if all runs on this machine; on a cluster that is an error.
+    """
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +44,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append((spark, path))
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -40,6 +53,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stage what make returns, and delete what it staged on the way."""
+    _scopes.append(made := [])
+    try:
+        out = make()
+    finally:
+        _scopes.pop()
+    result = staged(out, name)
+    for spark, path in made:
+        _drop(spark, path)
+    return result
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that no frame refers to any more, as what came of them is written."""
     for df in tables:

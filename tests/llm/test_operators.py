@@ -14,6 +14,7 @@ from ledgerloom.llm import bpe, gif, jaccard, packing, pii, quality, secrets, su
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, node string, key string, start string, score double"
 VOCABULARY = bpe.default_vocabulary()
+KEY = b"a key of the tests"
 
 
 def sample_texts():
@@ -188,6 +189,76 @@ def test_entropy_windows():
         assert all(any(a <= i and i + width <= b for a, b in spans) for i in plain)
 
 
+def plain_entropy(t):
+    """Spans of windows that are counted afresh, by the rules as stated."""
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        s = m.group()
+        if any(p.fullmatch(s) for p in secrets.ALLOWED):
+            continue
+        marked = [False] * len(s)
+        for kind, (chars, most, _) in secrets.CLASSES.items():
+            for run in re.finditer("[" + re.escape("".join(sorted(chars))) + "]{20,}", s):
+                r = run.group()
+                if kind == "hex" and len(r) < most and r.isdigit() or kind == "base32" and (r.isalpha() or r.isdigit()):
+                    continue
+                w = min(most, len(r))
+                for i in range(len(r) - w + 1):
+                    part = r[i : i + w]
+                    bits = -sum(part.count(c) / w * np.log2(part.count(c) / w) for c in set(part))
+                    if bits > secrets.threshold(kind, w):
+                        a = run.start() + i
+                        marked[a : a + w] = [True] * w
+        found += [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer("1+", "".join("01"[b] for b in marked))]
+    return found
+
+
+def test_entropy_spans_in_texts(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    pools = [letters, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abab12", "0123456789", "abcdefghij-_", "aA1"]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            pool = rng.choice(pools)
+            parts.append("".join(rng.choice(pool) for _ in range(rng.choice([3, 15, 19, 20, 22, 24, 28, 31, 32, 33, 50, 90]))))
+        texts.append(rng.choice([" ", ", ", "=", ":\n"]).join(parts))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, spans string")
+    rows = secrets.scan_secrets(df).collect()
+    assert len(rows) == 300
+    hits = 0
+    for r in rows:
+        got = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("entropy")]
+        want = plain_entropy(texts[r["doc_id"]])
+        merged = []
+        for a, b in got:  # spans that only touch are one in the plain marks
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        assert merged == want and r["n_entropy"] == len(got)
+        hits += len(want)
+    assert hits > 300
+    # keys of 24 characters and more, in each class: nearly all are found; sentences and slugs aren't
+    for pool, n in ((letters, 24), (letters, 40), ("0123456789abcdef", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)):
+        keys = ["".join(rng.choice(pool) for _ in range(n)) for _ in range(300)]
+        assert sum(bool(secrets.high_entropy(k)) for k in keys) >= 285, pool
+    began = time.perf_counter()
+    secrets.redacted("a" * 100_000 + "1 " + "A1" * 50_000 + " password=" + "x" * 100_000)
+    assert time.perf_counter() - began < 8
+
+
+def test_redaction_as_a_stage(spark, none):
+    rows = [(1, "token: abcdefgh1234", 3, "s"), (1, "token: abcdefgh1234", 3, "s"), (2, None, 0, None), (None, "", 0, "x"), (4, "w " * 60_000 + "AKIA" + "Z" * 16, 5, "spans")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, spans string")
+    got = secrets.redact_secrets(df)
+    assert got.schema == df.schema
+    texts = [(r["doc_id"], r["text"] if r["text"] is None or len(r["text"]) < 99 else r["text"][-9:], r["n_chars"]) for r in got.collect()]
+    assert sorted(texts, key=repr) == sorted([(1, "token: [SECRET]", 15)] * 2 + [(2, None, 0), (None, "", 0), (4, " [SECRET]", 120_008)], key=repr)
+    assert secrets.redact_secrets(df.limit(0)).count() == 0
+
+
 def test_short_keys_and_long_slugs():
     rng = random.Random(2)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -511,6 +582,42 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, toxicity.learn(none, labels.limit(0))).count() == 0
 
 
+def test_quotation_is_told_from_abuse(spark):
+    rng = random.Random(3)
+    words = [f"word{c}" for c in "abcdefghijklmnopqrst"]
+    say = lambda: [rng.choice(words) for _ in range(rng.randrange(20, 40))]
+    quote = lambda w: rng.choice([f'she said "{w}" is what they wrote', f"the term {w} is a slur quoted in reports", f"he called it „{w}“ according to her"])
+    rows = []
+    for i in range(1500):
+        t, kind = say(), i % 3
+        if kind == 1:
+            t[10:10] = rng.choice(["you {} now", "shut up your {} face", "you are a {}"]).format(rng.choice(["grobnik", "zarflump"])).split()
+        if kind == 2 and i % 4 == 0:
+            t[10:10] = quote(rng.choice(["grobnik", "zarflump"])).split()
+        rows.append((i, " ".join(t), int(kind == 1)))
+    docs = spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(1, 0), (4, None)], "doc_id long, toxic int")
+    precision = toxicity.PRECISION
+    try:
+        toxicity.PRECISION = 0.7  # quoted uses are clean, so an insult's texts are less often toxic here
+        model = toxicity.learn(docs, labels)
+    finally:
+        toxicity.PRECISION = precision
+    weight = dict(zip(toxicity.NAMES, model.weights, strict=True))
+    assert weight["quoted"] < 0 < weight["addressed"] + weight["any"]
+    got = by_id(toxicity.score(docs, model))
+    abuse = [got[i]["score"] for i, _, x in rows if x and got[i]["held_out"]]
+    quoted = [got[i]["score"] for i, t, x in rows if not x and got[i]["n_hits"] and got[i]["held_out"]]
+    assert len(quoted) > 10 and sum(s >= 0.3 for s in abuse) / len(abuse) > 0.97 and sum(s < 0.3 for s in quoted) / len(quoted) > 0.9
+    scorer = toxicity.Scorer(["grobnik"])
+    at = toxicity.NAMES.index
+    for text, name, value in (('he said "grobnik" there', "quoted", 1), ("GROBNIK İ there", "shouted", 1), ("you grobnik", "addressed", 1), ("a grobnik", "addressed", 0)):
+        assert scorer.features(text)[at(name)] == value, text
+    twice = spark.createDataFrame([(7, "you grobnik", 1), (7, "you grobnik", 1), (8, "w " * 90_000 + "grobnik", 1)], "doc_id long, text string, score int")
+    out = toxicity.score(twice, model).collect()
+    assert len(out) == 3 and len({r["score"] for r in out if r["doc_id"] == 7}) == 1 and all(r["n_hits"] for r in out)
+
+
 def test_toxicity_of_misspelt_words(spark):
     rng = random.Random(9)
     words = [f"word{c}" for c in "abcdefghijklmnopqrst"]
@@ -560,6 +667,21 @@ def test_warc(spark):
     assert warc.warc_of(pages.limit(0)).count() == 0
 
 
+def test_warc_of_repeated_and_null_pages_equals_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    big = "y" * 150
+    rows = [(5, "http://a", big), (5, "http://a", big), (7, "u", big), (None, "u", big), (None, None, "z" * 120), (3, "u", "z" * 120), (9, "u", "short"), (9, "u", "short"), (11, "", "q" * 100), (11, "", "q" * 100)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string").repartition(3)
+    got = warc.warc_of(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": pd.array([r[0] for r in rows], "Int64"), "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    assert sorted(map(tuple, got), key=repr) == sorted(con.sql(warc.ORACLE_SQL).fetchall(), key=repr)
+    only = spark.createDataFrame([(None, None, "k" * 200), (None, None, "k" * 200)], "page_id long, url string, html string")
+    assert sorted(r["record_type"] for r in warc.warc_of(only).collect()) == ["response", "revisit"]
+
+
 # --- personal data ---
 
 
@@ -582,11 +704,32 @@ def test_pseudonyms_keep_formats():
 
 def test_pseudonymise(spark, docs, none):
     rows = [(1, "mail a.b@mail.example.com or 152.143.123.131, card 4111111111111111."), (2, "again a.b@mail.example.com; 1234567890123456 is no card"), (3, None)]
-    got = by_id(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k"))
+    got = by_id(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY))
     assert got[1]["n_spans"] == 3 and got[2]["n_spans"] == 1 and got[3]["text"] == ""
     assert "a.b@mail" not in got[1]["text"] and "1234567890123456" in got[2]["text"]
     assert got[1]["text"].split(" ")[1] == got[2]["text"].split(" ")[1].rstrip(";")
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, KEY).count() == 0
+    long = "w " * 50_000 + "a@b.example.com"
+    odd = spark.createDataFrame([(1, long, "x"), (1, long, "y"), (None, "", "z")], "doc_id long, text string, spans string")
+    out = pii.pseudonymise(odd, KEY).collect()
+    assert sorted(r["n_spans"] for r in out) == [0, 1, 1] and len({r["text"] for r in out if r["doc_id"] == 1}) == 1
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 32
+    with pytest.raises(ValueError, match="16 to 64"):
+        pii.pseudonymise(odd, b"short")
+
+
+def test_findings_in_a_text():
+    """What is found in sentences, by hand: kinds and values, and what must be left alone."""
+    found = lambda t: [(k, t[a:b]) for a, b, k, _ in pii.pseudonyms(t, KEY)]
+    name = "n" * 90
+    assert found(f"to {name}@x.example.org now") == [("email", f"{name}@x.example.org")]
+    assert found("born 14/07/1789, or 03/25/1984, due 2150-02-01") == [("date", "14/07/1789"), ("date", "03/25/1984"), ("date", "2150-02-01")]
+    assert found("call +44 20 7946 0958 or 020 7946 0958") == [("phone", "+44 20 7946 0958"), ("phone", "020 7946 0958")]
+    assert found("ssn 078-05-1120, not 000-12-3456; ip 10.0.0.256 isn't, 10.0.0.25 is") == [("ssn", "078-05-1120"), ("ip", "10.0.0.25")]
+    for t in ("version 1.2.3", "at @home", "a@b", "pages 100-200", "1234567890123", "x" * 30_000 + "@"):
+        assert not found(t), t[:40]
+    for t, years in (("1789-07-14", range(1, 1900)), ("1984-03-25", range(1900, 2100)), ("2150-02-01", range(2100, 10000))):
+        assert int(pii.day(t, KEY)[:4]) in years
 
 
 def test_pseudonyms_inside_longer_finds():
