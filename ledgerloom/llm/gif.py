@@ -39,6 +39,7 @@ MAX_PIXELS = 1 << 26
 
 #: Most codes of a table, by the format, and codes that are cut out of the bits at a time once the width is full.
 FULL, CHUNK = 4096, 4096
+_CHILDREN = [0] * (FULL << 8)
 
 
 def pack_codes(codes: np.ndarray, width: np.ndarray) -> bytes:
@@ -51,29 +52,34 @@ def pack_codes(codes: np.ndarray, width: np.ndarray) -> bytes:
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """Code stream of data: the longest string that the table holds, each time, and a clear code when the table is full."""
     clear = 1 << bits
+    # The child of a string's code and a byte, as code << 8, in a list that is set back after each run.
+    child, touched = _CHILDREN, []
     runs: list[list[int]] = []
-    codes, table, size, at = [clear], {}, clear + 2, -1
-    find, put = table.get, codes.append
-    for b in data:
-        if at < 0:
-            at = b
-            continue
-        key = at << 8 | b
-        known = find(key)
-        if known is not None:
+    codes, size = [clear], clear + 2
+    put, touch = codes.append, touched.append
+    at = data[0] << 8 if data else -1
+    for b in data[1:]:
+        known = child[at + b]
+        if known:
             at = known
             continue
-        put(at)
-        at = b
+        put(at >> 8)
         if size < FULL:
-            table[key] = size
+            child[at + b] = size << 8
+            touch(at + b)
             size += 1
         else:
             runs.append(codes)
-            codes, table, size = [clear], {}, clear + 2
-            find, put = table.get, codes.append
+            for k in touched:
+                child[k] = 0
+            touched.clear()
+            codes, size = [clear], clear + 2
+            put = codes.append
+        at = b << 8
     if at >= 0:
-        put(at)
+        put(at >> 8)
+    for k in touched:
+        child[k] = 0
     put(clear + 1)
     runs.append(codes)
     # The reader's table grows by a code with each but the first of a run, and the width with the table.
@@ -99,36 +105,39 @@ def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
         raise ValueError(f"code size {bits}")
     stream = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
     clear, first = 1 << bits, (1 << bits) + 2
-    plain = [bytes([i]) for i in range(clear)] + [b"", b""]
-    parts, got, at = [], 0, 0
-    table, last = plain[:], b""
-    while got < limit:
-        width = min(12, len(table).bit_length())
-        room = CHUNK if width == 12 else (1 << width) - len(table)
-        some = _codes(stream, at, room, width)
+    out, starts, at = bytearray(), [], 0  # starts: where in out each code of the run has put its string
+    while len(out) < limit:
+        size = first + max(0, len(starts) - 1)  # of the table; a string and its next byte are an entry
+        width = min(12, size.bit_length())
+        some = _codes(stream, at, CHUNK if width == 12 else (1 << width) - size, width)
         if not len(some):
             break
         stop = np.flatnonzero((some == clear) | (some == clear + 1))
         end = int(stop[0]) if len(stop) else len(some)
+        here, count = len(out), len(starts)
+        note, add = starts.append, out.append
         for code in some[:end].tolist():
-            if code < len(table):
-                entry = table[code]
-                if last and len(table) < FULL:
-                    table.append(last + entry[:1])
-            elif code == len(table) and last and code < FULL:
-                entry = last + last[:1]
-                table.append(entry)
+            note(here)
+            if code < clear:
+                add(code)
+                here += 1
             else:
-                raise ValueError("code beyond the table")
-            parts.append(entry)
-            got += len(entry)
-            last = entry
+                k = code - first  # the k-th code's string and the byte after it
+                if k >= count or k >= FULL - first:
+                    raise ValueError("code beyond the table")
+                low, high = starts[k], starts[k + 1] + 1
+                if high > here:  # the string that is being written
+                    out += out[low:here] + out[low : low + 1]
+                else:
+                    out += out[low:high]
+                here += high - low
+            count += 1
         at += width * (end + (1 if len(stop) else 0))
         if len(stop):
             if some[end] == clear + 1:
                 break
-            table, last = plain[:], b""
-    return b"".join(parts)[:limit]
+            starts = []
+    return bytes(out[:limit])
 
 
 # --- files ---
