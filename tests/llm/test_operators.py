@@ -538,6 +538,46 @@ def test_quality_rejects_outliers(spark):
     assert kept == set(range(300))
 
 
+def test_least_determinant_against_brute_force(spark):
+    """Statistics, estimates and verdicts against a plain search from many starts."""
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("a", "eda", "iro", "olinu")]
+    sound = []
+    for _ in range(240):
+        t = [rng.choice(words) for _ in range(rng.randrange(40, 300))]
+        t[3:3] = ["#"] * rng.randrange(0, 3)
+        sound.append(" ".join(t))
+    junk = [" ".join(rng.choice(["#$%&#$%&", "zz"]) + str(i) for i in range(80)) for _ in range(30)] + [" ".join("q" * 30 + str(i) for i in range(50)) for _ in range(20)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(sound + junk)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = quality.quality_verdicts(df, ["doc_id"]).select("__row.doc_id", "kept", "distance2").collect()
+    vectors = {}
+    for i, t, *_ in rows:
+        n, chars, symbols, dup, rep = plain_quality(t)
+        lines = max(1, sum(bool(x.strip(" \t\r\x0b\x0c")) for x in t.split("\n")))
+        vectors[i] = [np.log1p(n), np.log(max(chars, 1) / max(n, 1)), np.log1p(100 * symbols / max(chars, 1)), np.sqrt(dup / lines), np.sqrt(rep / max(n, 1))]
+    ids = [i for i, *_ in rows]
+    x = np.array([vectors[i] for i in ids])
+    floors, gen, best = np.array([quality.FLOORS[d] for d in quality.DIMS]), np.random.default_rng(1), None
+    scale = quality.consistency(quality.SUBSET, 5)
+    assert abs(scale - 1.41) < 0.03
+    h = int(np.ceil(quality.SUBSET * len(x)))
+    for _ in range(60):
+        near = gen.choice(len(x), 20, replace=False)
+        for _ in range(12):
+            cov = np.cov(x[near].T, bias=True) * scale + np.diag(floors**2)
+            d2 = np.einsum("ij,jk,ik->i", x - x[near].mean(0), np.linalg.inv(cov), x - x[near].mean(0))
+            near = np.argsort(d2, kind="stable")[:h]
+        key = np.linalg.slogdet(cov)[1]
+        if best is None or key < best[0]:
+            best = key, d2
+    plain = {i: d for i, d in zip(ids, best[1], strict=True)}
+    for r in got:
+        assert r["kept"] == (plain[r["doc_id"]] <= quality.CUTOFF), (r, plain[r["doc_id"]])
+        assert abs(np.log(r["distance2"] + 1) - np.log(plain[r["doc_id"]] + 1)) < 0.35
+    assert {r["doc_id"] for r in got if r["kept"]} >= set(range(240))
+
+
 # --- toxicity ---
 
 
