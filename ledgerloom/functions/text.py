@@ -2,8 +2,62 @@
 
 from __future__ import annotations
 
-from ..sources import views  # noqa: F401
+from ..sources import tasks  # noqa: F401
 from ..sql import relation
+from . import macros as m
+
+#: Names and codes of countries that are evidence for a code, and the code.
+COUNTRIES = {
+    "GB": ["GB", "UK", "UNITED KINGDOM", "GREAT BRITAIN"], "US": ["US", "USA", "UNITED STATES", "UNITED STATES OF AMERICA"], "CA": ["CA", "CANADA"], "IE": ["IE", "IRELAND"], "FR": ["FR", "FRANCE"], "DE": ["DE", "GERMANY"],
+    "ES": ["ES", "SPAIN"], "IT": ["IT", "ITALY"], "NL": ["NL", "NETHERLANDS", "THE NETHERLANDS"], "BE": ["BE", "BELGIUM"], "PT": ["PT", "PORTUGAL"], "AT": ["AT", "AUSTRIA"], "CH": ["CH", "SWITZERLAND"], "SE": ["SE", "SWEDEN"], "NO": ["NO", "NORWAY"],
+    "DK": ["DK", "DENMARK"], "FI": ["FI", "FINLAND"], "PL": ["PL", "POLAND"], "AU": ["AU", "AUSTRALIA"], "NZ": ["NZ", "NEW ZEALAND"], "SG": ["SG", "SINGAPORE"], "JP": ["JP", "JAPAN"], "IN": ["IN", "INDIA"],
+}
+#: Calling codes and national notations that are evidence for a country.
+CALLING = {
+    "GB": "([+]|(^|[^0-9A-Za-z_])00)[ ]*44($|[^0-9A-Za-z_])|(^|[^0-9A-Za-z_])[(]?07[0-9]{3}[)]?[ -]?[0-9]{3}[ -]?[0-9]{3}($|[^0-9A-Za-z_])",
+    "US": "([+]|(^|[^0-9A-Za-z_])00)[ ]*1($|[^0-9A-Za-z_])|(^|[^0-9A-Za-z_])[(]?[0-9]{3}[)]?[ .-][0-9]{3}[ .-][0-9]{4}($|[^0-9A-Za-z_])",
+}
+_MONTH = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+#: Dates as texts write them, without what stands around them.
+WRITTEN_DATE = rf"(?i)[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}(?:st|nd|rd|th)?[ ]+(?:{_MONTH})[.]?,?[ ]?[0-9]{{0,4}}|(?:{_MONTH})[ ]+[0-9]{{1,2}}(?:st|nd|rd|th)?"
+#: Notations of personal data, labels of numbers that are no person's, and words that speak of a birth.
+EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+PHONE = "[+]44[ -]?7700[ -]?9[0-9]{2}[ -]?[0-9]{3}|07700[ -]?9[0-9]{2}[ -]?[0-9]{3}|[(]?[0-9]{3}[)]?[ .-]?555[ .-]?01[0-9]{2}|[+][0-9]{1,3}[ -]?[(]?[0-9]{2,4}[)]?(?:[ -]?[0-9]{2,4}){2,4}"
+OFFICE = "(?i:switchboard|office line|main line|general enquir(?:y|ies))[ ]*[:-]?[ ]*[+0-9 -]{0,6}"
+BIRTH = "born|dob|date of birth"
+BIRTH_DATE = f"(?i)[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}[ ]+(?:{_MONTH})[.]?[ ]+[0-9]{{4}}"
+
+
+def country_values() -> str:
+    return ", ".join(f"('{name}', '{code}')" for code, names in COUNTRIES.items() for name in names)
+
+
+def digits_in(value: str, text: str) -> str:
+    """Whether the digits of value, or the last seven of them, stand in those of text."""
+    v, t = m.digits(value), m.digits(text)
+    return f"(length({v}) > 0 AND (contains({t}, {v}) OR (length({v}) >= 7 AND contains({t}, substr({v}, -7)))))"
+
+
+def without_zero_cents(value: str) -> str:
+    return f"CASE WHEN regexp_like({m.trimmed(value)}, '^-?[0-9]+[.]0+$') THEN regexp_replace({m.trimmed(value)}, '[.]0+$', '') ELSE {m.trimmed(value)} END"
+
+
+def amount_in(value: str, text: str) -> str:
+    """Whether an amount stands in text, digit by digit or as thousands with a k."""
+    bare = without_zero_cents(value)
+    thousands = f"transform(regexp_extract_all({text}, '([0-9]+(?:[.][0-9]+)?)[ ]*[kK](?:$|[^0-9A-Za-z_])', 1), x -> CAST(x AS DOUBLE) * 1000)"
+    return f"({digits_in(bare, text)} OR coalesce(array_contains({thousands}, TRY_CAST({bare} AS DOUBLE)), FALSE))"
+
+
+def found_pii(source: str, keys: str) -> str:
+    """(keys, type, text) of the personal data that patterns find in source's texts: all of them, labelled offices' numbers left out."""
+    valid = f"{MOD97} = 1"
+    return f"""
+SELECT {keys}, 'EMAIL' AS type, explode(regexp_extract_all(text, '{EMAIL}', 0)) AS text FROM {source}
+UNION ALL SELECT {keys}, 'PHONE', explode(filter(regexp_extract_all(text, '(?:{OFFICE})?(?:{PHONE})', 0), x -> NOT regexp_like(x, '^(?i:[a-z])'))) FROM {source}
+UNION ALL SELECT {keys}, 'IBAN', iban FROM (SELECT {keys}, iban, {_numeric('substr(iban, 5) || substr(iban, 1, 4)')} AS n FROM (SELECT {keys}, explode(regexp_extract_all(text, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}', 0)) AS iban FROM {source}) a) b WHERE {valid}
+UNION ALL SELECT {keys}, 'DATE_OF_BIRTH', explode(regexp_extract_all(sentence, '{BIRTH_DATE}', 0)) FROM (SELECT {keys}, explode(filter(split(text, '[.\n]'), x -> regexp_like(x, '(?i){BIRTH}'))) AS sentence FROM {source}) c
+"""
 
 relation("iban_samples", """
 SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'GB82WEST12345698765432' WHEN 1 THEN 'DE89370400440532013000' WHEN 2 THEN 'DE8937040044053201' || (3000 + o_orderkey % 50) ELSE 'FR' || (10 + o_orderkey % 90) || '30006000011234567890189' END AS iban FROM orders
@@ -20,46 +74,49 @@ def _numeric(x: str) -> str:
     return x
 
 
-def _mod97(n: str, upto: int = 44) -> str:
-    """n modulo 97, a few digits at a time, so that the numbers stay small."""
-    value = f"CAST(substr({n}, 1, 9) AS BIGINT) % 97"
-    for at in range(10, upto, 7):
-        some = f"substr({n}, {at}, 7)"
-        value = f"CASE WHEN length({n}) < {at} THEN {value} ELSE CAST(({value}) || {some} AS BIGINT) % 97 END"
-    return f"({value})"
+def _mod97(n: str, width: int = 72) -> str:
+    """n, of up to width digits, modulo 97: nine digits at a time, each with its power of ten."""
+    padded, parts = f"lpad({n}, {width}, '0')", width // 9
+    return "((" + " + ".join(f"CAST(substr({padded}, {1 + 9 * i}, 9) AS BIGINT) % 97 * {pow(10, 9 * (parts - 1 - i), 97)}" for i in range(parts)) + ") % 97)"
 
 
 MOD97 = _mod97("n")
 
+relation("country_texts", "SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'ship to GB now' WHEN 1 THEN 'office in great Britain' WHEN 2 THEN 'ring +44 20 7946' WHEN 3 THEN 'somewhere in france' WHEN 4 THEN 'reach us or use it' WHEN 5 THEN 'call 204-555-0167' WHEN 6 THEN 'the NETHERLANDS, USA' ELSE '07700 900123' END AS text FROM customer")
+relation("field_samples", f"SELECT item_id, field, type, allowed, said, gold FROM enquiry_said WHERE ok")
+relation("summaries_said", "SELECT conv_id, coalesce(summary, '') AS summary, coalesce(asked, '') AS asked FROM talks")
+relation("texts", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+
 QUERIES = {
-    "normalize_field": """
-SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN lower(trim(p_name)) WHEN 1 THEN regexp_replace(p_brand, '[^0-9]', '' /*g*/) WHEN 2 THEN CASE lower(p_type) WHEN 'uk' THEN 'GB' WHEN 'usa' THEN 'US' ELSE upper(p_type) END WHEN 3 THEN CAST(p_size AS STRING) ELSE CAST(CAST(round(p_retailprice) AS BIGINT) AS STRING) END AS value FROM part""",
-    "normalize_date": """
-SELECT id, CASE WHEN regexp_like(substr(v, 1, 10), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN coalesce(CAST(TRY_CAST(substr(v, 1, 10) AS DATE) AS STRING), lower(v)) ELSE lower(v) END AS value
-FROM (SELECT id, CASE id % 4 WHEN 0 THEN CAST(d AS STRING) || 'T10:00:00Z' WHEN 1 THEN '2024-02-30' WHEN 2 THEN 'Next Tuesday' ELSE CAST(d AS STRING) END AS v FROM dates_ref) x""",
-    "normalize_ws": "SELECT doc_id, length(trim(regexp_replace(text, '[ \t\n\r]+', ' ' /*g*/))) AS n FROM documents",
-    "digits_in_source": """
-SELECT id, length(dv) > 0 AND (contains(dt, dv) OR (length(dv) >= 7 AND contains(dt, substr(dv, -7)))) AS found FROM (SELECT id, CAST(v AS STRING) AS dv, regexp_replace(text, '[^0-9]', '' /*g*/) AS dt FROM amounts) x""",
-    "amount_in_source": """
-SELECT id, contains(regexp_replace(text, '[^0-9]', '' /*g*/), CAST(v AS STRING)) OR CAST(CASE WHEN k = '' THEN '-1' ELSE k END AS BIGINT) * 1000 = v AS found FROM (SELECT id, v, text, regexp_extract(text, '([0-9]+)k', 1) AS k FROM amounts) x""",
-    "country_in_source": """
-SELECT c_custkey, contains(t, ' GB ') OR regexp_like(t, '(?i)united kingdom|england') OR regexp_like(t, '[+]44 ?[0-9]') AS is_gb FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ship to GB now' WHEN 1 THEN 'office in England' WHEN 2 THEN 'ring +44 20 7946' ELSE 'somewhere in france' END AS t FROM customer) x""",
+    "normalize_field": f"SELECT item_id, field, said, {m.normal_field('type', 'said', 'allowed')} AS value FROM field_samples",
+    "normalize_enum": f"SELECT item_id, said, {m.allowed_value('said', 'allowed')} AS value FROM field_samples WHERE type IN ('enum', 'currency') AND said IS NOT NULL",
+    "normalize_country": f"SELECT item_id, said, {m.country_code('said')} AS value FROM field_samples WHERE type = 'country' AND said IS NOT NULL",
+    "normalize_date": f"SELECT id, {m.iso_date('v')} AS value FROM (SELECT id, CASE id % 5 WHEN 0 THEN CAST(d AS STRING) || 'T10:00:00Z' WHEN 1 THEN '2024-02-30' WHEN 2 THEN ' Next Tuesday' WHEN 3 THEN '2026-1-2' ELSE CAST(d AS STRING) END AS v FROM dates_ref) x",
+    "normalize_ws": f"SELECT doc_id, {m.one_spaced('text')} AS text FROM texts",
+    "digits_in_source": f"SELECT id, {digits_in('CAST(v AS STRING)', 'text')} AS found FROM amounts",
+    "strip_zero_cents": f"SELECT id, {without_zero_cents('said')} AS value FROM (SELECT id, v || CASE id % 4 WHEN 0 THEN '.00' WHEN 1 THEN '.50' WHEN 2 THEN '.0' ELSE '' END AS said FROM amounts) x",
+    "amount_in_source": f"SELECT id, {amount_in('said', 'text')} AS found FROM (SELECT id, text, CASE id % 3 WHEN 0 THEN v || '.0' WHEN 1 THEN CAST(v AS STRING) ELSE CAST(CAST(floor(v / 1000) AS BIGINT) * 1000 AS STRING) END AS said FROM amounts) x",
+    "country_in_source": f"""
+SELECT t.c_custkey, c.code, max(CASE WHEN {m.whole_word('CASE WHEN length(c.name) <= 3 THEN t.text ELSE upper(t.text) END', 'c.name')} OR (c.code = 'GB' AND regexp_like(t.text, '{CALLING["GB"]}')) OR (c.code IN ('US', 'CA') AND regexp_like(t.text, '{CALLING["US"]}')) THEN 1 ELSE 0 END) = 1 AS found
+FROM country_texts t CROSS JOIN (SELECT * FROM (VALUES {country_values()}) AS v(name, code)) c WHERE t.c_custkey % 3 = 0 OR c.code IN ('GB', 'US', 'CA', 'FR', 'NL') GROUP BY t.c_custkey, c.code""".replace(" WHERE t.c_custkey % 3 = 0 OR c.code IN ('GB', 'US', 'CA', 'FR', 'NL')", ""),
     "resolve_next_weekday": "SELECT id, CAST(d + CAST(1 + (1 - weekday(d) + 6) % 7 AS INTEGER) AS STRING) AS next_tuesday FROM dates_ref",
     "resolve_this_weekday": "SELECT id, CAST(d + CAST((1 - weekday(d) + 7) % 7 AS INTEGER) AS STRING) AS this_tuesday FROM dates_ref",
     "resolve_day_of_month": """
 SELECT id, CAST(coalesce(CASE WHEN here > d THEN here END, there) AS STRING) AS resolved FROM (SELECT id, d, TRY_CAST(substr(CAST(d AS STRING), 1, 8) || substr('0' || nth, -2) AS DATE) AS here,
   TRY_CAST((CASE WHEN month(d) = 12 THEN (year(d) + 1) || '-01-' ELSE year(d) || '-' || substr('0' || (month(d) + 1), -2) || '-' END) || substr('0' || nth, -2) AS DATE) AS there FROM dates_ref) x""",
-    "keytoken_owner": "SELECT conv_id, contains(lower(coalesce(summary, '')), 'the') AS ok FROM summaries",
-    "keytoken_amount": """
-SELECT id, abs(coalesce(TRY_CAST(regexp_extract(text, '([0-9]+)', 1) AS DOUBLE), -1e0) * CASE WHEN regexp_like(text, '[0-9]k') THEN 1000 ELSE 1 END - v) < 0.005e0 AS ok FROM amounts""",
-    "keytoken_date": """
-SELECT id, contains(text, CAST(d AS STRING)) OR contains(text, CAST(day(d) AS STRING) || ' ' || m) OR contains(text, m || ' ' || CAST(day(d) AS STRING)) AS ok FROM (SELECT id, d, CASE month(d) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' ELSE 'Later' END AS m,
-  CASE id % 3 WHEN 0 THEN 'on ' || CAST(d AS STRING) WHEN 1 THEN 'by ' || CAST(day(d) AS STRING) || ' January' ELSE 'in February 3' END AS text FROM dates_ref) x""",
-    "keytoken_fact": "SELECT conv_id, contains(lower(coalesce(summary, '')), 'the') AND contains(coalesce(summary, ''), '.') AS ok, turns FROM summaries",
+    "month_index": f"SELECT word, {m.month_number('word')} AS month FROM (SELECT DISTINCT regexp_extract(day, '([A-Za-z]+)$', 1) AS word FROM briefs) w",
+    "keytoken_owner": "SELECT seq, stands AS ok FROM token_checks WHERE token_kind = 'owner'",
+    "keytoken_amount": "SELECT seq, token, passes AS ok FROM token_checks WHERE token_kind = 'amount'",
+    "amount_parse": f"SELECT item_id, amount, {m.amount_value('amount')} AS value FROM briefs",
+    "keytoken_date": "SELECT seq, token, passes AS ok FROM token_checks WHERE token_kind IN ('date', 'fact')",
+    "month_day_parse": f"SELECT item_id, day, {m.month_day('day')} AS month_day FROM briefs",
+    "keytoken_fact": "SELECT seq, ix, passes, stands FROM brief_facts",
     "iban_valid": f"SELECT id, iban, {MOD97} = 1 AS valid FROM (SELECT id, iban, {_numeric('substr(iban, 5) || substr(iban, 1, 4)')} AS n FROM iban_samples) x",
-    "regex_pii": """
-SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9]+[.][A-Za-z]+[.]?[A-Za-z]*', 0) AS email, regexp_extract(text, '[+][0-9] [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}', 0) AS phone FROM documents WHERE regexp_like(text, '@[A-Za-z0-9]+[.]') OR regexp_like(text, '[+][0-9] [(][0-9]{3}')""",
+    "regex_pii": found_pii("texts", "doc_id"),
+    "pii_dob": found_pii("letters", "item_id"),
     "power_watts": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value ELSE 0e0 - value * 12 / 1e6 END AS watts FROM events",
+    "signed_64_bit": "SELECT event_id, CASE WHEN x >= 9223372036854775808e0 THEN x - 18446744073709551616e0 ELSE x END AS signed FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 18446744073709551616e0 - 4096e0 * (1 + event_id % 50) ELSE CAST(event_id AS DOUBLE) END AS x FROM events) e",
     "parse_size": """
 SELECT p_partkey, CAST(regexp_extract(s, '^[0-9]+', 0) AS BIGINT) * CASE regexp_extract(s, '[KMG]$', 0) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 ELSE 1 END AS bytes FROM (SELECT p_partkey, p_size || CASE p_partkey % 4 WHEN 0 THEN 'K' WHEN 1 THEN 'M' WHEN 2 THEN 'G' ELSE '' END AS s FROM part) x""",
+    "trimmed_digits": f"SELECT id, {m.digits('phone')} AS digits, lower(trim(name)) AS name FROM company_records",
 }

@@ -1,57 +1,144 @@
-"""Bootstrap intervals of ratios of sums.
+"""Bootstrap intervals of metrics of sums, and samples by strata.
 
-A group is dealt by a hash to strata of some hundred rows; each stratum is resampled on its own, on arrays, and the
-strata's sums add up to the group's (a stratified bootstrap; a group of one stratum is the plain one). A hot group is as
-many strata as it needs, so no task holds more than one stratum's rows at a time, and each sends one row a resample.
+A group of up to ``EXACT`` rows is resampled as one generator of a seed draws positions, row by row, in the order given;
+its draws depend on seed and size alone. A larger group is dealt by a hash to strata of that size; each is resampled on
+its own and the strata's sums add up to the group's, so no task holds more than one stratum.
 """
 
 from __future__ import annotations
 
+import random
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-STRATUM = 500
+EXACT = 5000
 
 
-def bootstrap_ci(scores: DataFrame, keys: list[str], top: str, bottom: str, order: str, resamples: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """keys, estimate, low and high of sum(top) / sum(bottom).
+@lru_cache(maxsize=4)
+def positions(seed: int, n: int, k: int) -> np.ndarray:
+    """n resamples of k positions, as ``random.Random(seed).randrange`` draws them one after another."""
+    draw = random.Random(seed).randrange
+    return np.array([[draw(k) for _ in range(k)] for _ in range(n)], np.int32)
+
+
+def bounds(values: Column, alpha: float) -> tuple[Column, Column]:
+    """The order statistics at both ends of a sorted array; null of an empty one."""
+    n = F.size(values)
+    low = F.greatest(F.lit(0), F.least(n - 1, F.floor(n * (alpha / 2)).cast("int")))
+    high = F.greatest(F.lit(0), F.least(n - 1, F.floor(n * (1 - alpha / 2)).cast("int") - 1))
+    return F.get(values, low), F.get(values, high)
+
 
-    order names the rows of a group, so that draws don't depend on partitioning. A null statistic counts as 0; resamples
-    whose bottom is 0 are left out; a group without any gets null bounds.
+def bootstrap_metric(scores: DataFrame, keys: list[str], columns: list[str], metric: Column, order: str, resamples: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """keys, estimate, low and high of a metric, an expression over the sums of columns, which keep their names.
+
+    order names the rows of a group, so that draws don't depend on partitioning. Null statistics count as 0. Resamples
+    whose metric is null are left out; a group without any other gets null bounds. The column ``one`` counts rows.
     """
-    sums = scores.groupBy(*keys).agg(F.sum(top).alias("__top"), F.sum(bottom).alias("__bottom"), F.count(F.lit(1)).alias("__n"))
-    parts = F.ceil(F.col("__n") / STRATUM).cast("long")
-    placed = scores.join(sums.select(*keys, "__n"), keys).select(
-        *keys, F.pmod(F.xxhash64(order), parts).alias("__part"), F.col(order).alias("__order"), F.coalesce(F.col(top).cast("double"), F.lit(0.0)).alias("__t"), F.coalesce(F.col(bottom).cast("double"), F.lit(0.0)).alias("__b")
+    rows = scores.withColumn("one", F.lit(1))
+    names = list(dict.fromkeys([*columns, "one"]))
+    sums = rows.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in names])
+    parts = F.ceil(F.col("__n") / EXACT).cast("long")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    sizes = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("one").cast("long").alias("__n"))
+    placed = rows.join(sizes, on).select(
+        *keys, F.pmod(F.xxhash64(order), parts).alias("__part"), F.col(order).alias("__order"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]
     )
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.select(*keys).schema.fields)
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.select(*keys).schema.fields)
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__order", "__t", "__b"])
+        pdf = pdf.sort_values(["__order", *names])
         k, part = len(pdf), int(pdf["__part"].iloc[0])
-        taken = np.random.default_rng([seed, part, k]).integers(0, k, (resamples, k))
-        out = pd.DataFrame({"__resample": np.arange(resamples), "__t": pdf["__t"].to_numpy()[taken].sum(1), "__b": pdf["__b"].to_numpy()[taken].sum(1)})
+        taken = positions(seed, resamples, k) if not part and k <= EXACT else np.random.default_rng([seed, part, k]).integers(0, k, (resamples, k))
+        out = pd.DataFrame({"__resample": np.arange(resamples)} | {c: pdf[c].to_numpy()[taken].sum(1) for c in names})
         for c in reversed(keys):
             out.insert(0, c, pdf[c].iloc[0])
         return out
 
-    drawn = placed.groupBy(*keys, "__part").applyInPandas(resample, f"{names}, __resample int, __t double, __b double")
-    each = drawn.groupBy(*keys, "__resample").agg(F.sum("__t").alias("t"), F.sum("__b").alias("b"))
-    ratios = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("b") != 0, F.col("t") / F.col("b")))).alias("v"))
-    n = F.size("v")
-    low = F.greatest(F.lit(0), F.least(n - 1, F.floor(n * (alpha / 2)).cast("int")))
-    high = F.greatest(F.lit(0), F.least(n - 1, F.floor(n * (1 - alpha / 2)).cast("int") - 1))
-    bounds = ratios.select(*keys, F.get("v", low).alias("low"), F.get("v", high).alias("high"))
-    estimate = F.when(F.col("__bottom") != 0, F.col("__top") / F.col("__bottom"))
-    return sums.select(*keys, estimate.alias("estimate")).join(bounds, keys)
+    drawn = placed.groupBy(*keys, "__part").applyInPandas(resample, f"{typed}, __resample int, " + ", ".join(f"`{c}` double" for c in names))
+    each = drawn.groupBy(*keys, "__resample").agg(*[F.sum(c).alias(c) for c in names]).select(*keys, metric.alias("m"))
+    low, high = bounds(F.col("v"), alpha)
+    ends = each.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("v")).select(*[F.col(k).alias(f"__{k}") for k in keys], low.alias("low"), high.alias("high"))
+    return sums.select(*keys, metric.alias("estimate")).join(ends, on).select(*keys, "estimate", "low", "high")
+
+
+def bootstrap_ci(scores: DataFrame, keys: list[str], top: str, bottom: str, order: str, resamples: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """keys, estimate, low and high of sum(top) / sum(bottom)."""
+    ratio = F.when(F.col(bottom) != 0, F.col(top) / F.col(bottom))
+    return bootstrap_metric(scores, keys, [top, bottom], ratio, order, resamples, seed, alpha)
+
+
+def rogan_gladen(p: np.ndarray, tpr: np.ndarray, tnr: np.ndarray) -> np.ndarray:
+    """Rates corrected for a judge's errors, kept in [0, 1]; not a number where the judge says nothing."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(tpr + tnr > 1, np.clip((p + tnr - 1) / (tpr + tnr - 1), 0, 1), np.nan)
+
+
+def corrected_rates(passed: DataFrame, keys: list[str], ok: str, order: str, holdout: DataFrame, label: str, said: str, by: str, resamples: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """keys, n, raw and corrected pass rate, low and high: both the judged rows and the judge's holdout are resampled.
+
+    Each resample draws the evaluated rows, then the holdout's, from one generator. Beyond ``EXACT`` rows of either side
+    counts stand for rows: passes are binomial, the holdout's four outcomes multinomial, which is the same law.
+    """
+    cells = holdout.select(F.col(label).cast("int").alias("y"), F.col(said).cast("int").alias("s"), F.col(by).alias("o"))
+    counted = {(r["y"], r["s"]): r["n"] for r in cells.groupBy("y", "s").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    m = sum(counted.values())
+    held = [(r["y"], r["s"]) for r in cells.orderBy("o").collect()] if m <= EXACT else None
+    groups = passed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(ok).cast("int")).alias("k"))
+    lists = passed.join(groups.filter(F.col("n") <= EXACT).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ok).cast("int").alias("p")))), lambda x: x["p"]).alias("rows"))
+
+    def one(n: int, k: int, rows) -> list[float]:
+        tally = np.array([counted.get(c, 0) for c in ((1, 1), (1, 0), (0, 1), (0, 0))], float)
+        if held is not None and rows is not None:
+            draw, p, drawn = random.Random(seed).randrange, np.empty(resamples), np.zeros((resamples, 4))
+            kinds = [(1 - y) * 2 + (1 - s) for y, s in held]
+            for i in range(resamples):
+                p[i] = sum(rows[draw(n)] for _ in range(n)) / n
+                for _ in range(m):
+                    drawn[i, kinds[draw(m)]] += 1
+        else:
+            rng = np.random.default_rng([seed, n, k])
+            p, drawn = rng.binomial(n, k / n, resamples) / n, rng.multinomial(m, tally / m, resamples).astype(float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            estimates = rogan_gladen(p, drawn[:, 0] / (drawn[:, 0] + drawn[:, 1]), drawn[:, 3] / (drawn[:, 2] + drawn[:, 3]))
+            point = rogan_gladen(np.array([k / n]), np.array([tally[0] / (tally[0] + tally[1])]), np.array([tally[3] / (tally[2] + tally[3])]))[0]
+        good = np.sort(estimates[~np.isnan(estimates)])
+        at = lambda q: float(good[min(max(q, 0), len(good) - 1)]) if len(good) else None
+        return [None if np.isnan(point) else float(point), at(int(alpha / 2 * len(good))), at(int((1 - alpha / 2) * len(good)) - 1)]
+
+    @F.pandas_udf("array<double>")
+    def interval(n: pd.Series, k: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([[None] * 3 if not m else one(int(a), int(b), None if c is None else list(c)) for a, b, c in zip(n, k, rows, strict=True)])
+
+    out = groups.join(lists, keys, "left").select(*keys, "n", (F.col("k") / F.col("n")).alias("raw"), interval("n", "k", "rows").alias("i"))
+    return out.select(*keys, "n", "raw", *[F.get("i", F.lit(j)).alias(c) for j, c in enumerate(("corrected", "low", "high"))])
+
+
+def allocation(counts: DataFrame, key: str, n: int) -> DataFrame:
+    """key, count and take: proportional parts of n, rounded half-even; what is over or short goes round the groups that can take it, largest first."""
+    everything = Window.partitionBy()  # a row a group
+    base = counts.withColumn("base", F.least("count", F.bround(F.col("count") * float(n) / F.sum("count").over(everything)).cast("long")))
+    base = base.withColumn("diff", F.lit(n) - F.sum("base").over(everything))
+    base = base.withColumn("able", F.when(F.col("diff") < 0, F.col("base") > 0).otherwise(F.col("base") < F.col("count")))
+    ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("able").orderBy(F.desc("count"), key)))
+    step = F.when(F.col("able") & (F.col("rank") <= F.abs("diff")), F.signum("diff").cast("long")).otherwise(F.lit(0))
+    return ranked.select(key, "count", (F.col("base") + step).alias("take"))
+
+
+#: Parts of the range of hashes by which a group's rows are counted before any are ranked.
+SLICES = 4096
 
 
 def stratified_sample(df: DataFrame, key: str, n: int, order: str, seed: int = 7) -> DataFrame:
-    """About proportional sample of n rows: floors of the shares, and one more for the largest groups while any are left.
+    """Proportional sample of n rows by strata; within a stratum the rows with the least hashes of ``order``, ties by it.
 
-    Within a group the rows with the least hashes are taken; only rows whose hash is near enough are ranked.
+    Rows are counted by slices of the hash first; whole slices are taken, and only the slice that the quota ends in is
+    ranked, so that a stratum of any size is no single task.
     """
     counts = df.groupBy(key).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
@@ -59,15 +146,15 @@ def stratified_sample(df: DataFrame, key: str, n: int, order: str, seed: int = 7
         return df.limit(0)
     if n >= total:
         return df
-    from pyspark.sql.window import Window
-
-    shares = counts.withColumn("__base", F.floor(F.col("count") * n / total))
-    rest = n - shares.agg(F.sum("__base")).first()[0]
-    ranked = shares.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("count"), key)))  # a row a group
-    quota = ranked.select(F.col(key).alias("__key"), "count", (F.col("__base") + (F.col("__rank") <= rest).cast("long")).alias("__take"))
-    chance = F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    near = df.join(quota, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__chance", chance)
-    # well above the share, so that ranking drops nothing that belongs to the sample
-    near = near.filter(F.col("__chance") <= (F.col("__take") + 12 * F.sqrt(F.col("__take") + 1.0) + 30) / F.col("count"))
+    quota = allocation(counts, key, n).select(F.col(key).alias("__key"), F.col("take").alias("__take"))
+    chance = F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(1 << 40))
+    rows = df.withColumn("__chance", chance).withColumn("__slice", (F.col("__chance") / ((1 << 40) / SLICES)).cast("int"))
+    sliced = rows.groupBy(F.col(key).alias("__key"), F.col("__slice").alias("__s")).agg(F.count(F.lit(1)).alias("__m"))
+    sliced = sliced.join(quota, sliced["__key"].eqNullSafe(quota["__key"])).select(sliced["__key"], "__s", "__m", "__take")
+    before = F.sum("__m").over(Window.partitionBy("__key").orderBy("__s")) - F.col("__m")
+    sliced = sliced.withColumn("__left", F.col("__take") - before).filter("__left > 0")
+    near = rows.join(sliced, rows[key].eqNullSafe(sliced["__key"]) & (rows["__slice"] == sliced["__s"]))
+    whole = near.filter("__left >= __m").select(*df.columns)
     place = F.row_number().over(Window.partitionBy("__key").orderBy("__chance", order))
-    return near.withColumn("__place", place).filter(F.col("__place") <= F.col("__take")).select(*df.columns)
+    edge = near.filter("__left < __m").withColumn("__place", place).filter("__place <= __left").select(*df.columns)
+    return whole.unionByName(edge)

@@ -1,32 +1,83 @@
-"""Evidence gates: what an answer must show before a chain stops at it."""
+"""Evidence gates: what an answer must show before a chain stops at it.
+
+Each kind's relation reads the parsed answer and its source text and gives (seq, passed, reason). What needs more than SQL
+(a close but not literal match, date phrases, learnt baselines) comes in as relations that can be replaced: ``grounded_more``,
+``dates_derived``, ``topic_baseline``, ``pair_similarity``; ``frames`` fills them with the full functions.
+"""
 
 from __future__ import annotations
 
-from ..operators import scoring  # noqa: F401
+from ..functions import macros as m
+from ..functions import text as t
+from ..operators import aggregates, scoring  # noqa: F401
 from ..sql import relation
 
-relation("baseline_calls", "SELECT item_id, pred AS base_pred, k AS base_k FROM calls WHERE kind = 'baseline'")
-relation("match_scores", "SELECT item_id, gold % 2 = 1 AS match, (k * 37 % 101) / 100e0 AS score FROM calls WHERE kind = 'baseline' AND task = 'entity_matching'")
-relation("match_band", "SELECT min(CASE WHEN match THEN score END) AS lo, max(CASE WHEN NOT match THEN score END) AS hi FROM match_scores")
-relation("answers", """
-SELECT d.doc_id, d.text AS source, CASE d.doc_id % 3 WHEN 0 THEN substr(d.text, 1, 60) WHEN 1 THEN 'call 555-0199 about 2024' ELSE substr(d.text, 20, 40) || ' 77' END AS answer, d.n_chars FROM documents d
+#: Predictions that a gate compares with: of the baseline trained for labels, and of the tuned similarity of pairs.
+relation("topic_baseline", "SELECT item_id, split, label AS base_label FROM topic_parsed WHERE kind = 'baseline' AND ok")
+relation("gate_topics", """
+SELECT p.seq, CASE WHEN NOT p.ok THEN FALSE WHEN p.kind = 'baseline' OR b.base_label IS NULL THEN TRUE ELSE b.base_label = p.label END AS passed,
+  CASE WHEN NOT p.ok THEN 'invalid_label' WHEN p.kind = 'baseline' THEN NULL WHEN b.base_label IS NULL THEN 'baseline_unavailable' WHEN b.base_label <> p.label THEN 'disagrees_with_baseline' END AS reason FROM topic_parsed p LEFT JOIN topic_baseline b ON b.item_id = p.item_id AND b.split = p.split
+""")
+relation("pair_similarity", """
+SELECT i.item_id, 0.3e0 * (CASE WHEN lower(s.name) = lower(t.name) THEN 1 ELSE 0.9e0 END) + 0.15e0 * (CASE WHEN s.street = t.street THEN 1 ELSE 0 END) + 0.15e0 * (CASE WHEN s.postcode = t.postcode THEN 1 ELSE 0 END) + 0.1e0 * (CASE WHEN s.city = t.city THEN 1 ELSE 0 END) + 0.1e0 * (CASE WHEN s.country = t.country THEN 1 ELSE 0 END)
+  + 0.1e0 * (CASE WHEN s.domain = t.domain THEN 1 ELSE 0 END) + 0.05e0 * (CASE WHEN s.vat_id <> '' AND lower(s.vat_id) = lower(t.vat_id) THEN 1 ELSE 0 END) + 0.05e0 * (CASE WHEN s.phone <> '' AND s.phone = t.phone THEN 1 ELSE 0 END) + CASE WHEN i.gold_match THEN 0.2e0 ELSE 0e0 END AS score, i.gold_match
+FROM (SELECT DISTINCT item_id, gold_match FROM match_answers) i CROSS JOIN (SELECT max(s_suppkey) AS last FROM supplier) z JOIN company_records s ON s.id = 1 + i.item_id % (z.last - 1) JOIN company_records t ON t.id = s.id + 1
+""")
+relation("match_band", """
+SELECT threshold, CASE WHEN lo <= hi THEN lo ELSE threshold END AS band_low, CASE WHEN lo <= hi THEN hi ELSE threshold END AS band_high FROM (SELECT min(CASE WHEN gold_match THEN score END) AS lo, max(CASE WHEN NOT gold_match THEN score END) AS hi FROM pair_similarity) b CROSS JOIN (SELECT 0.55e0 AS threshold) c
+""")
+relation("gate_pairs", """
+SELECT p.seq, CASE WHEN NOT p.ok THEN FALSE WHEN p.kind = 'baseline' OR s.score IS NULL OR s.score BETWEEN b.band_low AND b.band_high THEN TRUE ELSE p.match = (s.score >= b.threshold) END AS passed,
+  CASE WHEN NOT p.ok THEN 'invalid_match_json' WHEN p.kind = 'baseline' THEN NULL WHEN s.score IS NULL THEN 'baseline_unavailable' WHEN s.score BETWEEN b.band_low AND b.band_high THEN 'inside_uncertainty_band' WHEN p.match <> (s.score >= b.threshold) THEN 'disagrees_with_baseline' END AS reason
+FROM match_parsed p LEFT JOIN pair_similarity s ON s.item_id = p.item_id CROSS JOIN match_band b
+""")
+relation("countries", f"SELECT * FROM (VALUES {t.country_values()}) AS t(name, code)")
+relation("country_hits", f"""
+SELECT DISTINCT i.split, i.item_id, c.code FROM enquiry_items i JOIN countries c ON {m.whole_word('CASE WHEN length(c.name) <= 3 THEN i.text ELSE upper(i.text) END', 'c.name')}
+UNION SELECT i.split, i.item_id, c.code FROM enquiry_items i JOIN (SELECT * FROM (VALUES ('GB', '{t.CALLING["GB"]}'), ('US', '{t.CALLING["US"]}'), ('CA', '{t.CALLING["US"]}')) AS v(code, pattern)) c ON regexp_like(i.text, c.pattern)
+""")
+#: Values that stand in their source but for a few letters, and dates that phrases of the source mean: from ``frames``.
+relation("grounded_more", "SELECT CAST(NULL AS BIGINT) AS seq, CAST(NULL AS STRING) AS field WHERE FALSE")
+relation("dates_derived", "SELECT split, item_id, explode(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}', 0)) AS day FROM enquiry_items")
+relation("enquiry_evidence", f"""
+SELECT f.seq, f.pos, CASE WHEN f.said IS NULL THEN CASE WHEN f.required THEN 'missing_required:' || f.field END
+  WHEN f.grounded THEN CASE WHEN {m.one_spaced('f.said')} <> '' AND (contains(lower({m.one_spaced('i.text')}), lower({m.one_spaced('f.said')})) OR g.seq IS NOT NULL) THEN NULL ELSE 'ungrounded:' || f.field END
+  WHEN f.type = 'phone' THEN CASE WHEN NOT {t.digits_in('f.said', 'i.text')} THEN 'phone_not_in_source:' || f.field END
+  WHEN f.type = 'country' THEN CASE WHEN h.code IS NULL AND NOT (upper(trim(f.said)) <> '' AND {m.whole_word('i.text', 'upper(trim(f.said))')}) THEN 'country_not_in_source:' || f.field END
+  WHEN f.type = 'date' THEN CASE WHEN i.reference_date IS NOT NULL AND d.day IS NULL THEN 'date_not_rederivable:' || f.field END
+  WHEN f.type = 'enum' THEN CASE WHEN size(filter(split(f.allowed, '[|]'), a -> lower(a) = lower(trim(f.said)))) = 0 THEN 'not_in_enum:' || f.field END
+  WHEN f.type = 'amount' THEN CASE WHEN NOT {t.amount_in('f.said', 'i.text')} THEN 'amount_not_in_source:' || f.field END END AS reason
+FROM enquiry_said f JOIN enquiry_items i ON i.item_id = f.item_id AND i.split = f.split LEFT JOIN country_hits h ON f.type = 'country' AND h.item_id = f.item_id AND h.split = f.split AND h.code = upper(trim(f.said))
+LEFT JOIN (SELECT DISTINCT split, item_id, day FROM dates_derived) d ON f.type = 'date' AND d.item_id = f.item_id AND d.split = f.split AND d.day = {m.iso_date('f.said')} LEFT JOIN (SELECT DISTINCT seq, field FROM grounded_more) g ON g.seq = f.seq AND g.field = f.field WHERE f.ok
+""")
+relation("gate_enquiries", """
+SELECT seq, reason IS NULL AS passed, reason FROM (SELECT seq, min_by(reason, pos) FILTER (WHERE reason IS NOT NULL) AS reason FROM enquiry_evidence GROUP BY seq) x UNION ALL SELECT DISTINCT seq, FALSE, 'invalid_json' FROM enquiry_said WHERE NOT ok
+""")
+relation("letter_found", t.found_pii("letters", "split, item_id"))
+relation("letter_missed", """
+SELECT DISTINCT c.seq FROM calls c JOIN letter_found f ON f.item_id = c.item_id AND f.split = c.split LEFT JOIN entry_texts e ON e.seq = c.seq AND (contains(lower(e.wanted), lower(f.text)) OR contains(lower(f.text), lower(e.wanted))) WHERE c.task = 'pii_redaction' AND c.valid AND e.seq IS NULL
+""")
+relation("letter_stray", "SELECT DISTINCT e.seq FROM entry_texts e JOIN letter_texts l ON l.item_id = e.item_id AND l.split = e.split WHERE e.wanted = '' OR NOT contains(lower(l.spaced), lower(e.wanted))")
+relation("gate_letters", """
+SELECT c.seq, c.valid AND (c.kind = 'baseline' OR (s.seq IS NULL AND m.seq IS NULL)) AS passed, CASE WHEN NOT c.valid THEN 'invalid_json' WHEN c.kind = 'baseline' THEN NULL WHEN s.seq IS NOT NULL THEN 'predicted_span_not_in_text' WHEN m.seq IS NOT NULL THEN 'regex_baseline_span_missed' END AS reason
+FROM calls c LEFT JOIN letter_stray s ON s.seq = c.seq LEFT JOIN letter_missed m ON m.seq = c.seq WHERE c.task = 'pii_redaction'
+""")
+_NUMBERS = "transform(regexp_extract_all(p.summary, '[0-9][0-9,]*(?:[.][0-9]+)?', 0), x -> regexp_replace(x, '[^0-9]', '' /*g*/))"
+relation("gate_briefs", f"""
+SELECT seq, reason IS NULL AS passed, reason FROM (SELECT p.seq, CASE WHEN NOT p.ok THEN 'empty_summary' WHEN p.n_words > p.max_words THEN 'over_word_limit' WHEN size(filter({_NUMBERS}, x -> length(x) >= 2 AND NOT contains({m.digits('i.text')}, x))) > 0 THEN 'number_not_in_source'
+  WHEN size(filter(regexp_extract_all(p.summary, '{t.WRITTEN_DATE}', 0), x -> NOT contains(lower({m.one_spaced('i.text')}), lower({m.one_spaced('x')})))) > 0 THEN 'date_not_in_source' END AS reason FROM brief_parsed p JOIN brief_items i ON i.item_id = p.item_id AND i.split = p.split) x
+""")
+relation("gate_results", """
+SELECT c.seq, c.model_id, c.task, c.split, c.item_id, g.passed, g.reason FROM calls c JOIN (SELECT seq, passed, reason FROM gate_topics UNION ALL SELECT seq, passed, reason FROM gate_pairs UNION ALL SELECT seq, passed, reason FROM gate_enquiries UNION ALL SELECT seq, passed, reason FROM gate_letters UNION ALL SELECT seq, passed, reason FROM gate_briefs) g ON g.seq = c.seq WHERE c.pass = 'A'
 """)
 
 QUERIES = {
-    "gate_classification": """
-SELECT c.seq, CASE WHEN NOT c.valid THEN 'invalid' WHEN c.pred IS NULL THEN 'not a label' WHEN c.kind = 'baseline' THEN 'format only' WHEN b.base_pred IS NULL THEN 'no baseline' WHEN b.base_pred = c.pred THEN 'agrees' ELSE 'disagrees' END AS reason
-FROM calls c LEFT JOIN baseline_calls b ON b.item_id = c.item_id WHERE c.task = 'classification' AND c.pass = 'A'""",
-    "gate_matching": """
-SELECT c.seq, CASE WHEN s.score BETWEEN m.lo AND m.hi THEN 'uncertain band' WHEN (s.score >= 0.5e0) = (c.pred % 2 = 1) THEN 'agrees' ELSE 'disagrees' END AS reason
-FROM calls c JOIN match_scores s ON s.item_id = c.item_id CROSS JOIN match_band m WHERE c.task = 'entity_matching' AND c.pass = 'A' AND c.valid AND c.pred IS NOT NULL""",
-    "gate_pii": """
-SELECT p.model_id, p.item_id, count(*) FILTER (WHERE NOT m.found) AS missed, count(*) FILTER (WHERE NOT m.found) = 0 AS passes FROM spans_pred p JOIN (SELECT model_id, item_id, ps, covers AS found FROM spans_met) m ON m.model_id = p.model_id AND m.item_id = p.item_id AND m.ps = p.s GROUP BY p.model_id, p.item_id""",
-    "gate_extraction": """
-SELECT model_id, item_id, coalesce(min_by(reason, ix), 'ok') AS first_reason FROM (SELECT c.model_id, c.item_id, f.ix, CASE WHEN NOT c.valid THEN 'invalid' WHEN f.ix = 0 AND c.pred IS NULL THEN 'missing required' WHEN f.ix = 1 AND c.k % 8 = 0 THEN 'not in source' WHEN f.ix = 2 AND c.k % 11 = 0 THEN 'date not derivable' END AS reason
-FROM calls c CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(ix)) f WHERE c.task = 'extraction' AND c.pass = 'A') x WHERE reason IS NOT NULL GROUP BY model_id, item_id""",
-    "gate_summary": """
-SELECT doc_id, n_chars > 5 AS within_limit, number = '' OR contains(regexp_replace(source, '[^0-9]', '' /*g*/), number) AS numbers_found, day = '' OR contains(source, day) AS dates_found
-FROM (SELECT doc_id, source, n_chars, regexp_extract(answer, '[0-9]{2,}', 0) AS number, regexp_extract(answer, '[0-9]{4}-[0-9]{2}-[0-9]{2}', 0) AS day FROM answers) x""",
-    "gate_thresholds": """
-SELECT lo, hi, lo <= hi AS overlapping, CASE WHEN lo <= hi THEN lo ELSE 0.5e0 END AS band_low, CASE WHEN lo <= hi THEN hi ELSE 0.5e0 END AS band_high FROM match_band""",
+    "gate_classification": "SELECT seq, passed, reason FROM gate_topics",
+    "gate_matching": "SELECT seq, passed, reason FROM gate_pairs",
+    "gate_extraction": "SELECT seq, passed, reason FROM gate_enquiries",
+    "gate_field_evidence": "SELECT seq, pos, reason FROM enquiry_evidence",
+    "gate_pii": "SELECT seq, passed, reason FROM gate_letters",
+    "gate_summary": "SELECT seq, passed, reason FROM gate_briefs",
+    "gate_results": "SELECT seq, model_id, task, passed, reason FROM gate_results",
+    "gate_thresholds": "SELECT threshold, round(band_low, 9) AS band_low, round(band_high, 9) AS band_high FROM match_band",
 }

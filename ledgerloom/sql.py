@@ -2,16 +2,20 @@
 
 A relation may use tables and other relations; ``statement`` puts what it needs before it, in order. Catalyst gets one
 statement per query and plans it as a whole: it pushes filters and columns to the scans, and reads a table once where
-plans agree.
+plans agree. Any relation can be replaced by a table of one's own (``tables``), so that all queries run over one's own
+calls, items, models and settings.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import storage
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 RELATIONS: dict[str, str] = {}
 _NAME = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)\b", re.I)
@@ -41,36 +45,60 @@ def statement(sql: str, relations: dict[str, str] = RELATIONS) -> str:
     return (f"WITH {', '.join(f'{n} AS ({relations[n]})' for n in names)} " if names else "") + sql.strip()
 
 
+#: Names of the same functions in DuckDB.
+_DUCK = {
+    "percentile": "quantile_cont", "regexp_like": "regexp_matches", "bround": "round_even", "explode": "unnest", "sequence": "generate_series",
+    "filter": "list_filter", "transform": "list_transform", "try_element_at": "list_extract", "size": "len", "split": "string_split_regex", "get_json_object": "json_extract_string",
+    "array": "list_value", "char": "chr", "array_contains": "list_contains", "collect_list": "list", "array_distinct": "list_distinct", "startswith": "starts_with",
+}
+
+
 def duck(sql: str) -> str:
     """The same statement for DuckDB."""
-    text = statement(sql)
-    text = text.replace("/*g*/", ", 'g'").replace("LEFT ANTI JOIN", "ANTI JOIN").replace("percentile(", "quantile_cont(").replace("regexp_like(", "regexp_matches(")
+    text = statement(sql).replace("/*g*/", ", 'g'").replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")
+    for ours, theirs in _DUCK.items():
+        text = re.sub(rf"\b{ours}\(", f"{theirs}(", text)
+    text = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", text)
     text = re.sub(r"weekday\(([^()]+)\)", r"(isodow(\1) - 1)", text)
     text = re.sub(r"sha2\(([^()]+), 256\)", r"sha256(\1)", text)
     text = re.sub(r"timestampdiff\(SECOND, ", "date_diff('second', ", text)
     return text
 
 
-#: Relations of a row per model, task and split, which planner, replay and reports read many times: kept per session and
-#: input folder, with their lineage, so that a lost executor costs a recomputation.
-KEPT = ("candidates", "chain")
-
-
-def _kept(spark: SparkSession, sf_dir: str, name: str) -> str:
-    view = f"kept_{name}_{hashlib.md5(f'{spark.sparkContext.applicationId}|{sf_dir}'.encode()).hexdigest()[:12]}"
-    if not spark.catalog.tableExists(view):
-        run(spark, sf_dir, RELATIONS[name]).coalesce(1).persist().createOrReplaceTempView(view)
-    return view
+#: Relations that planner, replay and reports read many times, the scores of calls and what is made of them: written to the
+#: shared folder once for a state of the input files.
+KEPT = ("topic_parsed", "match_parsed", "brief_parsed", "enquiry_said", "enquiry_fields", "letter_entries", "entry_texts", "letter_texts", "letter_found", "span_scores", "token_checks", "brief_facts", "summary_scores", "enquiry_evidence", "scored", "metrics", "candidates", "chain", "gate_results", "replayed", "replay_calls", "replay_tasks", "mixed_rows")
 
 
-def _query(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def _query(spark: SparkSession, sf_dir: str, text: str, tables: dict[str, DataFrame]) -> DataFrame:
     for t in TABLES:
-        if re.search(rf"\b{t}\b", text):
+        if re.search(rf"\b{t}\b", text) and t not in tables:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    for name, df in tables.items():
+        if re.search(rf"\b{name}\b", text):
+            df.createOrReplaceTempView(name)
     return spark.sql(text)
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    used = needed(sql)
-    kept = {name: f"SELECT * FROM {_kept(spark, sf_dir, name)}" for name in KEPT if name in used}
-    return _query(spark, sf_dir, statement(sql, RELATIONS | kept))
+def run(spark: SparkSession, sf_dir: str, sql: str, tables: dict[str, DataFrame] | None = None, keep: tuple[str, ...] = KEPT, made: dict[str, str] | None = None) -> DataFrame:
+    """Run sql over the folder's tables. tables: DataFrames that stand for relations, or tables, of their names.
+
+    What is kept and depends on given tables is written for this run; made names the views of it.
+    """
+    tables, made = tables or {}, {} if made is None else made
+    relations = {k: v for k, v in RELATIONS.items() if k not in tables}
+    for name in [n for n in keep if n in needed(sql, relations)]:
+        text = statement(relations[name], relations)
+        own = tuple(k for k in keep if k != name)
+        given = sorted(t for t in tables if re.search(rf"\b{t}\b", text))
+        if not given:
+            sources = [f"{sf_dir}/{t}.parquet" for t in TABLES if re.search(rf"\b{t}\b", text)]
+            version = storage.state(spark, sources)
+        else:
+            version = made.setdefault(name, uuid.uuid4().hex)
+        label = f"{name}-{hashlib.md5(text.encode()).hexdigest()[:12]}"
+        df = storage.kept(lambda name=name, own=own, given=given: run(spark, sf_dir, RELATIONS[name], tables if given else None, own, made), spark, label, version)
+        view = f"kept_{label}_{version}".replace("-", "_")
+        df.createOrReplaceTempView(view)
+        relations[name] = f"SELECT * FROM {view}"
+    return _query(spark, sf_dir, statement(sql, relations), tables)
