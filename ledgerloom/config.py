@@ -88,3 +88,64 @@ def load(path: str) -> dict:
             raise RuntimeError("YAML files need PyYAML") from error
         return yaml.safe_load(text)
     return json.loads(text)
+
+
+@dataclass
+class Hardware:
+    name: str
+    purchase_price_usd: float
+    lifetime_years: float
+    electricity_usd_per_kwh: float
+    idle_watts: float
+    incremental_watts: float
+    allocation: float = 1.0
+    busy_hours_per_day: float = 8.0
+    ops_usd_per_month: float = 0.0
+    mode: str = "configured"
+
+    def __post_init__(self) -> None:
+        if self.purchase_price_usd <= 0 or self.lifetime_years <= 0:
+            raise ValueError("price and lifetime must be more than 0")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The relation ``hardware``."""
+        row = (self.purchase_price_usd, self.lifetime_years, self.allocation, self.idle_watts, self.incremental_watts, self.electricity_usd_per_kwh, self.busy_hours_per_day, self.ops_usd_per_month, self.mode)
+        return spark.createDataFrame([tuple(map(float, row[:-1])) + (row[-1],)], "price double, years double, allocation double, idle_w double, load_w double, kwh double, hours double, ops double, mode string")
+
+
+@dataclass
+class Config:
+    project: str
+    models: list[dict]
+    budget_usd: float = 0.0
+    budget_warn_usd: float = 0.0
+    hardware: dict | None = None
+    judge: dict | None = None
+    max_tokens: dict[str, int] = field(default_factory=dict)
+
+    def model(self, name: str) -> Model:
+        for m in models(self.models):
+            if m.id == name:
+                return m
+        raise KeyError(f"no model {name!r}")
+
+    def machine(self) -> Hardware | None:
+        return checked(Hardware, self.hardware) if self.hardware else None
+
+    def recorded(self) -> dict:
+        """What a run keeps of it: no keys, no addresses."""
+        shown = ("id", "kind", "model", "role", "repo", "revision", "task")
+        out = {"project": self.project, "budget_usd": self.budget_usd, "budget_warn_usd": self.budget_warn_usd, "models": [{k: m[k] for k in shown if m.get(k)} for m in self.models]}
+        if self.hardware:
+            out["hardware"] = {k: v for k, v in self.hardware.items() if k in Hardware.__dataclass_fields__}
+        if self.judge:
+            out["judge"] = {"candidates": list(self.judge.get("candidates", []))}
+        return out
+
+
+#: Hardware identifiers and the products that they name.
+FAMILIES = {"Mac13,1": "Mac Studio", "Mac13,2": "Mac Studio", "Mac14,13": "Mac Studio", "Mac14,14": "Mac Studio", "Mac16,9": "Mac Studio"}
+
+
+def machine_family(identifier: str | None) -> str | None:
+    return FAMILIES.get(identifier or "")

@@ -12,7 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from .. import storage
 
 PREDICTIONS = (
     "model_id string, task string, split string, item_id string, pass string, raw string, content string, valid boolean, error string, latency_s double, "
@@ -39,19 +40,18 @@ LOGS = {"predictions": PREDICTIONS, "judge_scores": JUDGE_SCORES, "ledger": LEDG
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON-lines files (plain or gzip, members concatenated or not); malformed and blank lines are left out."""
-    wide = f"{schema}, _corrupt_record string"
-    try:
-        lines = spark.read.text(path).filter(F.trim("value") != "")
-        parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-        return lines.select(parsed.alias("r")).filter("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
-    except AnalysisException:
+    if not storage.exists(spark, path):
         return spark.createDataFrame([], schema)
+    wide = f"{schema}, _corrupt_record string"
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(parsed.alias("r")).filter("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
 
 
 def run_log(spark: SparkSession, run: str, name: str) -> DataFrame:
-    """A log of a run: gzip if there is one, else plain."""
+    """A log of a run: gzip if there is one, else plain; a missing one is empty."""
     for ending in (".jsonl.gz", ".jsonl"):
-        if any(Path(run).glob(name + ending)) or "://" in run:
+        if storage.exists(spark, f"{run}/{name}{ending}"):
             return json_lines(spark, f"{run}/{name}{ending}", LOGS[name])
     return spark.createDataFrame([], LOGS[name])
 
@@ -121,6 +121,26 @@ def write_document(value, path: str, merge: bool = False) -> None:
     Path(path).write_text(json.dumps(value, indent=2, sort_keys=True) + "\n")
 
 
+def append_ledger(df: DataFrame, run_path: str, common_path: str) -> None:
+    """Append paid calls to a run's ledger and to the one of all runs; the commit protocol stands for a lock."""
+    kept = df.cache()
+    append(kept, run_path)
+    append(kept, common_path)
+    kept.unpersist()
+
+
+def resolve_run(root: str, name: str | None = None) -> str:
+    """A run's folder: a name under root, a path as it is, or the one whose name is last."""
+    if name and name != "latest":
+        found = next((p for p in (Path(root) / name, Path(name)) if p.is_dir()), None)
+        if found is None:
+            raise FileNotFoundError(name)
+        return str(found)
+    if not (found := latest(root)):
+        raise FileNotFoundError(f"no run under {root}")
+    return found
+
+
 def latest(root: str) -> str | None:
     """The run whose name is last."""
     runs = sorted(p.name for p in Path(root).glob("*") if p.is_dir())
