@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog, sql  # noqa: F401  the catalog registers the relations
 from ledgerloom.functions import fuzzy, parsing, text
-from ledgerloom.operators.resampling import bootstrap_ci, stratified_sample
+from ledgerloom.operators.resampling import bootstrap_ci, corrected_rates, stratified_sample
 
 
 def one(spark, statement):
@@ -22,16 +22,21 @@ def test_fixed_cost(spark):
 
 def test_weighted_percentile(spark):
     def of(values, p):
-        spark.createDataFrame([("t", "s", float(v), float(w)) for v, w in values], "task string, split string, v double, w double").createOrReplaceTempView("weighted_input")
-        old, sql.RELATIONS["weighted_values"] = sql.RELATIONS["weighted_values"], "SELECT task, split, v, w FROM weighted_input"
-        try:
-            return one(spark, sql.statement(f"SELECT value FROM weighted_p WHERE p = {p}e0"))[0]
-        finally:
-            sql.RELATIONS["weighted_values"] = old
+        df = spark.createDataFrame([("t", "s", float(v), float(w)) for v, w in values], "task string, split string, v double, w double")
+        return sql.run(spark, "", f"SELECT value FROM weighted_p WHERE p = {p}e0", {"weighted_values": df}).first()[0]
+
+    def plain(values, p):  # the reference rule, row by row
+        rows, c, total = sorted(values), 0.0, sum(w for _, w in values)
+        for i, (v, w) in enumerate(rows):
+            if p * total <= c + w + 1e-12:
+                return v if not i else rows[i - 1][0] + (v - rows[i - 1][0]) * (p * total - c) / w
+            c += w
 
     assert of([(v, 1) for v in (5, 1, 3, 9, 2, 7)], 0.5) == pytest.approx(3.0)
-    assert of([(v, 1) for v in (5, 1, 3, 9, 2, 7)], 0.95) == pytest.approx(8.4)
     assert of([(10, 1), (20, 1), (30, 2)], 0.5) == pytest.approx(20.0)
+    ties = [(1, 2), (1, 1), (2, 3), (2, 3), (2, 1), (5, 2)]
+    for p in (0.5, 0.95):
+        assert of(ties, p) == pytest.approx(plain(ties, p))
 
 
 def test_mod97(spark):
@@ -64,7 +69,9 @@ def test_verdicts():
 def test_date_phrases():
     ref = date(2024, 1, 30)  # a Tuesday
     said = "next tuesday, this tuesday, tomorrow, in two weeks, on the 31st, 14 October, October 3, 2025, 2024-02-29, 5/6/2024, 2024-02-30"
-    assert parsing.resolve_dates(said, ref) == sorted(["2024-02-06", "2024-01-30", "2024-01-31", "2024-02-13", "2024-10-14", "2025-10-03", "2024-02-29", "2024-06-05"])
+    # an ISO date stands for itself, checked or not
+    assert parsing.resolve_dates(said, ref) == sorted(["2024-02-06", "2024-01-30", "2024-01-31", "2024-02-13", "2024-10-14", "2025-10-03", "2024-02-29", "2024-06-05", "2024-02-30"])
+    assert parsing.resolve_dates("in a week, 3 Sept? no: 3rd Sep. 2025, Oct 4th, in 0 days, 31/02/2024", ref) == ["2024-02-06", "2024-10-04", "2025-09-03"]
     assert parsing.day_of_month(date(2024, 1, 31), 31) is None and parsing.day_of_month(date(2024, 12, 20), 5) == date(2025, 1, 5)
 
 
@@ -89,6 +96,8 @@ def test_bootstrap_covers(spark):
 
 
 def test_stratified_sample(spark):
+    odd = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1)], "g string, n int").select("g", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    assert {r["g"]: r["count"] for r in stratified_sample(odd, "g", 6, "i").groupBy("g").count().collect()} == {"a": 3, "b": 2, "c": 1}
     df = spark.range(3000).select("id", (F.col("id") % 10 < 7).cast("int").alias("g"))
     got = stratified_sample(df, "g", 101, "id").groupBy("g").count().collect()
     assert {r["g"]: r["count"] for r in got} == {1: 71, 0: 30}
@@ -105,23 +114,132 @@ def test_partial_ratio_equals_every_window():
         assert abs(fuzzy.partial(a, b) - want) < 1e-9, (a, b)
 
 
-def test_whole_texts_are_judged(spark, tmp_path):
+def shown(spark, statement, **tables):
+    return [tuple(r) for r in sql.run(spark, "", statement, tables).collect()]
+
+
+def test_wrappers_take_the_first_fence(spark):
+    raw = spark.createDataFrame([(1, '```json {"a": 1}``` then ```other```'), (2, "<THINK>x</think> ok <think>never"), (3, "```c++\n int x;\n```"), (4, " plain ")], "event_id long, raw string")
+    assert sorted(shown(spark, catalog.STATEMENTS["parse_strip_wrappers"], raw_json=raw)) == [(1, '{"a": 1}'), (2, "ok"), (3, "int x;"), (4, "plain")]
+    got = raw.select("event_id", parsing.strip_wrappers(F.col("raw"))).orderBy("event_id").collect()
+    assert [r[1] for r in got] == ['{"a": 1}', "ok", "int x;", "plain"]
+
+
+def test_normal_fields(spark):
+    rows = [("string", " Acme   LTD ", "acme ltd"), ("email", " A@B.C ", "a@b.c"), ("phone", "+44 (0)7", "4407"), ("phone", "none", None), ("country", "uk", "GB"), ("country", "fr", "FR"), ("int", "1,200", "1200"), ("int", "1.5", None), ("amount", "$1,234.567", "123457"), ("amount", "-", None), ("date", "2024-02-29T10:00", "2024-02-29"), ("date", "2024-02-30", "2024-02-30"), ("date", "Next Week", "next week"), ("enum", "HIGH", "high"), ("enum", "odd", "odd"), ("string", None, None)]
+    df = spark.createDataFrame([(i, t, s, "low|high") for i, (t, s, _) in enumerate(rows)], "item_id int, type string, said string, allowed string").withColumn("field", F.col("type"))
+    got = shown(spark, catalog.STATEMENTS["normalize_field"], field_samples=df)
+    assert {i: v for i, _, _, v in got} == {i: w for i, (_, _, w) in enumerate(rows)}
+
+
+def test_key_tokens(spark):
+    rows = [("amount", "12.5k", "pays $12,500 now", True), ("amount", "12,500", "12.5K", True), ("amount", "12500", "12600", False), ("amount", "n/a", "1", False), ("date", "14 April", "on April 14th", True), ("date", "14 April", "14/4", True), ("date", "14 April", "2024-04-14", True), ("date", "14 April", "15 April", False), ("date", "next Monday", "by NEXT monday", True), ("owner", "Ana", "ANA will", True), ("owner", "Ana", "Bob", False)]
+    parsed = spark.createDataFrame([(i, "m", "local", "test", "A", i, None, 9, s, True, 3) for i, (_, _, s, _) in enumerate(rows)], "seq long, model_id string, kind string, split string, pass string, item_id long, error string, max_words int, summary string, ok boolean, n_words int")
+    tokens = spark.createDataFrame([("test", i, 0, k, t) for i, (k, t, _, _) in enumerate(rows)], "split string, item_id long, ix int, token_kind string, token string")
+    got = dict(shown(spark, "SELECT seq, passes FROM token_checks", brief_parsed=parsed, brief_tokens=tokens))
+    assert got == {i: want for i, (_, _, _, want) in enumerate(rows)}
+
+
+def test_occurrences_and_spans(spark):
+    text = " Ann  Lee met Ann\tLee; aaaa"
+    letters = spark.createDataFrame([("test", 1, text, "n", "m", "p", "b")], "split string, item_id long, text string, name string, mail string, phone string, birth string")
+    entries = spark.createDataFrame([(9, "m", "local", "test", "A", 1, 0, "NAME", "Ann Lee"), (9, "m", "local", "test", "A", 1, 1, "X", "aa"), (9, "m", "local", "test", "A", 1, 2, "X", "zz")], "seq long, model_id string, kind string, split string, pass string, item_id long, pos int, type string, text string")
+    got = sorted(shown(spark, "SELECT pos, s, e FROM entry_places", letters=letters, letter_entries=entries))
+    assert [(p, text[s:e]) for p, s, e in got] == [(0, "Ann  Lee"), (0, "Ann\tLee"), (1, "aa"), (1, "aa"), (1, "aa")]
+
+
+def test_personal_data_by_patterns(spark):
+    text = "Mail a.b@x.example.org and c@y.example.com. Switchboard: +44 20 7946 0000 but mobile 07700 900123. Opened 21/08/2023. Born on 4 March 1980 there. GB82WEST12345698765432 GB82WEST12345698765433"
+    got = shown(spark, catalog.STATEMENTS["regex_pii"], texts=spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert sorted((k, t) for _, k, t in got) == [("DATE_OF_BIRTH", "4 March 1980"), ("EMAIL", "a.b@x.example.org"), ("EMAIL", "c@y.example.com"), ("IBAN", "GB82WEST12345698765432"), ("PHONE", "07700 900123")]
+
+
+def test_planner_by_hand(spark):
+    """Dropped, cheapest first, next of another provider, best quality; a task without survivors is unservable."""
+    rows = [("a", "local-a", "local", "local", 0.9, 5.0, 1.0), ("a", "cloud-small", "cloud", "vendor-y", 0.95, 1.0, 1.0), ("a", "cloud-family", "cloud", "vendor-y", 0.96, 2.0, 1.0), ("a", "cloud-frontier", "cloud", "vendor-x", 1.0, 9.0, 1.0), ("a", "cloud-large", "cloud", "vendor-z", 0.99, 3.0, 99.0), ("b", "local-a", "local", "local", 0.1, 1.0, 1.0), ("b", "cloud-small", "cloud", "vendor-y", 1.0, 1.0, 1.0)]
+    candidates = spark.createDataFrame([(m, k, p, "r", 0, t, "calib", 9, s, False, 0.0, None, 0.1, q, u) for t, m, k, p, s, u, q in rows], "model_id string, kind string, provider string, role string, pos int, task string, split string, n long, score double, judged boolean, invalid_rate double, within_rate double, p50_s double, p95_s double, usd double")
+    route = spark.createDataFrame([("a", 0.5, 0.9, None, 5.0, False, False, 10.0), ("b", 0.5, 0.9, None, None, True, False, 10.0)], "task string, weight double, relative_bar double, absolute_bar double, cap_s double, local_only boolean, below_bar_ok boolean, monthly double")
+    mix = route.select("task", "weight")
+    given = {"candidates": candidates, "route": route, "mix": mix}
+    assert sorted(shown(spark, "SELECT task, pos, model_id FROM chain WHERE constrained", **given)) == [("a", 1, "cloud-small"), ("a", 2, "local-a"), ("a", 3, "cloud-frontier")]
+    status = dict(shown(spark, "SELECT model_id, dropped FROM planned WHERE constrained AND task = 'a'", **given))
+    assert status["cloud-large"] == "latency_p95_exceeds_cap" and status["local-a"] is None
+    plan = {r[0]: r[1:] for r in shown(spark, catalog.STATEMENTS["plan_table"], **given)}
+    assert plan["b"] == (None, None, "unservable", "off") and plan["a"][2] == "served"
+    served = route.withColumn("below_bar_ok", F.lit(True))
+    assert ("b", 1, "local-a") in shown(spark, "SELECT task, pos, model_id FROM chain WHERE constrained", candidates=candidates, route=served, mix=mix)
+
+
+def test_replay_by_hand(spark):
+    """Four items: a direct pass, an error that escalates, a gate that fails, a chain that runs out."""
+    chain = spark.createDataFrame([(c, "a", m, k, p, b, 0) for c in (True, False) for m, k, p, b in (("local-a", "local", 1, 0), ("cloud-small", "cloud", 2, 1))], "constrained boolean, task string, model_id string, kind string, pos int, best int, below int")
+    items = spark.createDataFrame([("a", "test", i) for i in range(1, 5)], "task string, split string, item_id long")
+    calls = [(1, "local-a", 1, None, True), (2, "local-a", 2, "http_500", True), (3, "cloud-small", 2, None, True), (4, "local-a", 3, None, True), (5, "cloud-small", 3, None, True), (6, "local-a", 4, None, False), (7, "cloud-small", 4, None, True)]
+    scored = spark.createDataFrame([(s, m, "local" if m == "local-a" else "cloud", "a", "test", "A", i, 1.0, 0.5, 0, e, 1, 1, v, 1, 1, 0, 0, 0) for s, m, i, e, v in calls], "seq long, model_id string, kind string, task string, split string, pass string, item_id long, latency_s double, cost_usd double, retries int, error string, prompt_tokens int, completion_tokens int, valid boolean, a int, b int, c int, d int, e int")
+    gates = spark.createDataFrame([(s, m, "a", "test", i, s not in (4, 7), None) for s, m, i, _, _ in calls], "seq long, model_id string, task string, split string, item_id long, passed boolean, reason string")
+    route = spark.createDataFrame([("a", 1.0, 0.9, None, None, False, False, 10.0)], "task string, weight double, relative_bar double, absolute_bar double, cap_s double, local_only boolean, below_bar_ok boolean, monthly double")
+    unanswered = items.select("task", "split", "item_id", *[F.lit(0).alias(x) for x in "abcde"])
+    given = {"chain": chain, "items": items, "scored": scored, "gate_results": gates, "route": route, "unanswered": unanswered}
+    q = "SELECT item_id, served_pos, served_by, calls, escalated, latency_s, cost_usd, a FROM replayed WHERE row_name = 'router (gates, constraints)' AND split = 'test'"
+    assert sorted(shown(spark, q, **given)) == [(1, 1, "local-a", 1, False, 1.0, 0.0, 1), (2, 2, "cloud-small", 2, True, 2.0, 0.5, 1), (3, 2, "cloud-small", 2, True, 2.0, 0.5, 1), (4, -1, "cloud-small", 2, True, 2.0, 0.5, 1)]
+    local = given | {"route": route.withColumn("local_only", F.lit(True))}
+    assert [r for r in shown(spark, q, **local) if r[0] == 4] == [(4, -1, None, 2, True, 2.0, 0.5, 0)]
+
+
+def test_bootstrap_equals_a_direct_resample(spark):
+    values = [1, 0, 0, 1, 1, 0, 1, 1, 1, 0, 0, 1, 1]
+    df = spark.createDataFrame([("g", i, v, 1) for i, v in enumerate(values)], "g string, i int, ok int, w int").repartition(3)
+    got = bootstrap_ci(df, ["g"], "ok", "w", "i").first()
+    rng, k = random.Random(7), len(values)
+    plain = sorted(sum(values[rng.randrange(k)] for _ in range(k)) / k for _ in range(1000))
+    assert (got["estimate"], got["low"], got["high"]) == pytest.approx((sum(values) / k, plain[25], plain[974]))
+
+
+def test_corrected_rate_resamples_the_holdout(spark):
+    passed = spark.createDataFrame([("m", i, i % 3 > 0) for i in range(30)], "m string, i int, ok boolean")
+    holdout = spark.createDataFrame([(i, i % 2 == 0, (i % 2 == 0) != (i % 7 == 0)) for i in range(40)], "id int, y boolean, s boolean")
+    got = corrected_rates(passed, ["m"], "ok", "i", holdout, "y", "s", "id").first()
+    rng, ev, ho, out = random.Random(7), [i % 3 > 0 for i in range(30)], [(i % 2 == 0, (i % 2 == 0) != (i % 7 == 0)) for i in range(40)], []
+    for _ in range(1000):
+        p = sum(ev[rng.randrange(30)] for _ in range(30)) / 30
+        drawn = [ho[rng.randrange(40)] for _ in range(40)]
+        tpr = sum(s for y, s in drawn if y) / sum(y for y, _ in drawn)
+        tnr = sum(not s for y, s in drawn if not y) / sum(not y for y, _ in drawn)
+        out.append(min(1, max(0, (p + tnr - 1) / (tpr + tnr - 1))))
+    out.sort()
+    assert (got["low"], got["high"]) == pytest.approx((out[25], out[974])) and got["low"] < got["corrected"] < got["high"]
+
+
+def test_tuning_prefers_the_better_f1(spark):
+    df = spark.createDataFrame([(0.2, False), (0.4, True), (0.5, False), (0.9, True), (0.95, True)], "score double, match boolean")
+    from ledgerloom import frames
+
+    row = frames.tuned(df, "score", "match").first()
+    assert tuple(row) == (0.4, pytest.approx(6 / 7), 0.4, 0.5)
+    shared = df.withColumn("id", F.monotonically_increasing_id())
+    assert shown(spark, "SELECT threshold, band_low, band_high FROM pair_tuned", pair_scores=shared) == [(0.4, 0.4, 0.5)]
+
+
+def test_grounding_of_whole_values(spark):
+    from ledgerloom import frames
+
+    schema = "seq long, model_id string, kind string, split string, pass string, item_id long, error string, ok boolean, pos int, field string, type string, required boolean, grounded boolean, allowed string, gold string, said string, gold_value string, said_value string"
+    say = [("Acme Group Ltd", True), ("Acme Grupp Ltd", True), ("Other", False), (" ", False)]
+    fields = spark.createDataFrame([(i, "m", "local", "calib", "A", 1, None, True, 0, "company", "string", True, True, None, s, s, s.strip() or None, (s.strip() or None) if c else "x") for i, (s, c) in enumerate(say)], schema)
+    items = spark.createDataFrame([("t", "calib", 1, "2024-01-01", "x" * 500 + " we at ACME  group ltd write")], "task string, split string, item_id long, reference_date string, text string")
+    given = {"enquiry_fields": fields, "enquiry_items": items}
+    got = {r["seq"]: r["ratio"] for r in frames.partial_ratio(spark, "", given).collect()}
+    plain = max(fuzzy.indel("acme grupp ltd", w) for i in range(-13, 520) if (w := ("x" * 500 + " we at acme group ltd write")[max(0, i) : i + 14]))
+    assert got[0] == 100 and got[1] == pytest.approx(plain, abs=1e-6) and got[2] < 80 and got[3] == 0
+    assert frames.grounding_ratio(spark, "", given).first()[0] == pytest.approx(min(100, max(80, plain)), abs=1e-6)
+    assert {r["seq"] for r in frames.grounded(spark, "", given).collect() if r["grounded"]} == {0, 1}
+
+
+def test_label_baseline_reads_whole_texts(spark, tmp_path):
     from ledgerloom import frames
 
-    rng = random.Random(5)
-    say = lambda n, part: " ".join(rng.choice(part) + rng.choice(part) for _ in range(n))
-    asked = say(200, ["ka", "lo", "mi", "re"])
-    answers = [asked[600:700], asked[:30] + "".join(rng.choice("xyzvwq") for _ in range(90)), asked[500:560] + "X" + asked[560:600]]
-    turns = [(i, k, r, t) for i, x in enumerate(answers) for k, r, t in ((0, "user", asked), (1, "assistant", x))]
-    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    plain = lambda a, b: 100.0 if a in b else max(fuzzy.indel(a, w) for i in range(1 - len(a), len(b)) if (w := b[max(0, i) : i + len(a)]))
-    got = {r["conv_id"]: r["grounded"] for r in frames.grounded(spark, str(tmp_path)).collect()}
-    assert got == {i: plain(x.lower(), asked.lower()) >= 90 for i, x in enumerate(answers)} == {0: True, 1: False, 2: True}
-    ratio = frames.grounding_ratio(spark, str(tmp_path)).first()["ratio"]
-    assert abs(ratio - max(80.0, min(plain(x, asked) for x in answers))) < 1e-9
-    # The language stands after 400 characters, or in a text of one word; pairs tell the last two apart.
     head = "same words " * 40
-    docs = [(i, f"l{i % 4}", [head + "ja", "nein", "p q p q r r", "q p r q r p"][i % 4]) for i in range(120)]
+    docs = [(i, f"l{i % 4}", [head + "ja", "nein", "pp qq pp qq rr rr", "qq pp rr qq rr pp"][i % 4]) for i in range(120)]
     spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = frames.tfidf(spark, str(tmp_path)).collect()
     assert len(got) == 80 and all(r["label"] == r["prediction"] for r in got)
