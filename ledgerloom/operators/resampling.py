@@ -21,9 +21,21 @@ EXACT = 5000
 
 @lru_cache(maxsize=4)
 def positions(seed: int, n: int, k: int) -> np.ndarray:
-    """n resamples of k positions, as ``random.Random(seed).randrange`` draws them one after another."""
-    draw = random.Random(seed).randrange
-    return np.array([[draw(k) for _ in range(k)] for _ in range(n)], np.int32)
+    """n resamples of k positions, as ``random.Random(seed).randrange`` draws them one after another.
+
+    Both libraries have the same generator; a draw is its next number's highest bits, again while they are k or more.
+    """
+    *key, at = random.Random(seed).getstate()[1]
+    twister = np.random.MT19937()
+    state = twister.state
+    state["state"] = {"key": np.array(key, np.uint32), "pos": at}
+    twister.state = state
+    bits, drawn, got = k.bit_length(), [], 0
+    while got < n * k:
+        raw = twister.random_raw(int((n * k - got) * 2**bits / k) + 64) >> np.uint64(32 - bits)
+        drawn.append(raw[raw < k])
+        got += len(drawn[-1])
+    return np.concatenate(drawn)[: n * k].astype(np.int32).reshape(n, k)
 
 
 def bounds(values: Column, alpha: float) -> tuple[Column, Column]:
