@@ -5,12 +5,15 @@ the least fingerprint. Equal strings pick the same place, so it is enough to sor
 places, about one in 35, instead of all. Neighbouring strings mostly pick the same place; a suffix comes with the range
 of strings that picked it.
 
-Splitters from a bounded sample cut the order of suffixes (leading bytes first) into ranges. A range is sorted by
-several keys: suffix, content of all its strings, document and place. A splitter is a key, so equal suffixes are never
-in two ranges; the ends of a range need no second look.
+A suffix's tokens are its leading bytes, eight to a token, then a fingerprint of all its strings. Suffixes are ordered by
+tokens, then by document and place. Splitters from a bounded sample cut that order into ranges; as they hold all of it, a
+suffix that stands everywhere is spread over as many ranges as its part of the sample needs. Blocks and ranges are sorted
+by multikey quicksort: three-way partitions by one token at a time.
 
 Suffixes whose strings are all equal form a class, and all its members but the first are repeats altogether. Where one
-suffix has several classes, their first members' bytes are fetched and compared string by string.
+suffix has several classes, their first members' bytes are fetched and compared string by string. Each range reports its
+first and last suffix; where a range begins as the one before it ends, its first member is a repeat, too, and classes on
+both sides of the boundary are compared.
 
 Suffixes travel as packed columns. In a block of documents only the first member of a class is sent, so a passage that
 stands everywhere costs a row a block. Fingerprints have 64 bits; strings count as equal when two of them agree.
@@ -24,6 +27,7 @@ length are worked on in segments; an empty table gives an empty result; extra co
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import buckets, read, small_batches, staged, text_of
 from .shingles import _BYTE, mix, powers
@@ -42,7 +47,11 @@ SEGMENT, BLOCK = 1 << 20, 2 << 20
 #: Rows of the sample for the splitters, about, and suffixes that each gives.
 SAMPLE, EACH = 1000, 50
 NO_ID = -(1 << 63)
-_COLUMNS = [("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1"), ("back", "u1")]
+TOKENS = ["w0", "w1", "w2", "w3", "content"]
+_COLUMNS = [*((t, "<u8") for t in TOKENS), ("doc", "<i8"), ("start", "<u4"), ("more", "u1"), ("back", "u1")]
+_SIGN = np.uint64(1 << 63)
+#: Suffixes up to which a part of the sort is ended in one go.
+LEAF = 200
 
 
 class Hashes:
@@ -85,11 +94,9 @@ def suffix_rows(segments: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]
     segment = np.repeat(np.arange(len(segments)), count)[first]
     back = suffix - start
     content = mix(hashes.of(start, more + LENGTH) + (more * 128 + back).astype(np.uint64))
-    lead = buffer[suffix].astype(np.uint64)
-    for k in (1, 2, 3):
-        lead = lead << np.uint64(8) | buffer[suffix + k]
+    words = buffer[suffix[:, None] + np.arange(GRAM)].view(">u8").astype(np.uint64) if len(suffix) else np.empty((0, 4), np.uint64)
     return {
-        "key": lead << np.uint64(32) | grams[suffix] >> np.uint64(32),
+        **{f"w{k}": words[:, k] for k in range(4)},
         "content": content,
         "doc": np.array([s[0] for s in segments], np.int64)[segment],
         "start": (start - at[segment] + np.array([s[1] for s in segments], np.int64)[segment]).astype(np.uint32),
@@ -148,14 +155,59 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
         yield sorted(held, key=lambda s: s[:2])
 
 
+def sort_tokens(rows: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """What suffixes are ordered by, one array a token: tokens, document (unsigned, in the order of its sign), place."""
+    return [*(rows[t] for t in TOKENS), rows["doc"].astype(np.int64).view(np.uint64) ^ _SIGN, rows["start"].astype(np.uint64)]
+
+
+def multikey_quicksort(tokens: list[np.ndarray]) -> np.ndarray:
+    """The order of suffixes by their tokens: each part is split by one token into less, equal and more; equal goes on with the next."""
+    out: list[np.ndarray] = []
+    todo = [(np.arange(len(tokens[0])), 0)]
+    while todo:
+        part, depth = todo.pop()
+        if depth == len(tokens):
+            out.append(part)
+        elif len(part) <= LEAF:
+            out.append(part[np.lexsort([t[part] for t in reversed(tokens[depth:])])])
+        else:
+            x = tokens[depth][part]
+            pivot = np.sort(x[:: max(1, len(x) // 31)])[min(15, len(x) // 2)]
+            less, more = x < pivot, x > pivot
+            todo += [(part[more], depth), (part[~(less | more)], depth + 1), (part[less], depth)]
+    return np.concatenate(out)
+
+
 def repeats(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, whether a row is a later member of its class): rows in the order of key, content, document and place."""
-    order = np.lexsort((rows["start"], rows["doc"], rows["content"], rows["key"]))
-    key, content = rows["key"][order], rows["content"][order]
-    later = np.concatenate([[False], (key[1:] == key[:-1]) & (content[1:] == content[:-1])])
+    """(order, whether a row is a later member of its class): rows in the order of their tokens, document and place."""
+    order = multikey_quicksort(sort_tokens(rows))
+    later = np.zeros(len(order), bool)
+    if len(order):
+        later[1:] = np.logical_and.reduce([rows[t][order][1:] == rows[t][order][:-1] for t in TOKENS])
     return order, later
 
 
+def gram_hash(rows: dict[str, np.ndarray], take: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(take), np.uint64)
+    for k in range(4):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[f"w{k}"][take])
+    return h
+
+
+def ranges_of(splitters: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
+    """The range of each suffix: how many splitters (rows of tokens, in order) it isn't before."""
+    if not len(splitters):
+        return np.zeros(len(tokens[0]), np.int64)
+    low, high = (np.searchsorted(splitters[:, 0], tokens[0], side) for side in ("left", "right"))
+    part = low.copy()
+    tied = np.flatnonzero(low < high)
+    if len(tied):
+        cuts = [tuple(c) for c in splitters.tolist()]
+        for i, row in zip(tied.tolist(), zip(*(t[tied].tolist() for t in tokens), strict=True), strict=True):
+            part[i] = bisect_right(cuts, row, int(low[i]), int(high[i]))
+    return part
+
+
 def _spans(rows: dict[str, np.ndarray], take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = rows["start"][take].astype(np.int64)
     return merged_spans(rows["doc"][take], start, start + rows["more"][take] + LENGTH)
@@ -170,8 +222,8 @@ def _send(splitters: np.ndarray) -> Callable:
             order, later = repeats(rows)
             doc, start, end = _spans(rows, order[later])
             sent = order[~later]
-            part = np.searchsorted(splitters, rows["key"][sent], "right")
-            numbers, cuts = np.unique(part, return_index=True)  # keys are in order, so ranges are
+            part = ranges_of(splitters, [t[sent] for t in sort_tokens(rows)])
+            numbers, cuts = np.unique(part, return_index=True)  # suffixes are in order, so ranges are
             blobs = [pack_rows(rows, x) for x in np.split(sent, cuts[1:])]
             spans = np.stack([doc, start, end], 1).astype("<i8").tobytes() if len(doc) else None
             own = [] if spans is None else [spans]
@@ -185,46 +237,60 @@ def _send(splitters: np.ndarray) -> Callable:
     return work
 
 
-#: Spans to remove (key null), or the first member of a class whose suffix has other classes.
-FOUND = "key long, doc long, start long, size int, back int"
+#: Spans to remove (key null); the first member of a class whose suffix has other classes (key: its suffix's fingerprint);
+#: and of each range the first suffix (edge 1) and the last (edge 2) with their classes, and the classes of the first and last
+#: suffix where it has one only (edges 3 and 4).
+FOUND = "key long, class long, doc long, start long, size int, back int, part int, edge int"
+_KINDS = [("key", pa.int64()), ("class", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("back", pa.int32()), ("part", pa.int32()), ("edge", pa.int32())]
 
 
-def _table(key, doc, start, size, back) -> pa.Table:
-    return pa.table({"key": pa.array(key, pa.int64()), "doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "size": pa.array(size, pa.int32()), "back": pa.array(back, pa.int32())})
+def _table(*columns) -> pa.Table:
+    return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, k) for (n, k), c in zip(_KINDS, columns, strict=True)})
 
 
 def _sort_range(table: pa.Table) -> pa.Table:
+    number = table.column("part")[0].as_py()
     known, blobs = table.column("known").to_pylist(), table.column("block").to_pylist()
     spans = [np.frombuffer(b, "<i8").reshape(-1, 3) for k, b in zip(known, blobs, strict=True) if k]
     rows = unpack_rows([b for k, b in zip(known, blobs, strict=True) if not k])
     order, later = repeats(rows)
-    key = rows["key"][order]
+    gram = gram_hash(rows, order)
     firsts = ~later
     # classes to a suffix
-    new = np.concatenate([[True], key[1:] != key[:-1]])
+    new = np.concatenate([[True], np.logical_or.reduce([rows[f"w{k}"][order][1:] != rows[f"w{k}"][order][:-1] for k in range(4)])])
     group = np.cumsum(new) - 1
-    several = np.bincount(group, weights=firsts)[group] > 1
-    ask = order[firsts & several]
+    classes = np.bincount(group, weights=firsts)
+    several = classes[group] > 1
     doc, start, end = _spans(rows, order[later])
     if spans:
         more = np.concatenate(spans)
         doc, start, end = np.append(doc, more[:, 0]), np.append(start, more[:, 1]), np.append(end, more[:, 2])
         doc, start, end = merged_spans(doc, start, end)
     m = len(doc)
-    none = pa.nulls(m, pa.int64())
-    cut = _table(none, doc, start, (end - start).astype(np.int32), np.zeros(m, np.int32))
-    wanted = _table(
-        rows["key"][ask].view(np.int64), rows["doc"][ask], rows["start"][ask].astype(np.int64), rows["more"][ask].astype(np.int32) + LENGTH, rows["back"][ask].astype(np.int32)
-    )
-    return pa.concat_tables([cut, wanted])
+    none, zero = pa.nulls(m, pa.int64()), np.zeros(m, np.int32)
+    cut = _table(none, none, doc, start, (end - start).astype(np.int32), zero, zero + number, zero)
+
+    def rows_at(at: np.ndarray, edge: int) -> pa.Table:
+        take = order[at]
+        kind = mix(gram[at] + rows["content"][take])
+        return _table(
+            gram[at].view(np.int64), kind.view(np.int64), rows["doc"][take], rows["start"][take].astype(np.int64), rows["more"][take].astype(np.int32) + LENGTH, rows["back"][take].astype(np.int32),
+            np.full(len(at), number, np.int32), np.full(len(at), edge, np.int32),
+        )
+
+    out = [cut, rows_at(np.flatnonzero(firsts & several), 0), rows_at(np.array([0]), 1), rows_at(np.array([len(order) - 1]), 2)]
+    for g, edge in ((0, 3), (int(group[-1]), 4)):
+        if classes[g] == 1:
+            out.append(rows_at(np.flatnonzero(firsts & (group == g)), edge))
+    return pa.concat_tables(out)
 
 
-def _fetch(splitters: np.ndarray) -> Callable:
-    """Bytes of wanted strings of a document (doc, text, wanted), packed by range."""
+def _fetch(ranges: int) -> Callable:
+    """Bytes of wanted strings of a document (doc, text, wanted), packed by the hash of their suffix."""
 
     def flush(parts: list) -> pa.RecordBatch:
         key = np.concatenate([p[0] for p in parts])
-        part = np.searchsorted(splitters, key.view(np.uint64), "right")
+        part = (key.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         flat = [x for p in parts for x in p[1]]
         numbers, cuts = np.unique(part[order], return_index=True)
@@ -280,34 +346,52 @@ def _compare(table: pa.Table) -> pa.Table:
 
 
 def sample_splitters(texts: DataFrame, ranges: int) -> np.ndarray:
-    """Keys that cut the order of suffixes into even ranges, from at most about SAMPLE * EACH suffixes."""
+    """Suffixes, as rows of tokens, that cut their order into even ranges, from at most about SAMPLE * EACH of them."""
     total = texts.count()
     part = min(1.0, SAMPLE / max(total, 1))
+    names = [f"t{i}" for i in range(len(TOKENS) + 2)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segments in _blocks(batches):
-            keys = suffix_rows(segments)["key"]
-            step = max(1, len(keys) // (EACH * len(segments)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[::step].view(np.int64))], names=["key"])
+            tokens = sort_tokens(suffix_rows(segments))
+            step = max(1, len(tokens[0]) // (EACH * len(segments)))
+            yield pa.RecordBatch.from_arrays([pa.array(t[::step].view(np.int64)) for t in tokens], names=names)
 
     some = texts.filter(F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    keys = np.sort(np.array([r[0] for r in some.mapInArrow(work, "key long").collect()], np.int64).view(np.uint64))
-    if not len(keys):
-        return np.empty(0, np.uint64)
-    return np.unique(keys[(np.arange(1, ranges) * len(keys)) // ranges])
+    rows = some.mapInArrow(work, ", ".join(f"{n} long" for n in names)).collect()
+    tokens = [np.array([r[i] for r in rows], np.int64).view(np.uint64) for i in range(len(names))]
+    if not rows:
+        return np.empty((0, len(names)), np.uint64)
+    order = multikey_quicksort(tokens)
+    at = order[(np.arange(1, ranges) * len(order)) // ranges]
+    return np.unique(np.stack([t[at] for t in tokens], 1), axis=0)
+
+
+def _across(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans, and members to compare, that only ranges side by side show; edges are two rows a range."""
+    first = found.filter("edge = 1").select("part", "key", "class", "doc", "start", "size")
+    last = found.filter("edge = 2").select("part", F.col("key").alias("last_key"), F.col("class").alias("last_class"))
+    up = Window.orderBy("part")
+    ends = first.join(last, "part").withColumns({"before": F.lag("part").over(up), "before_key": F.lag("last_key").over(up), "before_class": F.lag("last_class").over(up)})
+    spans = ends.filter(F.col("class") == F.col("before_class")).select("doc", "start", "size")
+    meet = ends.filter(F.col("key") == F.col("before_key"))
+    facing = meet.select("part", F.lit(3).alias("edge")).unionByName(meet.select(F.col("before").alias("part"), F.lit(4).alias("edge")))
+    return spans, found.filter("edge >= 3").join(F.broadcast(facing), ["part", "edge"], "left_semi").select("key", "doc", "start", "size", "back")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, spans) of documents with repeats: bytes to remove, not yet merged. doc is doc_id, null as the least long."""
     small_batches(docs.sparkSession)
-    texts = _texts(docs)
-    splitters = sample_splitters(texts, buckets(docs.sparkSession))
+    texts, ranges = _texts(docs), buckets(docs.sparkSession)
+    splitters = sample_splitters(texts, ranges)
     sent = texts.mapInArrow(_send(splitters), "part int, known boolean, block binary")
     found = staged(sent.groupBy("part").applyInArrow(_sort_range, FOUND), "suffixes")
-    wanted = found.filter("key IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "size", "back")).alias("wanted"))
-    bodies = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch(splitters), "part int, block binary")
+    across, both = _across(found)
+    asked = found.filter("edge = 0 AND key IS NOT NULL").select("key", "doc", "start", "size", "back").unionByName(both).distinct()
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "size", "back")).alias("wanted"))
+    bodies = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch(ranges), "part int, block binary")
     compared = bodies.groupBy("part").applyInArrow(_compare, "doc long, start long, size int")
-    spans = found.filter("key IS NULL").select("doc", "start", "size").unionByName(compared)
+    spans = found.filter("key IS NULL").select("doc", "start", "size").unionByName(compared).unionByName(across)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 

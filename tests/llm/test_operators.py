@@ -503,6 +503,26 @@ def test_suffix_dedup(spark, rows, none, monkeypatch):
     assert got == plain_repeats(texts)
     assert suffixes.dedup_report(none).count() == 0
     assert suffixes.drop_repeats(df).columns == df.columns
+    # one passage in most documents, in small blocks: its suffixes are spread over ranges and compared across boundaries
+    monkeypatch.setattr(suffixes, "BLOCK", 400)
+    rng = random.Random(5)
+    passage = " ".join(rng.choice("alpha beta gamma delta".split()) + str(rng.randrange(9)) for _ in range(60))
+    own = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(rng.randrange(0, 30)))
+    texts = {i: own() + (passage[rng.randrange(0, 40) :] if i % 4 else passage[:200] + "!" + passage[200:]) + own() for i in range(160)}
+    hot = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(6)
+    cut = suffixes.sample_splitters(suffixes._texts(hot), suffixes.buckets(spark))
+    assert len(np.unique(cut[:, :5], axis=0)) < len(cut)  # some splitters differ by document only
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.dedup_report(hot).collect()}
+    assert got == plain_repeats(texts)
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    for n, most in ((0, 3), (1, 3), (5000, 2), (5000, 40), (3000, 1 << 62)):
+        tokens = [rng.integers(0, most, n, dtype=np.uint64) for _ in range(4)]
+        order = suffixes.multikey_quicksort(tokens) if n else np.empty(0, int)
+        assert [tuple(int(t[i]) for t in tokens) for i in order] == sorted(zip(*(t.tolist() for t in tokens), strict=True))
+        assert sorted(order.tolist()) == list(range(n))
 
 
 # --- quality ---
