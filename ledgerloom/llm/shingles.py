@@ -39,12 +39,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
-def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words of bytes, A-Z as a-z: a polynomial of the bytes' random numbers, shifted to place 0."""
+def word_hashes(buffer: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of bytes, A-Z as a-z: a polynomial of the bytes' random numbers, shifted to place 0.
+
+    between: by byte, whether it stands between words.
+    """
     n = len(buffer)
     word = np.empty(n + 2, bool)
     word[0] = word[-1] = False
-    np.logical_not(_SPACE[buffer], out=word[1:-1])
+    np.logical_not(between[buffer], out=word[1:-1])
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[::2], edge[1::2]
     up, down = powers(n + 1)
