@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is read many times.
 
     The table goes with ``discard``, or when the driver's process ends.
@@ -46,7 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for scope in _scopes:
         scope.append((spark, path))
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
