@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, gif, jaccard, packing, pii, quality, secrets, suffixes, toxicity, warc
+from . import bpe, gif, jaccard, packing, pages, pii, quality, ranking, secrets, suffixes, toxicity, warc, whitening
 
 
 def queries():
@@ -20,10 +20,14 @@ def queries():
         "op4_bpe": bpe.query,
         "op2_secret_scan": secrets.query,
         "op6_quality_rules": quality.query,
+        "op11_ranked_search": ranking.query,
+        "op12_html_text": pages.query,
+        "op13_whitening": whitening.query,
     }
 
 
 def oracle_sql():
     return {
         "op8_warc": warc.ORACLE_SQL,
+        "op11_ranked_search": ranking.ORACLE_SQL,
     }
