@@ -51,32 +51,6 @@ def corrected_rate(spark: SparkSession, sf_dir: str, tables: Tables = None) -> D
     return corrected_rates(passed, ["model_id", "split"], "passed", "item_id", holdout, "label_pass", "predicted_pass", "id")
 
 
-#: Weights of the fields of a company.
-WEIGHTS = {"name": 0.30, "street": 0.15, "postcode": 0.15, "city": 0.10, "country": 0.10, "domain": 0.10, "vat_id": 0.05, "phone": 0.05}
-
-
-def field_similarity(field: str, left: Column, right: Column) -> Column:
-    """From 0 to 1: names by shared words, VAT numbers exactly, phones by their digits, others by edits."""
-    said = lambda c: F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
-    if field == "vat_id":
-        return F.when((said(left) != "") & (said(left) == said(right)), 1.0).otherwise(0.0)
-    if field == "phone":
-        x, y = (F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[^0-9]", "") for c in (left, right))
-        return F.when((x == "") & (y == ""), 0.0).otherwise(fuzzy.indel_ratio(x, y) / 100)
-    return (fuzzy.token_set_ratio if field == "name" else fuzzy.indel_ratio)(said(left), said(right)) / 100
-
-
-def record_similarity(left: dict[str, Column], right: dict[str, Column]) -> Column:
-    return sum((w * field_similarity(f, left[f], right[f]) for f, w in WEIGHTS.items()), F.lit(0.0))
-
-
-def record_pairs(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
-    """Items of entity matching with both records and their similarity."""
-    sides = ", ".join(f"s.{f} AS l_{f}, t.{f} AS r_{f}" for f in WEIGHTS)
-    p = sql.run(spark, sf_dir, f"SELECT s.id, s.nation = t.nation AS match, {sides} FROM company_records s JOIN company_records t ON t.id = s.id + 1", tables)
-    return p.select("id", "match", F.round(record_similarity({f: p[f"l_{f}"] for f in WEIGHTS}, {f: p[f"r_{f}"] for f in WEIGHTS}), 6).alias("similarity"))
-
-
 def tuned(scored: DataFrame, score: str, match: str) -> DataFrame:
     """One row: threshold of the best F1 (the lowest of equals; 0 and 1 are tried, too), F1, and the band where both classes lie."""
     rows = scored.select(F.col(score).alias("s"), F.col(match).cast("int").alias("m"))
@@ -90,10 +64,6 @@ def tuned(scored: DataFrame, score: str, match: str) -> DataFrame:
     return best.crossJoin(ends).select(F.col("t").alias("threshold"), "f1", F.when(both, F.col("lo")).otherwise(F.col("t")).alias("band_low"), F.when(both, F.col("hi")).otherwise(F.col("t")).alias("band_high"))  # one row each
 
 
-def pair_tuning(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
-    return tuned(record_pairs(spark, sf_dir, tables), "similarity", "match")
-
-
 def _spaced(c) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, "(?U)\\s+", " ")))
 
@@ -255,20 +225,16 @@ def tfidf(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
 
 
 def gate_tables(spark: SparkSession, sf_dir: str, tables: Tables = None) -> dict[str, DataFrame]:
-    """What gates compare with, trained and tuned on calib: labels, similarities and their band, close matches, date phrases."""
+    """What gates compare with beyond SQL, trained and tuned on calib: labels, close matches, date phrases."""
     tables = dict(tables or {})
     topics = sql.run(spark, sf_dir, "SELECT item_id, split, text, gold FROM topic_items", tables)
     predict = label_baseline(topics.filter("split = 'calib'"), "text", "gold")
     topic = predict(topics).select("item_id", "split", F.col("predicted").alias("base_label"))
-    sides = ", ".join(f"s.{f} AS l_{f}, t.{f} AS r_{f}" for f in WEIGHTS)
-    pairs = sql.run(spark, sf_dir, f"SELECT i.item_id, i.split, i.gold_match, {sides} FROM (SELECT DISTINCT item_id, split, gold_match FROM match_answers) i CROSS JOIN (SELECT max(s_suppkey) AS last FROM supplier) z JOIN company_records s ON s.id = 1 + i.item_id % (z.last - 1) JOIN company_records t ON t.id = s.id + 1", tables)
-    scored = pairs.select("item_id", "split", "gold_match", record_similarity({f: pairs[f"l_{f}"] for f in WEIGHTS}, {f: pairs[f"r_{f}"] for f in WEIGHTS}).alias("score"))
-    band = tuned(scored.filter("split = 'calib'"), "score", "gold_match").select("threshold", "band_low", "band_high")
     least = F.broadcast(grounding_ratio(spark, sf_dir, tables).withColumnRenamed("ratio", "least"))
     close = grounded_fields(spark, sf_dir, tables, only_misses=True).crossJoin(least).filter("ratio >= least").select("seq", "field")
     items = sql.run(spark, sf_dir, "SELECT split, item_id, text, reference_date FROM enquiry_items", tables)
     days = items.select("split", "item_id", F.explode(resolved("text", "reference_date")).alias("day"))
-    return {"topic_baseline": topic, "pair_similarity": scored.drop("split"), "match_band": band, "grounded_more": close, "dates_derived": days}
+    return {"topic_baseline": topic, "grounded_more": close, "dates_derived": days}
 
 
 def gates(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
@@ -279,8 +245,7 @@ def gates(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
 
 def thresholds(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
     """All numbers that gates were tuned to."""
-    full = gate_tables(spark, sf_dir, tables)
-    return full["match_band"].crossJoin(grounding_ratio(spark, sf_dir, tables).withColumnRenamed("ratio", "grounding_ratio")).withColumn("labels_trained", F.lit(True))  # one row each
+    return sql.run(spark, sf_dir, "SELECT threshold, band_low, band_high FROM match_band", tables).crossJoin(grounding_ratio(spark, sf_dir, tables).withColumnRenamed("ratio", "grounding_ratio")).withColumn("labels_trained", F.lit(True))  # one row each
 
 
 def mixed_sample(spark: SparkSession, sf_dir: str, tables: Tables = None, n: int = 100, seed: int = 7) -> DataFrame:
@@ -308,8 +273,6 @@ QUERIES = {
     "stratified_sample": sample,
     "bootstrap_ci": bootstrap,
     "corrected_pass_rate_ci": corrected_rate,
-    "fuzzy_similarity": record_pairs,
-    "fuzzy_tuning": pair_tuning,
     "partial_ratio": partial_ratio,
     "grounded": grounded,
     "grounding_ratio": grounding_ratio,

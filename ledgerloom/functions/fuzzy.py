@@ -91,13 +91,5 @@ def _vectorised(f):
     return F.pandas_udf(over, "double")
 
 
-def indel_ratio(a, b):
-    return _vectorised(indel)(a, b)
-
-
-def token_set_ratio(a, b):
-    return _vectorised(token_set)(a, b)
-
-
 def partial_ratio(a, b):
     return _vectorised(partial)(a, b)

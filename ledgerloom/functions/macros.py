@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sql import either
+
 #: White space that a pattern trims: blank, tab, line feed, carriage return, form feed, vertical tab.
 WS = " \t\n\r\f\v"
 #: Fixed value: what a label is stripped of on both sides.
@@ -49,9 +51,74 @@ def words(x: str) -> str:
     return f"CASE WHEN {one_spaced(x)} = '' THEN 0 ELSE length({one_spaced(x)}) - length(replace({one_spaced(x)}, ' ', '')) + 1 END"
 
 
+#: A letter, digit or underscore of any script, in a class of a pattern.
+SIGN = "\\\\p{L}\\\\p{N}_"
+_UNITS = f"[{SIGN}]+|[^{SIGN}]+"
+
+
+def _marked(x: str) -> str:
+    """x with a mark before and after each run of word signs and each run between them; marks of its own are rewritten."""
+    safe = f"replace(replace({x}, char(2), char(2) || '!'), char(1), char(2) || '?')"
+    return f"(char(1) || array_join(regexp_extract_all({safe}, '{_UNITS}', 0), char(1)) || char(1))"
+
+
+def marked_text(x: str) -> str:
+    """A text for ``has_words``: what stands before its first word and after its last has no word on its other side."""
+    return _marked(f"regexp_replace(regexp_replace({x}, '^[^{SIGN}]+', ''), '[^{SIGN}]+$', '')")
+
+
+def has_words(marked: str, words: str) -> str:
+    """Whether a text, marked, has words, a literal or column, with a word's boundary at both ends.
+
+    No pattern is made of words: runs of the one must be runs of the other, in order.
+    """
+    return f"({words} <> '' AND contains({marked}, {_marked(words)}))"
+
+
 def whole_word(text: str, word: str) -> str:
-    """Whether text has word, a literal or column, with no letter, digit or underscore beside it."""
-    return f"regexp_like({text}, '(^|[^A-Za-z0-9_])' || {word} || '($|[^A-Za-z0-9_])')"
+    """Whether text has word, a literal or column, between boundaries of words."""
+    return has_words(marked_text(text), word)
+
+
+def words_of(x: str) -> str:
+    return f"regexp_extract_all({x}, '[{SIGN}]+', 0)"
+
+
+def first_word(x: str) -> str:
+    return f"regexp_extract({x}, '[{SIGN}]+', 0)"
+
+
+def _bits(short: str, long: str) -> str:
+    """Length of the longest common subsequence; bit i of a number stands for sign i of short, which has 62 at most."""
+    full = f"(shiftleft(1L, length({short})) - 1L)"
+    hit = f"aggregate(sequence(1, length({short})), 0L, (h, i) -> h | CASE WHEN substr({short}, i, 1) = substr({long}, j, 1) THEN shiftleft(1L, i - 1) ELSE 0L END)"
+    return f"length({short}) - bit_count(aggregate(transform(sequence(1, length({long})), j -> {hit}), {full}, (r, m) -> ((r + (r & m)) | (r & ~m)) & {full}))"
+
+
+def _rows(short: str, long: str) -> str:
+    """The same by rows of the table of prefixes, for strings of any length."""
+    cell = f"CASE WHEN substr({short}, i, 1) = substr({long}, j, 1) THEN element_at(r, i) + 1 ELSE greatest(element_at(r, i + 1), element_at(t, i)) END"
+    return f"element_at(aggregate(sequence(1, length({long})), array_repeat(0, length({short}) + 1), (r, j) -> aggregate(sequence(1, length({short})), array(0), (t, i) -> array_append(t, {cell}))), -1)"
+
+
+def _wide(short: str, long: str) -> str:
+    full = f"((1::HUGEINT << length({short})) - 1)"
+    hit = f"list_sum(list_transform(generate_series(1, length({short})), lambda i: CASE WHEN substr({short}, i::BIGINT, 1) = substr({long}, j::BIGINT, 1) THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END))::HUGEINT"
+    return f"length({short}) - bit_count(list_reduce(list_transform(generate_series(1, length({long})), lambda j: {hit}), lambda r, m: ((r + (r & m)) | (r & ~m)) & {full}, {full}))"
+
+
+def common_length(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two columns."""
+    ours = (
+        f"CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN least(length({a}), length({b})) > 62 THEN {_rows(a, b)}"
+        f" WHEN length({a}) <= length({b}) THEN {_bits(a, b)} ELSE {_bits(b, a)} END"
+    )
+    return either(ours, f"CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN length({a}) <= length({b}) THEN {_wide(a, b)} ELSE {_wide(b, a)} END")
+
+
+def indel_ratio(a: str, b: str) -> str:
+    """1 for equal strings, 0 for nothing in common."""
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1e0 ELSE 2e0 * ({common_length(a, b)}) / (length({a}) + length({b})) END"
 
 
 def iso_date(x: str) -> str:

@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 
-from ..sql import relation
+from ..functions import similarity
+from ..sql import computed, relation
 from .scoring import primary
+from .selection import percentiles, weighted_percentiles
 
+_P50_P95 = "percentile(latency_s, 0.5) AS p50_s, percentile(latency_s, 0.95) AS p95_s"
+_ENDS = {"p50_s": 0.5, "p95_s": 0.95}
+
+
+def latency_percentiles(name: str, source: str, keys: str) -> None:
+    """Relation of the exact median and 95th percentile of source's latencies by keys, by distributed selection."""
+    computed(name, f"SELECT {keys}, {_P50_P95} FROM {source} GROUP BY {keys}", lambda run: percentiles(run(f"SELECT {keys}, latency_s FROM {source}"), keys.split(", "), "latency_s", _ENDS))
+
+
+relation("first_pass", "SELECT * FROM scored WHERE pass = 'A'")
+latency_percentiles("metric_latency", "first_pass", "model_id, kind, task, split")
 relation("metrics", f"""
-SELECT model_id, kind, task, split, count(*) AS n, {primary()} AS score, avg(CASE WHEN valid AND error IS NULL THEN 0e0 ELSE 1e0 END) AS invalid_rate, CASE WHEN task = 'summarisation' THEN avg(CAST(e AS DOUBLE)) END AS within_rate, task = 'summarisation' AND sum(b) > 0 AS judged,
-  percentile(latency_s, 0.5) AS p50_s, percentile(latency_s, 0.95) AS p95_s, avg(coalesce(cost_usd, 0e0)) AS usd
-FROM scored WHERE pass = 'A' GROUP BY model_id, kind, task, split
+SELECT m.model_id, m.kind, m.task, m.split, m.n, m.score, m.invalid_rate, m.within_rate, m.judged, l.p50_s, l.p95_s, m.usd FROM metric_latency l JOIN (SELECT model_id, kind, task, split, count(*) AS n, {primary()} AS score, avg(CASE WHEN valid AND error IS NULL THEN 0e0 ELSE 1e0 END) AS invalid_rate, CASE WHEN task = 'summarisation' THEN avg(CAST(e AS DOUBLE)) END AS within_rate, task = 'summarisation' AND sum(b) > 0 AS judged, avg(coalesce(cost_usd, 0e0)) AS usd
+  FROM first_pass GROUP BY model_id, kind, task, split) m ON m.model_id = l.model_id AND m.kind = l.kind AND m.task = l.task AND m.split = l.split
 """)
 #: Gold and predicted labels in one column, so that a label counts whichever side it stands on.
 relation("label_sides", """
@@ -19,31 +31,63 @@ UNION ALL SELECT model_id, split, label, 0, 1, 0 FROM topic_parsed WHERE pass =
 relation("weighted_values", "SELECT task, split, latency_s AS v, CAST(1 + k % 3 AS DOUBLE) AS w FROM calls WHERE kind = 'cloud'")
 
 
-relation("weighted_steps", """
-SELECT task, split, v, w, n, sum(w) OVER (PARTITION BY task, split ORDER BY v, w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, sum(w) OVER (PARTITION BY task, split) AS total, lag(v) OVER (PARTITION BY task, split ORDER BY v, w) AS v0
-FROM (SELECT task, split, v, w AS each, sum(w) AS w, count(*) AS n FROM weighted_values GROUP BY task, split, v, w) x
-""")
-relation("weighted_p", """
-SELECT task, split, p, min_by(CASE WHEN v0 IS NULL OR v0 = v OR p * total > c - w + w / n THEN v ELSE v0 + (v - v0) * (p * total - (c - w)) / (w / n) END, c) AS value
-FROM weighted_steps CROSS JOIN (SELECT * FROM (VALUES (0.5e0), (0.95e0)) AS t(p)) q WHERE total > 0 AND c >= p * total GROUP BY task, split, p
-""")
+
+
+def weighted_p(source: str, keys: str) -> str:
+    """(keys, p, value) of source's values v with weights w: between the row where the weights pass p and the one before."""
+    return f"""
+SELECT {keys}, p, min_by(CASE WHEN v0 IS NULL OR v0 = v OR p * total > c - w + w / n THEN v ELSE v0 + (v - v0) * (p * total - (c - w)) / (w / n) END, c) AS value
+FROM (SELECT {keys}, v, w, n, sum(w) OVER (PARTITION BY {keys} ORDER BY v, each ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, sum(w) OVER (PARTITION BY {keys}) AS total, lag(v) OVER (PARTITION BY {keys} ORDER BY v, each) AS v0
+  FROM (SELECT {keys}, v, w AS each, sum(w) AS w, count(*) AS n FROM {source} WHERE w > 0 GROUP BY {keys}, v, w) x) s CROSS JOIN (SELECT * FROM (VALUES (0.5e0), (0.95e0)) AS t(p)) q WHERE total > 0 AND c >= p * total GROUP BY {keys}, p
+"""
+
+
+def weighted(name: str, source: str, keys: str) -> None:
+    """That relation, by distributed selection."""
+    computed(name, weighted_p(source, keys), lambda run: weighted_percentiles(run(f"SELECT {keys}, v, w FROM {source}"), keys.split(", "), "v", "w", [0.5, 0.95]))
+
+
+weighted("weighted_p", "weighted_values", "task, split")
+latency_percentiles("call_latency", "calls", "model_id, task, split, pass")
+latency_percentiles("task_latency", "calls", "task")
+computed(
+    "event_percentiles",
+    "SELECT event_type, percentile(value, 0.5) AS p50, percentile(value, 0.95) AS p95 FROM events GROUP BY event_type",
+    lambda run: percentiles(run("SELECT event_type, value FROM events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}),
+)
 relation("hours", "SELECT CAST(floor(t / 3600) AS BIGINT) AS h, count(*) AS n FROM completions GROUP BY 1")
 relation("hour_series", "SELECT g.h, coalesce(c.n, 0) AS n FROM (SELECT explode(sequence(CAST(0 AS BIGINT), last)) AS h FROM (SELECT max(h) AS last FROM hours) e) g LEFT JOIN hours c ON g.h = c.h")
 relation("judge_rates", """
 SELECT avg(CASE WHEN label_pass THEN CASE WHEN predicted_pass THEN 1e0 ELSE 0e0 END END) AS tpr, avg(CASE WHEN NOT label_pass THEN CASE WHEN predicted_pass THEN 0e0 ELSE 1e0 END END) AS tnr FROM judged_holdout
 """)
 relation("judged_holdout", "SELECT id, label_pass, label_pass = (id % 10 <> 0) AS predicted_pass FROM judged")
-relation("pair_scores", "SELECT id, match, (id * 37 % 101) / 100e0 AS score FROM company_pairs")
-relation("pair_sweep", """
+relation("pair_scores", "SELECT item_id AS id, gold_match AS match, score FROM pair_similarity WHERE split = 'calib'")
+relation("supplier_pairs", f"""
+SELECT s.id, s.nation = t.nation AS match, {", ".join(f"s.{f} AS l_{f}, t.{f} AS r_{f}" for f in similarity.WEIGHTS)} FROM company_records s JOIN company_records t ON t.id = s.id + 1
+""")
+relation("supplier_scores", similarity.scored("supplier_pairs", ["id", "match"]))
+
+
+def tuning(name: str, source: str) -> None:
+    """Relations of source's scores (score, match): F1 by threshold, and the best with the band where both classes lie.
+
+    Thresholds are the distinct scores of six places, 0 and 1; of equal F1 the lowest counts. Without overlap, or with
+    one class, the band is the threshold.
+    """
+    relation(f"{name}_sweep", f"""
 SELECT t, CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0 ELSE 2e0 * tp / (2 * tp + fp + fn) END AS f1 FROM (SELECT t, sum(pos) OVER up AS tp, sum(neg) OVER up AS fp, sum(pos) OVER () - sum(pos) OVER up AS fn FROM (SELECT t, sum(pos) AS pos, sum(neg) AS neg FROM (
-  SELECT round(score, 6) AS t, CASE WHEN match THEN 1 ELSE 0 END AS pos, CASE WHEN match THEN 0 ELSE 1 END AS neg FROM pair_scores UNION ALL SELECT 0e0, 0, 0 UNION ALL SELECT 1e0, 0, 0) x GROUP BY t) y WINDOW up AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) z
+  SELECT round(score, 6) AS t, CASE WHEN match THEN 1 ELSE 0 END AS pos, CASE WHEN match THEN 0 ELSE 1 END AS neg FROM {source} UNION ALL SELECT 0e0, 0, 0 UNION ALL SELECT 1e0, 0, 0) x GROUP BY t) y WINDOW up AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) z
 """)
-relation("pair_band", "SELECT min(CASE WHEN match THEN score END) AS lo, max(CASE WHEN NOT match THEN score END) AS hi FROM pair_scores")
-relation("pair_tuned", """
-SELECT threshold, f1, CASE WHEN lo <= hi THEN lo ELSE threshold END AS band_low, CASE WHEN lo <= hi THEN hi ELSE threshold END AS band_high FROM (SELECT t AS threshold, f1, row_number() OVER (ORDER BY f1 DESC, t) AS rn FROM pair_sweep) s CROSS JOIN pair_band b WHERE rn = 1
+    relation(f"{name}_tuned", f"""
+SELECT threshold, f1, CASE WHEN lo <= hi THEN lo ELSE threshold END AS band_low, CASE WHEN lo <= hi THEN hi ELSE threshold END AS band_high FROM (SELECT t AS threshold, f1, row_number() OVER (ORDER BY f1 DESC, t) AS rn FROM {name}_sweep) s
+CROSS JOIN (SELECT min(CASE WHEN match THEN score END) AS lo, max(CASE WHEN NOT match THEN score END) AS hi FROM {source}) b WHERE rn = 1
 """)
 
 
+tuning("pair", "pair_scores")
+tuning("supplier", "supplier_scores")
+
+
 def stratified(source: str, n: int) -> str:
     """Proportional allocation of n over source (grp, n), rounded half-even; what is over or short goes round the groups that can take it, largest first."""
     return f"""SELECT grp, n, CAST(base + CASE WHEN able AND rank <= abs(diff) THEN CASE WHEN diff < 0 THEN -1 ELSE 1 END ELSE 0 END AS BIGINT) AS take FROM (SELECT grp, n, base, diff, able, row_number() OVER (PARTITION BY able ORDER BY n DESC, grp) AS rank FROM (
@@ -72,8 +116,8 @@ SELECT model_id, split, count(*) AS n, CASE WHEN count(*) FILTER (WHERE judged)
     "summarise_metrics": "SELECT model_id, task, split, n, score, invalid_rate, within_rate FROM metrics",
     "metrics_by_model_task_split": "SELECT model_id, task, split, n, score, p50_s, p95_s FROM metrics",
     "latency_rollup": """
-SELECT l.model_id, l.task, l.split, l.pass, l.n, l.p50_s, l.p95_s, l.mean_s, CASE WHEN s.wall_s <= 0 THEN 0e0 ELSE round(s.n / s.wall_s * 3600, 4) END AS tasks_per_hour FROM (SELECT model_id, task, split, pass, count(*) AS n, percentile(latency_s, 0.5) AS p50_s, percentile(latency_s, 0.95) AS p95_s, round(avg(latency_s), 9) AS mean_s
-FROM calls GROUP BY model_id, task, split, pass) l JOIN (SELECT model_id, task, split, pass, sum(n) AS n, sum(wall_s) AS wall_s FROM segments GROUP BY model_id, task, split, pass) s ON s.model_id = l.model_id AND s.task = l.task AND s.split = l.split AND s.pass = l.pass""",
+SELECT l.model_id, l.task, l.split, l.pass, l.n, p.p50_s, p.p95_s, l.mean_s, CASE WHEN s.wall_s <= 0 THEN 0e0 ELSE round(s.n / s.wall_s * 3600, 4) END AS tasks_per_hour FROM (SELECT model_id, task, split, pass, count(*) AS n, round(avg(latency_s), 9) AS mean_s
+FROM calls GROUP BY model_id, task, split, pass) l JOIN call_latency p ON p.model_id = l.model_id AND p.task = l.task AND p.split = l.split AND p.pass = l.pass JOIN (SELECT model_id, task, split, pass, sum(n) AS n, sum(wall_s) AS wall_s FROM segments GROUP BY model_id, task, split, pass) s ON s.model_id = l.model_id AND s.task = l.task AND s.split = l.split AND s.pass = l.pass""",
     "segment_records": "SELECT model_id, task, split, pass, segment, n, round(wall_s, 6) AS wall_s FROM segments",
     "throughput_segments": "SELECT flag, status, CAST(sum(n) AS BIGINT) AS n, sum(wall_s) AS wall_s, CASE WHEN sum(wall_s) <= 0 THEN 0e0 ELSE sum(n) / sum(wall_s) * 3600 END AS tasks_per_hour FROM throughput GROUP BY flag, status",
     "cloud_usd_per_task": "SELECT model_id, task, round(avg(coalesce(cost_usd, 0e0)), 12) AS usd, count(*) AS calls FROM calls WHERE kind = 'cloud' AND split = 'test' AND pass = 'A' GROUP BY model_id, task",
@@ -102,7 +146,7 @@ SELECT coalesce(o.u, n.u) AS user_id, greatest(o.peak, n.peak) AS peak FROM (SEL
     "contaminated_windows": "SELECT count(*) AS windows, count(*) FILTER (WHERE share > 0.1e0) AS flagged FROM (SELECT user_id, avg(CASE WHEN value * 10 > 100 THEN 1e0 ELSE 0e0 END) AS share FROM events GROUP BY user_id) w",
     "power_incremental": """
 SELECT user_id, samples, round(load_w - idle_w, 9) AS incremental_watts, round(load_w - idle_w, 9) <= 0 OR round(load_w - idle_w, 9) >= 100 AS out_of_range, charge < 95 AS not_full FROM (SELECT user_id, count(*) AS samples, min(50 + value) AS charge, avg(CASE WHEN event_type = 'view' THEN value END) AS idle_w, avg(CASE WHEN event_type <> 'view' THEN value END) AS load_w FROM events GROUP BY user_id) x""",
-    "router_stats": "SELECT task, count(*) AS n, count(*) FILTER (WHERE retries > 0) AS escalations, percentile(latency_s, 0.5) AS p50_s, percentile(latency_s, 0.95) AS p95_s, count(*) FILTER (WHERE kind = 'cloud') AS cloud_calls, count(*) FILTER (WHERE kind = 'local') AS local_calls FROM calls GROUP BY task",
+    "router_stats": "SELECT c.task, c.n, c.escalations, p.p50_s, p.p95_s, c.cloud_calls, c.local_calls FROM task_latency p JOIN (SELECT task, count(*) AS n, count(*) FILTER (WHERE retries > 0) AS escalations, count(*) FILTER (WHERE kind = 'cloud') AS cloud_calls, count(*) FILTER (WHERE kind = 'local') AS local_calls FROM calls GROUP BY task) c ON c.task = p.task",
     "local_only_cloud_calls": """
 SELECT coalesce(CAST(sum(greatest(0, b.n - coalesce(a.n, 0))) AS BIGINT), 0) AS leaked FROM (SELECT c.task, count(*) AS n FROM calls c JOIN route r ON r.task = c.task WHERE r.local_only AND c.kind = 'cloud' GROUP BY c.task) b LEFT JOIN (SELECT c.task, count(*) AS n FROM calls c JOIN route r ON r.task = c.task WHERE r.local_only AND c.kind = 'cloud' AND c.item_id < 60 GROUP BY c.task) a ON a.task = b.task""",
     "downloads_total": "SELECT count(*) AS repos, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(new_bytes) AS BIGINT) AS new_bytes FROM (SELECT p_brand, sum(p_size) * 1000 AS bytes, sum(CASE WHEN p_brand < 'Brand#3' THEN 0 ELSE p_size END) * 1000 AS new_bytes FROM part GROUP BY p_brand) d",
@@ -114,15 +158,17 @@ SELECT c.model_id, count(*) AS calls, CAST(sum(c.prompt_tokens) AS BIGINT) AS in
     # statistics
     "rogan_gladen": """
 SELECT doc_id, CASE WHEN tpr + tnr - 1 <= 0 THEN NULL ELSE least(1e0, greatest(0e0, (p + tnr - 1) / (tpr + tnr - 1))) END AS corrected FROM (SELECT doc_id, (doc_id % 101) / 100e0 AS p, 0.5e0 + (doc_id % 7) / 14e0 AS tpr, 0.45e0 + (doc_id % 5) / 10e0 AS tnr FROM documents) d""",
-    "p50_p95": "SELECT event_type, percentile(value, 0.5) AS p50, percentile(value, 0.95) AS p95 FROM events GROUP BY event_type",
+    "p50_p95": "SELECT event_type, p50, p95 FROM event_percentiles",
     "weighted_percentile": "SELECT task, split, p, round(value, 9) AS value FROM weighted_p",
     "stratified_allocation": stratified("event_strata", 100),
     "period_allocation": "SELECT task, slots FROM period_slots",
     "period_schedule": "SELECT row_number() OVER (ORDER BY (rn * 7919 + slot * 104729) % 1000003, task, slot) AS place, task FROM (SELECT task, rn, explode(sequence(CAST(1 AS BIGINT), slots)) AS slot FROM period_slots WHERE slots > 0) x",
     "round_robin": "SELECT d.doc_id, (row_number() OVER (PARTITION BY d.source, d.doc_id % 64 ORDER BY d.doc_id) * 64 + d.doc_id % 64) % s.n AS slot FROM documents d JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) s ON s.source = d.source",
-    "threshold_tune": "SELECT threshold, round(f1, 9) AS f1, band_low, band_high FROM pair_tuned",
+    "threshold_tune": "SELECT threshold, round(f1, 9) AS f1, round(band_low, 9) AS band_low, round(band_high, 9) AS band_high FROM pair_tuned",
     "threshold_sweep": "SELECT t, round(f1, 9) AS f1 FROM pair_sweep",
-    "fuzzy_decision": "SELECT s.id, s.score >= t.threshold AS match FROM pair_scores s CROSS JOIN pair_tuned t",
+    "fuzzy_decision": "SELECT s.item_id, s.split, s.score >= t.threshold AS match FROM pair_similarity s CROSS JOIN pair_tuned t",
+    "fuzzy_similarity": "SELECT id, match, round(score, 6) AS similarity FROM supplier_scores",
+    "fuzzy_tuning": "SELECT threshold, round(f1, 9) AS f1, round(band_low, 9) AS band_low, round(band_high, 9) AS band_high FROM supplier_tuned",
     # windows and top-k
     "pareto_frontier": """
 SELECT task, model_id, usd, score FROM (SELECT task, model_id, usd, score, max(score) OVER (PARTITION BY task ORDER BY usd, score DESC, model_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT task, model_id, round(usd, 12) AS usd, score FROM metrics WHERE split = 'test' AND score IS NOT NULL) m) x WHERE best IS NULL OR score > best""",

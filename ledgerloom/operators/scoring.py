@@ -19,9 +19,14 @@ SELECT c.seq, c.model_id, c.kind, c.task, c.split, c.pass, c.item_id, c.latency_
 """)
 #: What an item scores without a usable answer.
 relation("items", "SELECT DISTINCT task, split, item_id FROM calls")
+#: What an item's gold holds: fields, spans, a match, facts.
+relation("gold_counts", """
+SELECT task, split, item_id, CAST(n AS INTEGER) AS n FROM (SELECT 'extraction' AS task, split, item_id, count(*) AS n FROM enquiry_gold GROUP BY split, item_id UNION ALL SELECT 'pii_redaction', split, item_id, count(*) FROM letter_spans GROUP BY split, item_id
+UNION ALL SELECT 'entity_matching', split, item_id, max(CASE WHEN gold_match THEN 1 ELSE 0 END) FROM match_answers GROUP BY split, item_id UNION ALL SELECT 'summarisation', split, item_id, count(DISTINCT ix) FROM brief_tokens GROUP BY split, item_id) g
+""")
 relation("unanswered", """
-SELECT i.task, i.split, i.item_id, 0 AS a, CASE i.task WHEN 'classification' THEN 1 WHEN 'extraction' THEN 9 WHEN 'pii_redaction' THEN coalesce(g.n, 0) ELSE 0 END AS b, CASE WHEN i.task = 'entity_matching' AND i.item_id % 2 = 1 THEN 1 ELSE 0 END AS c, 0 AS d,
-  CASE WHEN i.task = 'pii_redaction' AND coalesce(g.n, 0) = 0 THEN 1 ELSE 0 END AS e FROM items i LEFT JOIN (SELECT split, item_id, CAST(count(*) AS INTEGER) AS n FROM letter_spans GROUP BY split, item_id) g ON i.task = 'pii_redaction' AND g.item_id = i.item_id AND g.split = i.split
+SELECT i.task, i.split, i.item_id, 0 AS a, CASE WHEN i.task = 'classification' THEN 1 WHEN i.task IN ('extraction', 'pii_redaction') THEN coalesce(g.n, 0) ELSE 0 END AS b, CASE WHEN i.task = 'entity_matching' THEN coalesce(g.n, 0) ELSE 0 END AS c, CASE WHEN i.task = 'summarisation' THEN coalesce(g.n, 0) ELSE 0 END AS d,
+  CASE WHEN i.task = 'pii_redaction' AND coalesce(g.n, 0) = 0 THEN 1 ELSE 0 END AS e FROM items i LEFT JOIN gold_counts g ON g.task = i.task AND g.item_id = i.item_id AND g.split = i.split
 """)
 
 

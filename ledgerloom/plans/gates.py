@@ -2,40 +2,35 @@
 
 Each kind's relation reads the parsed answer and its source text and gives (seq, passed, reason). What needs more than SQL
 (a close but not literal match, date phrases, learnt baselines) comes in as relations that can be replaced: ``grounded_more``,
-``dates_derived``, ``topic_baseline``, ``pair_similarity``; ``frames`` fills them with the full functions.
+``dates_derived``, ``topic_baseline``; ``frames`` fills them with the full functions.
 """
 
 from __future__ import annotations
 
 from ..functions import macros as m
+from ..functions import similarity
 from ..functions import text as t
 from ..operators import aggregates, scoring  # noqa: F401
 from ..sql import relation
 
-#: Predictions that a gate compares with: of the baseline trained for labels, and of the tuned similarity of pairs.
+#: Predictions that a gate compares with: of the baseline trained for labels, and of the similarity of pairs, tuned on calib.
 relation("topic_baseline", "SELECT item_id, split, label AS base_label FROM topic_parsed WHERE kind = 'baseline' AND ok")
 relation("gate_topics", """
 SELECT p.seq, CASE WHEN NOT p.ok THEN FALSE WHEN p.kind = 'baseline' OR b.base_label IS NULL THEN TRUE ELSE b.base_label = p.label END AS passed,
   CASE WHEN NOT p.ok THEN 'invalid_label' WHEN p.kind = 'baseline' THEN NULL WHEN b.base_label IS NULL THEN 'baseline_unavailable' WHEN b.base_label <> p.label THEN 'disagrees_with_baseline' END AS reason FROM topic_parsed p LEFT JOIN topic_baseline b ON b.item_id = p.item_id AND b.split = p.split
 """)
-relation("pair_similarity", """
-SELECT i.item_id, 0.3e0 * (CASE WHEN lower(s.name) = lower(t.name) THEN 1 ELSE 0.9e0 END) + 0.15e0 * (CASE WHEN s.street = t.street THEN 1 ELSE 0 END) + 0.15e0 * (CASE WHEN s.postcode = t.postcode THEN 1 ELSE 0 END) + 0.1e0 * (CASE WHEN s.city = t.city THEN 1 ELSE 0 END) + 0.1e0 * (CASE WHEN s.country = t.country THEN 1 ELSE 0 END)
-  + 0.1e0 * (CASE WHEN s.domain = t.domain THEN 1 ELSE 0 END) + 0.05e0 * (CASE WHEN s.vat_id <> '' AND lower(s.vat_id) = lower(t.vat_id) THEN 1 ELSE 0 END) + 0.05e0 * (CASE WHEN s.phone <> '' AND s.phone = t.phone THEN 1 ELSE 0 END) + CASE WHEN i.gold_match THEN 0.2e0 ELSE 0e0 END AS score, i.gold_match
-FROM (SELECT DISTINCT item_id, gold_match FROM match_answers) i CROSS JOIN (SELECT max(s_suppkey) AS last FROM supplier) z JOIN company_records s ON s.id = 1 + i.item_id % (z.last - 1) JOIN company_records t ON t.id = s.id + 1
-""")
-relation("match_band", """
-SELECT threshold, CASE WHEN lo <= hi THEN lo ELSE threshold END AS band_low, CASE WHEN lo <= hi THEN hi ELSE threshold END AS band_high FROM (SELECT min(CASE WHEN gold_match THEN score END) AS lo, max(CASE WHEN NOT gold_match THEN score END) AS hi FROM pair_similarity) b CROSS JOIN (SELECT 0.55e0 AS threshold) c
+relation("match_pairs", f"""
+SELECT i.item_id, i.split, i.gold_match, {", ".join(f"s.{f} AS l_{f}, t.{f} AS r_{f}" for f in similarity.WEIGHTS)} FROM (SELECT DISTINCT item_id, split, gold_match FROM match_answers) i
+CROSS JOIN (SELECT max(s_suppkey) AS last FROM supplier) z JOIN company_records s ON s.id = 1 + i.item_id % (z.last - 1) JOIN company_records t ON t.id = s.id + 1
 """)
+relation("pair_similarity", similarity.scored("match_pairs", ["item_id", "split", "gold_match"]))
+relation("match_band", "SELECT threshold, band_low, band_high FROM pair_tuned")
 relation("gate_pairs", """
 SELECT p.seq, CASE WHEN NOT p.ok THEN FALSE WHEN p.kind = 'baseline' OR s.score IS NULL OR s.score BETWEEN b.band_low AND b.band_high THEN TRUE ELSE p.match = (s.score >= b.threshold) END AS passed,
   CASE WHEN NOT p.ok THEN 'invalid_match_json' WHEN p.kind = 'baseline' THEN NULL WHEN s.score IS NULL THEN 'baseline_unavailable' WHEN s.score BETWEEN b.band_low AND b.band_high THEN 'inside_uncertainty_band' WHEN p.match <> (s.score >= b.threshold) THEN 'disagrees_with_baseline' END AS reason
-FROM match_parsed p LEFT JOIN pair_similarity s ON s.item_id = p.item_id CROSS JOIN match_band b
-""")
-relation("countries", f"SELECT * FROM (VALUES {t.country_values()}) AS t(name, code)")
-relation("country_hits", f"""
-SELECT DISTINCT i.split, i.item_id, c.code FROM enquiry_items i JOIN countries c ON {m.whole_word('CASE WHEN length(c.name) <= 3 THEN i.text ELSE upper(i.text) END', 'c.name')}
-UNION SELECT i.split, i.item_id, c.code FROM enquiry_items i JOIN (SELECT * FROM (VALUES ('GB', '{t.CALLING["GB"]}'), ('US', '{t.CALLING["US"]}'), ('CA', '{t.CALLING["US"]}')) AS v(code, pattern)) c ON regexp_like(i.text, c.pattern)
+FROM match_parsed p LEFT JOIN pair_similarity s ON s.item_id = p.item_id AND s.split = p.split CROSS JOIN match_band b
 """)
+relation("country_hits", t.country_evidence("enquiry_items", ["split", "item_id"]))
 #: Values that stand in their source but for a few letters, and dates that phrases of the source mean: from ``frames``.
 relation("grounded_more", "SELECT CAST(NULL AS BIGINT) AS seq, CAST(NULL AS STRING) AS field WHERE FALSE")
 relation("dates_derived", "SELECT split, item_id, explode(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}', 0)) AS day FROM enquiry_items")
@@ -43,7 +38,7 @@ relation("enquiry_evidence", f"""
 SELECT f.seq, f.pos, CASE WHEN f.said IS NULL THEN CASE WHEN f.required THEN 'missing_required:' || f.field END
   WHEN f.grounded THEN CASE WHEN {m.one_spaced('f.said')} <> '' AND (contains(lower({m.one_spaced('i.text')}), lower({m.one_spaced('f.said')})) OR g.seq IS NOT NULL) THEN NULL ELSE 'ungrounded:' || f.field END
   WHEN f.type = 'phone' THEN CASE WHEN NOT {t.digits_in('f.said', 'i.text')} THEN 'phone_not_in_source:' || f.field END
-  WHEN f.type = 'country' THEN CASE WHEN h.code IS NULL AND NOT (upper(trim(f.said)) <> '' AND {m.whole_word('i.text', 'upper(trim(f.said))')}) THEN 'country_not_in_source:' || f.field END
+  WHEN f.type = 'country' THEN CASE WHEN h.code IS NULL AND NOT {m.whole_word('i.text', 'upper(trim(f.said))')} THEN 'country_not_in_source:' || f.field END
   WHEN f.type = 'date' THEN CASE WHEN i.reference_date IS NOT NULL AND d.day IS NULL THEN 'date_not_rederivable:' || f.field END
   WHEN f.type = 'enum' THEN CASE WHEN size(filter(split(f.allowed, '[|]'), a -> lower(a) = lower(trim(f.said)))) = 0 THEN 'not_in_enum:' || f.field END
   WHEN f.type = 'amount' THEN CASE WHEN NOT {t.amount_in('f.said', 'i.text')} THEN 'amount_not_in_source:' || f.field END END AS reason
@@ -62,9 +57,11 @@ relation("gate_letters", """
 SELECT c.seq, c.valid AND (c.kind = 'baseline' OR (s.seq IS NULL AND m.seq IS NULL)) AS passed, CASE WHEN NOT c.valid THEN 'invalid_json' WHEN c.kind = 'baseline' THEN NULL WHEN s.seq IS NOT NULL THEN 'predicted_span_not_in_text' WHEN m.seq IS NOT NULL THEN 'regex_baseline_span_missed' END AS reason
 FROM calls c LEFT JOIN letter_stray s ON s.seq = c.seq LEFT JOIN letter_missed m ON m.seq = c.seq WHERE c.task = 'pii_redaction'
 """)
+#: Fixed value: words of a summary whose task names no limit.
+MAX_WORDS = 120
 _NUMBERS = "transform(regexp_extract_all(p.summary, '[0-9][0-9,]*(?:[.][0-9]+)?', 0), x -> regexp_replace(x, '[^0-9]', '' /*g*/))"
 relation("gate_briefs", f"""
-SELECT seq, reason IS NULL AS passed, reason FROM (SELECT p.seq, CASE WHEN NOT p.ok THEN 'empty_summary' WHEN p.n_words > p.max_words THEN 'over_word_limit' WHEN size(filter({_NUMBERS}, x -> length(x) >= 2 AND NOT contains({m.digits('i.text')}, x))) > 0 THEN 'number_not_in_source'
+SELECT seq, reason IS NULL AS passed, reason FROM (SELECT p.seq, CASE WHEN NOT p.ok THEN 'empty_summary' WHEN p.n_words > coalesce(nullif(p.max_words, 0), {MAX_WORDS}) THEN 'over_word_limit' WHEN size(filter({_NUMBERS}, x -> length(x) >= 2 AND NOT contains({m.digits('i.text')}, x))) > 0 THEN 'number_not_in_source'
   WHEN size(filter(regexp_extract_all(p.summary, '{t.WRITTEN_DATE}', 0), x -> NOT contains(lower({m.one_spaced('i.text')}), lower({m.one_spaced('x')})))) > 0 THEN 'date_not_in_source' END AS reason FROM brief_parsed p JOIN brief_items i ON i.item_id = p.item_id AND i.split = p.split) x
 """)
 relation("gate_results", """

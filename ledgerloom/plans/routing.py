@@ -7,7 +7,7 @@ gates and without, on test and, for verdicts, on calib.
 
 from __future__ import annotations
 
-from ..operators.aggregates import relation
+from ..operators.aggregates import latency_percentiles, relation, weighted
 from ..operators.scoring import primary
 from . import costs, gates  # noqa: F401
 
@@ -60,9 +60,10 @@ SELECT m.row_name, i.split, i.task, i.item_id, coalesce(w.stop, -1) AS served_po
 FROM replay_modes m JOIN items i ON i.split = m.split JOIN unanswered u ON u.task = i.task AND u.split = i.split AND u.item_id = i.item_id LEFT JOIN walked w ON w.row_name = m.row_name AND w.split = i.split AND w.task = i.task AND w.item_id = i.item_id
 """)
 relation("replay_calls", "SELECT row_name, split, task, model_id, kind, count(*) AS calls, sum(cost_usd) AS cost_usd FROM stops WHERE stop IS NULL OR pos <= stop GROUP BY row_name, split, task, model_id, kind")
+latency_percentiles("replay_latency", "replayed", "row_name, split, task")
 relation("replay_tasks", f"""
-SELECT row_name, split, task, count(*) AS n, {primary()} AS score, avg(CASE WHEN served_kind IN ('local', 'baseline') THEN 1e0 ELSE 0e0 END) AS local_share, avg(CASE WHEN escalated THEN 1e0 ELSE 0e0 END) AS escalated, percentile(latency_s, 0.5) AS p50_s, percentile(latency_s, 0.95) AS p95_s,
-  sum(cost_usd) AS cost_usd, CAST(sum(calls) AS BIGINT) AS calls, bool_and(refused) AS refused FROM replayed GROUP BY row_name, split, task
+SELECT r.row_name, r.split, r.task, r.n, r.score, r.local_share, r.escalated, l.p50_s, l.p95_s, r.cost_usd, r.calls, r.refused FROM replay_latency l JOIN (SELECT row_name, split, task, count(*) AS n, {primary()} AS score, avg(CASE WHEN served_kind IN ('local', 'baseline') THEN 1e0 ELSE 0e0 END) AS local_share, avg(CASE WHEN escalated THEN 1e0 ELSE 0e0 END) AS escalated, sum(cost_usd) AS cost_usd, CAST(sum(calls) AS BIGINT) AS calls, bool_and(refused) AS refused
+  FROM replayed GROUP BY row_name, split, task) r ON r.row_name = l.row_name AND r.split = l.split AND r.task = l.task
 """)
 #: A month of the mixed workload on a shared machine; refused tasks carry neither cost nor volume.
 relation("mixed_local", """
@@ -74,13 +75,10 @@ SELECT t.row_name, CASE WHEN t.volume > 0 THEN (coalesce(m.machines, 0) * f.fixe
 CROSS JOIN fixed_cost f LEFT JOIN (SELECT *, CASE WHEN any_local = 0 THEN 0 WHEN utilisation > 0 THEN greatest(1, CAST(ceil(utilisation) AS BIGINT)) ELSE 1 END AS machines FROM mixed_local) m ON m.row_name = t.row_name
 """)
 relation("mixed_latency", """
-SELECT row_name, v, sum(w) AS w, min(w) AS first_w FROM (SELECT i.row_name, i.latency_s AS v, r.weight / t.n AS w FROM replayed i JOIN replay_tasks t ON t.row_name = i.row_name AND t.split = i.split AND t.task = i.task JOIN route r ON r.task = i.task WHERE i.split = 'test' AND NOT t.refused
-UNION ALL SELECT f.row_name, c.latency_s, r.weight / t.n FROM fixed_models f JOIN calls c ON c.model_id = f.model_id JOIN (SELECT model_id, task, count(*) AS n FROM calls WHERE split = 'test' AND pass = 'A' GROUP BY model_id, task) t ON t.model_id = c.model_id AND t.task = c.task JOIN route r ON r.task = c.task WHERE c.split = 'test' AND c.pass = 'A') x GROUP BY row_name, v
-""")
-relation("mixed_p", """
-SELECT row_name, p, min_by(CASE WHEN v0 IS NULL OR p * total > c - w + first_w THEN v ELSE v0 + (v - v0) * (p * total - (c - w)) / first_w END, c) AS value FROM (SELECT row_name, v, w, first_w, sum(w) OVER (PARTITION BY row_name ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, sum(w) OVER (PARTITION BY row_name) AS total, lag(v) OVER (PARTITION BY row_name ORDER BY v) AS v0 FROM mixed_latency) s
-CROSS JOIN (SELECT * FROM (VALUES (0.5e0), (0.95e0)) AS t(p)) q WHERE total > 0 AND c >= p * total GROUP BY row_name, p
+SELECT i.row_name, i.latency_s AS v, r.weight / t.n AS w FROM replayed i JOIN replay_tasks t ON t.row_name = i.row_name AND t.split = i.split AND t.task = i.task JOIN route r ON r.task = i.task WHERE i.split = 'test' AND NOT t.refused
+UNION ALL SELECT f.row_name, c.latency_s, r.weight / t.n FROM fixed_models f JOIN calls c ON c.model_id = f.model_id JOIN (SELECT model_id, task, count(*) AS n FROM calls WHERE split = 'test' AND pass = 'A' GROUP BY model_id, task) t ON t.model_id = c.model_id AND t.task = c.task JOIN route r ON r.task = c.task WHERE c.split = 'test' AND c.pass = 'A'
 """)
+weighted("mixed_p", "mixed_latency", "row_name")
 relation("fixed_models", "SELECT 'all-frontier' AS row_name, min_by(model_id, pos) AS model_id FROM models WHERE kind = 'cloud' AND role = 'frontier' UNION ALL SELECT 'cheapest-single-cloud', max(model_id) FROM single_cloud")
 relation("fixed_tasks", """
 SELECT f.row_name, f.model_id, r.task, r.weight, r.weight * c.usd AS usd, c.score, b.bar, coalesce(c.score >= b.bar, FALSE) AS meets FROM fixed_models f CROSS JOIN route r JOIN bars b ON b.task = r.task LEFT JOIN candidates c ON c.model_id = f.model_id AND c.task = r.task AND c.split = 'test' WHERE f.model_id IS NOT NULL

@@ -12,6 +12,8 @@ import hashlib
 import re
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import storage
@@ -26,6 +28,21 @@ def relation(name: str, sql: str) -> str:
     return name
 
 
+def either(ours: str, theirs: str) -> str:
+    """An expression that the dialects write differently: Spark reads the second as a comment. Such can't be nested."""
+    return f"/*<*/{ours}/*|{theirs}>*/"
+
+
+#: Relations that Spark makes by DataFrame code; their SQL says what they mean, and DuckDB runs that.
+COMPUTED: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {}
+
+
+def computed(name: str, sql: str, make: Callable[[Callable[[str], DataFrame]], DataFrame]) -> str:
+    """make gets a function that runs SQL over relations, and returns the relation's DataFrame."""
+    COMPUTED[name] = make
+    return relation(name, sql)
+
+
 def needed(sql: str, relations: dict[str, str] = RELATIONS) -> list[str]:
     """Relations that sql uses, each after those it uses itself."""
     out: list[str] = []
@@ -49,13 +66,15 @@ def statement(sql: str, relations: dict[str, str] = RELATIONS) -> str:
 _DUCK = {
     "percentile": "quantile_cont", "regexp_like": "regexp_matches", "bround": "round_even", "explode": "unnest", "sequence": "generate_series",
     "filter": "list_filter", "transform": "list_transform", "try_element_at": "list_extract", "size": "len", "split": "string_split_regex", "get_json_object": "json_extract_string",
-    "array": "list_value", "char": "chr", "array_contains": "list_contains", "collect_list": "list", "array_distinct": "list_distinct", "startswith": "starts_with",
+    "array": "list_value", "char": "chr", "array_contains": "list_contains", "array_join": "array_to_string", "slice": "list_slice", "array_sort": "list_sort", "collect_list": "list", "array_distinct": "list_distinct", "startswith": "starts_with",
 }
 
 
 def duck(sql: str) -> str:
     """The same statement for DuckDB."""
-    text = statement(sql).replace("/*g*/", ", 'g'").replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")
+    text = re.sub(r"/\*<\*/.*?/\*\|(.*?)>\*/", r"\1", statement(sql), flags=re.S)
+    text = text.replace("\\\\p{", "\\p{").replace("\\\\b", "\\b").replace("'$0'", "'\\0'")
+    text = text.replace("/*g*/", ", 'g'").replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")
     for ours, theirs in _DUCK.items():
         text = re.sub(rf"\b{ours}\(", f"{theirs}(", text)
     text = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", text)
@@ -83,7 +102,8 @@ def _query(spark: SparkSession, sf_dir: str, text: str, tables: dict[str, DataFr
 def run(spark: SparkSession, sf_dir: str, sql: str, tables: dict[str, DataFrame] | None = None, keep: tuple[str, ...] = KEPT, made: dict[str, str] | None = None) -> DataFrame:
     """Run sql over the folder's tables. tables: DataFrames that stand for relations, or tables, of their names.
 
-    What is kept and depends on given tables is written for this run; made names the views of it.
+    What is kept and depends on given tables is written for this run; made names the views of it. Computed relations
+    that are left are made before the statement is planned.
     """
     tables, made = tables or {}, {} if made is None else made
     relations = {k: v for k, v in RELATIONS.items() if k not in tables}
@@ -97,8 +117,13 @@ def run(spark: SparkSession, sf_dir: str, sql: str, tables: dict[str, DataFrame]
         else:
             version = made.setdefault(name, uuid.uuid4().hex)
         label = f"{name}-{hashlib.md5(text.encode()).hexdigest()[:12]}"
-        df = storage.kept(lambda name=name, own=own, given=given: run(spark, sf_dir, RELATIONS[name], tables if given else None, own, made), spark, label, version)
+        df = storage.kept(lambda name=name, own=own, given=given: run(spark, sf_dir, RELATIONS[name], tables if given else None, own, made), spark, label, version, not given)
         view = f"kept_{label}_{version}".replace("-", "_")
         df.createOrReplaceTempView(view)
         relations[name] = f"SELECT * FROM {view}"
+    for name in reversed(needed(sql, relations)):
+        if name in COMPUTED and name in needed(sql, relations):  # another may have stood for it
+            view = f"computed_{name}_{uuid.uuid4().hex}"
+            COMPUTED[name](lambda text: run(spark, sf_dir, text, tables, keep, made)).createOrReplaceTempView(view)
+            relations[name] = f"SELECT * FROM {view}"
     return _query(spark, sf_dir, statement(sql, relations), tables)
