@@ -396,7 +396,8 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession, 500)
     blocks = staged(page_blocks(pages), "blocks", codec="zstd")
     sites = site_templates(blocks).groupBy("host").agg(F.collect_list(F.struct("hash", "share")).alias("site"))
-    salted = sites.select("host", "site", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # Written first, so that its size is known before the join is planned: pages move only if it is too large to broadcast.
+    salted = staged(sites.select("host", "site", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "sites")
     with_salt = blocks.withColumn("salt", F.pmod(F.xxhash64("page_id", "page"), F.lit(SALTS)).cast("int"))
     both = with_salt.join(salted, ["host", "salt"], "left").select(
         "page_id", "url", "title", "texts", "links", "hashes", "starts", "ends", "kinds", F.transform("site", lambda s: s["hash"]).alias("site"),
