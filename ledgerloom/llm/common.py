@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,23 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own, made longer until no column of df has them, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def counted(schema: pa.Schema, column: str = "n_chars") -> int:
+    """Place of a column that counts characters, an integral one; -1 where there is none."""
+    at = schema.get_field_index(column)
+    return at if at >= 0 and pa.types.is_integer(schema.field(at).type) else -1
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch: texts are long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

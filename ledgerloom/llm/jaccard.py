@@ -8,8 +8,11 @@ that, and a set with more empty parts than the reserve is dealt anew with anothe
 is. So no link is lost, and sets meet only if they share a whole part, however common single shingles are.
 
 Sets that meet are compared with the least of those they meet. The bits of one's bitmap that the other lacks bound the
-overlap from above; what passes is intersected exactly as sorted arrays. Sets that met and are in different components
-after that are compared tile by tile on bitmaps, and what passes exactly.
+overlap from above; what passes is intersected exactly as sorted arrays. Where a meeting is in several components after
+that, the set with the most links that wasn't yet compared with all is, and so on for HUBS rounds: copies of a text that
+are near to it and not to each other become one component by that text, in as many comparisons as there are copies.
+Members of a meeting that are in different components even then are compared tile by tile on bitmaps, and what passes
+exactly.
 
 Fingerprints travel as packed blocks: a few bytes each, a block per key range. Equal sets of a block are sent once.
 
@@ -27,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, discard, read, small_batches, staged, text_of
+from .common import buckets, discard, free, read, small_batches, staged, text_of
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -38,6 +41,10 @@ from .shingles import mix, shingle_sets
 BLOCK_BYTES, BLOCK_ROWS = 3 << 20, 16000
 #: Bits of a bitmap to an element, and sets to a side of a tile of bitmaps.
 BITS, SIDE = 8, 512
+#: Rounds in which hubs are compared; more or fewer change the work, not the result.
+HUBS = 2
+#: Members of a meeting to a row.
+CHUNK = 4096
 _PAIR = np.dtype([("sig", "<u4"), ("at", "<u2")])
 _HIGH = 1 << 15
 NO_ID = -(1 << 63)
@@ -107,7 +114,7 @@ def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-STAGED = "bucket int, node long, doc_id long, n long, key binary, block binary"
+STAGED = "bucket int, node long, doc_id long, said long, n long, key binary, block binary"
 
 
 def _emit(width: int, percent: int, ranges: int):
@@ -116,7 +123,7 @@ def _emit(width: int, percent: int, ranges: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, bands, block = TaskContext.get().partitionId(), Bands(percent), 0
 
-        def flush(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        def flush(ids: list, said: list, texts: list[bytes]) -> pa.RecordBatch:
             nonlocal block
             base = (task << 40) | (block << 15)
             block += 1
@@ -139,34 +146,42 @@ def _emit(width: int, percent: int, ranges: int):
                     pa.array([None] * m + numbers.tolist(), pa.int32()),
                     pa.array(nodes + [base] * k, pa.int64()),
                     pa.array(ids + [None] * k, pa.int64()),
+                    pa.array(said + [None] * k, pa.int64()),
                     pa.array([len(s) for s in sets] + [None] * k, pa.int64()),
                     pa.array(keys + [None] * k, pa.binary()),
                     pa.array([None] * m + blocks, pa.binary()),
                 ],
-                names=["bucket", "node", "doc_id", "n", "key", "block"],
+                names=["bucket", "node", "doc_id", "said", "n", "key", "block"],
             )
 
-        ids, texts, size = [], [], 0
+        ids, hashes, texts, size = [], [], [], 0
         for batch in batches:
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, hashed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 ids.append(doc)
+                hashes.append(hashed)
                 texts.append(raw)
                 size += len(raw)
                 if size >= BLOCK_BYTES or len(ids) >= BLOCK_ROWS:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
+                    yield flush(ids, hashes, texts)
+                    ids, hashes, texts, size = [], [], [], 0
         if ids:
-            yield flush(ids, texts)
+            yield flush(ids, hashes, texts)
 
     return work
 
 
-MEETINGS = "a long, b long, members array<long>"
+MEETINGS = "a long, b long, list long, members array<long>"
+
+
+def _list_rows(members: list[int]) -> list[tuple[int, int, list[int]]]:
+    """Rows (name, first member, some members) of a meeting; the name is a hash of all, so the same meeting has it anywhere."""
+    name = int.from_bytes(hashlib.blake2b(np.array(members, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+    return [(name, members[0], members[i : i + CHUNK]) for i in range(0, len(members), CHUNK)]
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of a key range's blocks: pairs of the least set of each meeting and another, and meetings of three or more."""
+    """Of a key range's blocks: pairs (a, b) of the least set of each meeting and another; meetings of three or more, b their least."""
     sigs, nodes, highs = [], [], []
     for base, blob in zip(table.column("node").to_pylist(), table.column("block").to_pylist(), strict=True):
         rows = np.frombuffer(blob, _PAIR)
@@ -179,7 +194,7 @@ def _meet(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     lengths = np.diff(np.append(starts, len(sig)))
     pairs: set[tuple[int, int]] = set()
-    lists: set[tuple[int, ...]] = set()
+    lists: dict[int, list[tuple[int, int, list[int]]]] = {}
     for s, n in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
         lower = ~high[s : s + n]
         if not lower.any():
@@ -189,13 +204,16 @@ def _meet(table: pa.Table) -> pa.Table:
         others = sorted(set(members.tolist()) - {pivot})
         pairs.update((pivot, x) for x in others)
         if len(others) > 1:
-            lists.add((pivot, *others))
-    lists_ = list(lists)
+            rows = _list_rows([pivot, *others])
+            lists.setdefault(rows[0][0], rows)
+    listed = [r for rows in lists.values() for r in rows]
+    k, m = len(pairs), len(listed)
     return pa.table(
         {
-            "a": pa.array([p[0] for p in pairs] + [None] * len(lists_), pa.int64()),
-            "b": pa.array([p[1] for p in pairs] + [None] * len(lists_), pa.int64()),
-            "members": pa.array([None] * len(pairs) + [list(x) for x in lists_], pa.list_(pa.int64())),
+            "a": pa.array([p[0] for p in pairs] + [None] * m, pa.int64()),
+            "b": pa.array([p[1] for p in pairs] + [r[1] for r in listed], pa.int64()),
+            "list": pa.array([None] * k + [r[0] for r in listed], pa.int64()),
+            "members": pa.array([None] * k + [r[2] for r in listed], pa.list_(pa.int64())),
         }
     )
 
@@ -279,19 +297,21 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(docs).alias("text"))
+    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(docs).alias("text")).withColumn("said", F.xxhash64("text"))
     made = staged(texts.mapInArrow(_emit(width, percent, buckets(spark)), STAGED), "shingles")
-    rows = staged(made.filter("bucket IS NULL").select("doc_id", "node", "n", "key"), "rows")
+    rows = staged(made.filter("bucket IS NULL").select("doc_id", "said", "node", "n", "key"), "rows")
     met = staged(made.filter("bucket IS NOT NULL").select("bucket", "node", "block").groupBy("bucket").applyInArrow(_meet, MEETINGS), "meetings")
     discard(made)
     pairs = met.filter("a IS NOT NULL").select("a", "b").distinct()
-    lists = met.filter("members IS NOT NULL").select("members").distinct()
+    chunks = met.filter("members IS NOT NULL").groupBy("list", F.element_at("members", 1).alias("from")).agg(F.first("b").alias("pivot"), F.first("members").alias("members"))
+    lists = chunks.select("list", F.explode("members").alias("node"))
 
-    # What has met: sizes, bitmaps and packed texts.
+    # What has met: sizes, bitmaps and packed texts, of one text for each set.
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = rows.join(nodes, "node").groupBy("node").agg(F.min_by(F.struct("doc_id", "key"), F.col("doc_id")).alias("r")).select("node", "r.doc_id", "r.key")
-    packed = staged(texts.join(wanted, "doc_id").select("node", "key", "text").mapInArrow(_pack_sets(width), "node long, n long, bits binary, z binary"), "sets")
-    sets = packed.dropDuplicates(["node"])
+    named = rows.join(nodes, "node").groupBy("node").agg(F.first("key").alias("key"))
+    one = rows.join(named.select("key").distinct(), "key").groupBy("key").agg(F.min(F.struct("doc_id", "said")).alias("r")).select("key", "r.doc_id", "r.said")
+    packed = staged(texts.join(one, ["doc_id", "said"]).select("key", "text").mapInArrow(_pack_sets(width), "key binary, n long, bits binary, z binary"), "packed")
+    sets = staged(named.join(packed.dropDuplicates(["key"]), "key").select("node", "n", "bits", "z"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("z").alias("zb"))
@@ -306,39 +326,71 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     links = staged(verified(pairs).unionByName(equal), "links")
     comps = components(links)
 
-    # Sets that met in one place and aren't in one component yet.
-    placed = lists.withColumn("list", F.xxhash64("members")).select("list", F.posexplode("members").alias("pos", "node"))
-    placed = placed.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("pos").alias("last")).filter("lo != hi")
-    sides = (F.col("last") / SIDE).cast("int")
-    tiles = placed.join(mixed.select("list", "last"), "list").withColumn("own", (F.col("pos") / SIDE).cast("int")).select(
-        "list", "node", "component", F.col("own").alias("side"), F.explode(F.sequence(F.lit(0), sides)).alias("other")
-    )
-    tiles = tiles.select("list", "node", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    tiles = tiles.join(sets.select("node", "n", "bits"), "node").groupBy("list", "i", "j").applyInArrow(_tile(percent), "a long, b long")
-    rest = staged(tiles.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    # Meetings that aren't in one component yet: hubs, then tiles.
+    mixed = staged(_mixed(lists, comps), "mixed")
+    used = chunks.select("list", F.col("pivot").alias("node")).distinct()
+    for _ in range(HUBS):
+        if mixed.isEmpty():
+            break
+        new, hubs = _by_hubs(mixed, links, used)
+        used = used.unionByName(staged(hubs, "hubs"))
+        links = staged(links.unionByName(verified(new)), "links")
+        comps = components(links)
+        mixed = staged(_mixed(mixed.select("list", "node"), comps), "mixed")
+    rest = staged(_tiles(mixed, sets, percent).distinct(), "rest")
     if not rest.isEmpty():
         comps = components(links.unionByName(verified(rest)))
-    discard(met, packed, links, rest)
     placed = rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return placed.join(least, "component").select(known("doc_id"), F.col("n").alias("n_shingles"), known("component_id"))
 
 
+def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """(list, node, component) of the meetings whose members are in several components."""
+    placed = lists.join(comps, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("list")
+    return placed.join(several, "list")
+
+
+def _by_hubs(mixed: DataFrame, links: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each meeting's hub with its members in other components; and (list, node) of the hubs.
+
+    The hub is the member with the most links, of equals the largest, that wasn't one before.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    able = mixed.join(used, ["list", "node"], "left_anti").join(degree, "node", "left").select("list", "node", "component", F.coalesce("links", F.lit(0)).alias("links"))
+    hubs = able.groupBy("list").agg(F.max_by(F.struct("node", "component"), F.struct("links", "node")).alias("h")).select("list", F.col("h.node").alias("hub"), F.col("h.component").alias("own"))
+    met = mixed.join(hubs, "list").filter("component != own")
+    new = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return new, hubs.select("list", F.col("hub").alias("node"))
+
+
+def _tiles(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a meeting in different components whose bitmaps leave room for a link."""
+    order = Window.partitionBy("list").orderBy("node")
+    side = mixed.withColumn("side", ((F.row_number().over(order) - 1) / SIDE).cast("int"))
+    last = side.groupBy("list").agg(F.max("side").alias("last"))
+    tiles = side.join(last, "list").select("list", "node", "component", "side", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    tiles = tiles.select("list", "node", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    return tiles.join(sets.select("node", "n", "bits"), "node").groupBy("list", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+
+
 def _pack_sets(width: int):
+    """Of texts with the key that their set shall have: key, size, bitmap and packed text."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
             out = []
-            for node, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 s = shingle_sets([raw], width)[0]
-                if _key(s) == key:  # an id may stand on several rows
-                    out.append((node, len(s), bitmap(s), pack(raw)))
+                if _key(s) == key:  # texts of one id and hash may differ
+                    out.append((key, len(s), bitmap(s), pack(raw)))
             columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "bits", "z"])
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "n", "bits", "z"])
 
     return work
 
@@ -346,8 +398,9 @@ def _pack_sets(width: int):
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs in their own columns, of each class the one with the smallest doc_id."""
     classes = jaccard_classes(docs, width, percent)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    (name,) = free(docs, "__kept")
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

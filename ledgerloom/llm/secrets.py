@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, small_batches, text_of
+from .common import counted, read, small_batches, text_of
 
 ASSIGN = re.compile(
     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -173,7 +173,7 @@ def redacted(text: str, mask: str = "[SECRET]") -> str:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The rows of docs in their own columns, secrets masked in text and n_chars to match; null texts stay null."""
+    """The rows of docs in their own columns, secrets masked in text and n_chars, if it is integral, to match; null texts stay null."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             texts = [None if x is None else redacted(x) for x in batch.column(at).to_pylist()]
             arrays = list(batch.columns)
             arrays[at] = pa.array(texts, batch.schema.field(at).type)
-            if (n := batch.schema.get_field_index("n_chars")) >= 0:
+            if (n := counted(batch.schema)) >= 0:
                 kept = batch.column(n).to_pylist()
                 arrays[n] = pa.array([k if x is None else len(x) for x, k in zip(texts, kept, strict=True)], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buckets, read, small_batches, staged, text_of
+from .common import buckets, counted, free, read, small_batches, staged, text_of
 from .shingles import _BYTE, mix, powers
 
 LENGTH, GRAM = 100, 32
@@ -436,16 +436,17 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs in their own columns, repeated strings cut out of text and n_chars to match.
+    """The rows of docs in their own columns, repeated strings cut out of text and n_chars, if it is integral, to match.
 
     Cuts keep whole characters: a character that loses a byte goes. Null texts stay null.
     """
-    spans = repeated_spans(docs).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__doc"), "left").drop("__doc")
+    doc, marks_of = free(docs, "__doc", "__spans")
+    spans = repeated_spans(docs).select(F.col("doc").alias(doc), F.col("spans").alias(marks_of))
+    joined = docs.join(spans, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(doc), "left").drop(doc)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+            at, n = batch.schema.get_field_index("text"), counted(batch.schema)
             marks = batch.column(batch.num_columns - 1).to_pylist()
             texts = batch.column(at).to_pylist()
             left = [t if t is None or not m else cut(t.encode(), m)[0].decode("utf-8", "ignore") for t, m in zip(texts, marks, strict=True)]
