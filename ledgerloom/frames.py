@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 from datetime import date
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from . import sql
+from . import sql, storage
 from .functions import fuzzy, parsing
 from .operators.resampling import bootstrap_metric, corrected_rates, stratified_sample
 from .streaming import jobs
@@ -185,36 +187,56 @@ def date_rederivable(spark: SparkSession, sf_dir: str, tables: Tables = None) ->
     return d.select("seq", F.array_contains(resolved("text", "ref"), F.col("day")).alias("derivable"))
 
 
-#: Rows that the label baseline is fitted on at most, about, and features of words and pairs of words.
-TRAIN, FEATURES = 3000, 1 << 12
+#: Rows that the label baseline is fitted on at most, about, and terms of a vocabulary, which those rows bound as well.
+TRAIN, VOCABULARY = 3000, 1 << 20
 
 
-def label_baseline(train: DataFrame, text: str, label: str):
-    """A fitted pipeline: words of two characters and more and pairs of them, smoothed inverse frequencies, unit length, a linear model."""
+def label_baseline(train: DataFrame, text: str, label: str) -> "LabelBaseline":
+    """Fit on about TRAIN rows of train: words of two characters and more and pairs of them, smoothed inverse frequencies, unit length, a linear model.
+
+    The vocabulary is that of the rows of the fit, each term with a number of its own.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
     from pyspark.ml.linalg import Vectors
 
     n = train.count()
-    some = train.sample(min(1.0, TRAIN / max(1, n)), seed=7).cache()
-    words = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="w1", pattern="(?U)\\b\\w\\w+\\b", gaps=False), NGram(n=2, inputCol="w1", outputCol="w2"), HashingTF(inputCol="w1", outputCol="t1", numFeatures=FEATURES), HashingTF(inputCol="w2", outputCol="t2", numFeatures=4 * FEATURES), VectorAssembler(inputCols=["t1", "t2"], outputCol="tf")]).fit(some)
+    chance = min(1.0, TRAIN / max(1, n))
+    some = train.filter(F.pmod(F.xxhash64(text, label, F.lit(7)), F.lit(1 << 30)) < int(chance * (1 << 30)) + 1) if n > TRAIN else train
+    some = storage.scratch(some.select(text, label), "train")
+    counted = lambda i: CountVectorizer(inputCol=f"w{i}", outputCol=f"t{i}", vocabSize=VOCABULARY)
+    words = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="w1", pattern="(?U)\\b\\w\\w+\\b", gaps=False), NGram(n=2, inputCol="w1", outputCol="w2"), counted(1), counted(2), VectorAssembler(inputCols=["t1", "t2"], outputCol="tf")]).fit(some)
     idf = IDF(inputCol="tf", outputCol="weighted").fit(words.transform(some))
     smooth = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="tf", outputCol="scaled")
     unit = Normalizer(p=2.0, inputCol="scaled", outputCol="features")
     index = StringIndexer(inputCol=label, outputCol="label_ix", stringOrderType="alphabetAsc")
     linear = LogisticRegression(labelCol="label_ix", maxIter=20, regParam=1.0 / max(1, min(n, TRAIN)), standardization=False, family="multinomial")
     tail = Pipeline(stages=[smooth, unit, index, linear]).fit(words.transform(some))
-    labels = tail.stages[2].labels
-    some.unpersist()
+    return LabelBaseline(words, tail)
+
+
+class LabelBaseline:
+    """A fitted baseline that predicts labels, and that a folder can hold."""
+
+    def __init__(self, words, tail) -> None:
+        self.words, self.tail = words, tail
 
-    def predict(df: DataFrame) -> DataFrame:
-        model = tail.stages[3]
-        scored = model.transform(tail.stages[1].transform(tail.stages[0].transform(words.transform(df))))
-        said = F.get(F.array(*map(F.lit, labels)), F.col("prediction").cast("int"))
+    def __call__(self, df: DataFrame) -> DataFrame:
+        smooth, unit, index, linear = self.tail.stages
+        scored = linear.transform(unit.transform(smooth.transform(self.words.transform(df))))
+        said = F.get(F.array(*map(F.lit, index.labels)), F.col("prediction").cast("int"))
         return scored.select(*df.columns, said.alias("predicted"))
 
-    return predict
+    def save(self, path: str) -> None:
+        self.words.save(f"{path}/words")
+        self.tail.save(f"{path}/tail")
+
+    @staticmethod
+    def load(path: str) -> "LabelBaseline":
+        from pyspark.ml import PipelineModel
+
+        return LabelBaseline(PipelineModel.load(f"{path}/words"), PipelineModel.load(f"{path}/tail"))
 
 
 def tfidf(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
@@ -224,17 +246,47 @@ def tfidf(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
     return predict(docs.filter("doc_id % 3 <> 0")).select("doc_id", F.col("lang").alias("label"), F.col("predicted").alias("prediction"))
 
 
+def _version(spark: SparkSession, sf_dir: str, statement: str, tables: Tables) -> tuple[str, bool]:
+    """Version of what a statement reads, and whether it lasts: by its files, or by the rows where one's own tables are read."""
+    text = sql.statement(statement, {k: v for k, v in sql.RELATIONS.items() if k not in (tables or {})})
+    if any(re.search(rf"\b{t}\b", text) for t in tables or {}):
+        df = sql.run(spark, sf_dir, statement, tables)
+        row = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("h"), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("h")).first()
+        return hashlib.sha256(repr((statement, *row)).encode()).hexdigest()[:24], False
+    state = storage.state(spark, [f"{sf_dir}/{t}.parquet" for t in sql.TABLES if re.search(rf"\b{t}\b", text)])
+    return hashlib.sha256(f"{text} {state}".encode()).hexdigest()[:24], True
+
+
+def topic_model(spark: SparkSession, sf_dir: str, tables: Tables = None) -> LabelBaseline:
+    """The label baseline fitted on calib, from the shared folder if that was done for these rows."""
+    rows = "SELECT text, gold FROM topic_items WHERE split = 'calib'"
+    version, lasting = _version(spark, sf_dir, rows, tables)
+    fit = lambda path: label_baseline(sql.run(spark, sf_dir, rows, tables), "text", "gold").save(path)
+    return LabelBaseline.load(storage.published(spark, "topic_model", version, fit, lasting))
+
+
+def gate_numbers(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
+    """One row: threshold and band of pairs, and the grounding ratio; tuned on calib once for the state of its rows."""
+    versions = [_version(spark, sf_dir, q, tables) for q in ("SELECT * FROM pair_scores", "SELECT * FROM enquiry_fields WHERE split = 'calib'", "SELECT * FROM enquiry_items WHERE split = 'calib'", "SELECT * FROM fields")]
+
+    def tune() -> DataFrame:
+        band = sql.run(spark, sf_dir, "SELECT threshold, band_low, band_high FROM match_band", tables)
+        return band.crossJoin(grounding_ratio(spark, sf_dir, tables).withColumnRenamed("ratio", "grounding_ratio"))  # one row each
+
+    return storage.kept(tune, spark, "gate_numbers", hashlib.sha256(repr(versions).encode()).hexdigest()[:24], all(x for _, x in versions))
+
+
 def gate_tables(spark: SparkSession, sf_dir: str, tables: Tables = None) -> dict[str, DataFrame]:
-    """What gates compare with beyond SQL, trained and tuned on calib: labels, close matches, date phrases."""
+    """What gates compare with beyond SQL, by models and numbers of calib: labels, the band, close matches, date phrases."""
     tables = dict(tables or {})
     topics = sql.run(spark, sf_dir, "SELECT item_id, split, text, gold FROM topic_items", tables)
-    predict = label_baseline(topics.filter("split = 'calib'"), "text", "gold")
-    topic = predict(topics).select("item_id", "split", F.col("predicted").alias("base_label"))
-    least = F.broadcast(grounding_ratio(spark, sf_dir, tables).withColumnRenamed("ratio", "least"))
+    topic = topic_model(spark, sf_dir, tables)(topics).select("item_id", "split", F.col("predicted").alias("base_label"))
+    numbers = gate_numbers(spark, sf_dir, tables)
+    least = F.broadcast(numbers.select(F.col("grounding_ratio").alias("least")))  # one row
     close = grounded_fields(spark, sf_dir, tables, only_misses=True).crossJoin(least).filter("ratio >= least").select("seq", "field")
     items = sql.run(spark, sf_dir, "SELECT split, item_id, text, reference_date FROM enquiry_items", tables)
     days = items.select("split", "item_id", F.explode(resolved("text", "reference_date")).alias("day"))
-    return {"topic_baseline": topic, "grounded_more": close, "dates_derived": days}
+    return {"topic_baseline": topic, "match_band": numbers.select("threshold", "band_low", "band_high"), "grounded_more": close, "dates_derived": days}
 
 
 def gates(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
@@ -245,7 +297,8 @@ def gates(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
 
 def thresholds(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
     """All numbers that gates were tuned to."""
-    return sql.run(spark, sf_dir, "SELECT threshold, band_low, band_high FROM match_band", tables).crossJoin(grounding_ratio(spark, sf_dir, tables).withColumnRenamed("ratio", "grounding_ratio")).withColumn("labels_trained", F.lit(True))  # one row each
+    topic_model(spark, sf_dir, tables)
+    return gate_numbers(spark, sf_dir, tables).withColumn("labels_trained", F.lit(True))
 
 
 def mixed_sample(spark: SparkSession, sf_dir: str, tables: Tables = None, n: int = 100, seed: int = 7) -> DataFrame:

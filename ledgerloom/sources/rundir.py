@@ -8,6 +8,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,12 +122,77 @@ def write_document(value, path: str, merge: bool = False) -> None:
     Path(path).write_text(json.dumps(value, indent=2, sort_keys=True) + "\n")
 
 
-def append_ledger(df: DataFrame, run_path: str, common_path: str) -> None:
-    """Append paid calls to a run's ledger and to the one of all runs; the commit protocol stands for a lock."""
-    kept = df.cache()
-    append(kept, run_path)
-    append(kept, common_path)
-    kept.unpersist()
+def append_ledger(df: DataFrame, run_path: str, common_path: str, batch: str | None = None) -> str:
+    """Append paid calls to a run's ledger and to the one of all runs as one unit; the batch's name.
+
+    Each ledger gets a folder of the batch, and one empty file in the common ledger's list makes the batch count in
+    both. A writer that fails before has changed nothing that ``ledger`` reads, and one that repeats a batch by its name
+    writes the same folders again, or nothing if it counts already.
+    """
+    spark, batch = df.sparkSession, batch or uuid.uuid4().hex
+    if storage.exists(spark, f"{common_path}/_batches/{batch}"):
+        return batch
+    df.write.mode("overwrite").parquet(f"{run_path}/batch={batch}")
+    spark.read.schema(df.schema).parquet(f"{run_path}/batch={batch}").write.mode("overwrite").parquet(f"{common_path}/batch={batch}")
+    storage.mark(spark, f"{common_path}/_batches/{batch}")
+    return batch
+
+
+def ledger(spark: SparkSession, path: str, common_path: str, schema: str = LEDGER) -> DataFrame:
+    """Rows of a ledger, a run's or the common one, of the batches that count."""
+    counted = {n for n, _ in storage.listed(spark, f"{common_path}/_batches")}
+    folders = [f"{path}/{n}" for n, _ in storage.listed(spark, path) if n.startswith("batch=") and n.removeprefix("batch=") in counted]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def leaves(docs: DataFrame, key: str = "key", doc: str = "doc") -> DataFrame:
+    """key, path and text of each leaf of JSON objects: what isn't an object, or is an empty one. Malformed ones are left out.
+
+    Level by level, an object's entries become rows; as many rounds as the deepest document has levels.
+    """
+    spark = docs.sparkSession
+    level = docs.select(F.col(key).alias("key"), F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(doc).cast("string")).alias("v")).filter("v IS NOT NULL")
+    out = None
+    while True:
+        inner = F.schema_of_variant("v")
+        whole = F.coalesce(inner.startswith("OBJECT<") & (inner != "OBJECT<>"), F.lit(False))
+        here = level.filter(~whole).select("key", "path", F.when(F.schema_of_variant("v") == "VOID", "null").otherwise(F.to_json("v")).alias("text"))
+        out = here if out is None else out.unionByName(here)
+        below = level.filter(whole)
+        if not below.head(1):
+            return out
+        level = spark.sql("SELECT o.key, array_append(o.path, e.key) AS path, e.value AS v FROM {below} o, LATERAL variant_explode(o.v) e", below=below)
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """key and doc of leaves (key, path, text), entries in order of their names; the other way round of ``leaves``."""
+    rows = rows.withColumn("depth", F.size("path"))
+    for depth in range(rows.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        deepest = rows.filter(F.col("depth") == depth)
+        entry = F.struct(F.element_at("path", -1).alias("name"), F.col("text"))
+        entries = deepest.groupBy("key", F.slice("path", 1, depth - 1).alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        quoted = lambda name: F.substring(F.to_json(F.array(name)), F.lit(2), F.length(F.to_json(F.array(name))) - 2)
+        text = F.concat(F.lit("{"), F.array_join(F.transform("e", lambda x: F.concat(quoted(x["name"]), F.lit(":"), x["text"])), ","), F.lit("}"))
+        rows = rows.filter(F.col("depth") < depth).unionByName(entries.select("key", "path", text.alias("text"), F.lit(depth - 1).alias("depth")))
+    return rows.select("key", F.col("text").alias("doc"))
+
+
+def merged_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """key and doc: new JSON objects (key, doc) over old ones, as ``merged`` does, for tables of any size.
+
+    Both sides are rows of paths. An old leaf goes where new says something at its path or above it that isn't an
+    object, or anything below it; an empty object says nothing where the other side has entries. All are joins by key
+    and path, and what is left on both sides is put together again. Each key stands at most once on a side.
+    """
+    own, said = storage.scratch(leaves(old), "old"), storage.scratch(leaves(new), "new")
+    above = lambda df: df.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("path"))
+    prefixes = own.select("key", F.col("path").alias("whole"), "text", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("path"))
+    replaced = prefixes.join(said.filter("text != '{}'").select("key", "path"), ["key", "path"], "left_semi").select("key", F.col("whole").alias("path"))
+    opened = own.join(above(said).distinct(), ["key", "path"], "left_semi").select("key", "path")
+    left = storage.scratch(own.join(replaced.unionByName(opened).distinct(), ["key", "path"], "left_anti"), "left")
+    held = above(left).distinct()
+    fresh = said.filter("text != '{}'").unionByName(said.filter("text = '{}'").join(held, ["key", "path"], "left_anti"))
+    return assembled(storage.scratch(left.unionByName(fresh), "merged"))
 
 
 def resolve_run(root: str, name: str | None = None) -> str:
