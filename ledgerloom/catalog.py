@@ -31,4 +31,4 @@ def over(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFr
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql.duck(text) for name, text in STATEMENTS.items()}
+    return {name: sql.duck(text) for name, text in STATEMENTS.items()} | frames.TWINS

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from . import sql, storage
 from .functions import fuzzy, parsing
 from .operators.resampling import bootstrap_metric, corrected_rates, stratified_sample
+from .sources import rundir
 from .streaming import jobs
 
 Tables = dict[str, DataFrame] | None
@@ -322,7 +323,19 @@ def sample(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame
     return stratified_sample(sql.run(spark, sf_dir, "SELECT seq, task, model_id FROM calls", tables), "task", 100, "seq")
 
 
+_OLD = """SELECT event_id AS key, '{"props": ' || props || ', "seen": {"type": "' || event_type || '", "by": [1, 2]}}' AS doc FROM events WHERE event_id % 3 < 2"""
+_NEW = """SELECT event_id AS key, '{"props": {"k": -1, "more": {"v": ' || event_id || '}}, "seen": {"by": [3]}, "kind": {}}' AS doc FROM events WHERE event_id % 3 > 0"""
+
+
+def merged_events(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
+    """Documents of events with later ones over them, as they read after the merge."""
+    docs = rundir.merged_documents(sql.run(spark, sf_dir, _OLD, tables), sql.run(spark, sf_dir, _NEW, tables))
+    return docs.select("key", *[F.get_json_object("doc", f"$.{path}").alias(name) for name, path in _PATHS.items()])
+
+
+_PATHS = {"k": "props.k", "v": "props.more.v", "type": "seen.type", "by": "seen.by", "kind": "kind"}
 QUERIES = {
+    "deep_merge_documents": merged_events,
     "stratified_sample": sample,
     "bootstrap_ci": bootstrap,
     "corrected_pass_rate_ci": corrected_rate,
@@ -340,6 +353,12 @@ QUERIES = {
     "gate_context": thresholds,
     "mixed_sample": mixed_sample,
 }
+#: What some of these queries mean, in SQL of DuckDB's own.
+TWINS = {
+    "deep_merge_documents": f"""
+SELECT key, {", ".join(f"json_extract_string(doc, '$.{path}') AS {name}" for name, path in _PATHS.items())}
+FROM (SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.key IS NULL THEN o.doc::JSON WHEN o.key IS NULL THEN n.doc::JSON ELSE json_merge_patch(o.doc::JSON, n.doc::JSON) END AS doc FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON n.key = o.key) x""",
+}
 #: Streams read files as they come; replacements of relations don't reach them.
 STREAMS = {
     "stream_tumbling_minute": jobs.minute_counts,

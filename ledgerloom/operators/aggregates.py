@@ -96,7 +96,7 @@ def stratified(source: str, n: int) -> str:
 
 relation("event_strata", "SELECT event_type AS grp, count(*) AS n FROM events GROUP BY event_type")
 relation("period_slots", """
-SELECT task, CAST(base + CASE WHEN rn <= abs(diff) THEN CASE WHEN diff < 0 THEN -1 ELSE 1 END ELSE 0 END AS BIGINT) AS slots, rn FROM (SELECT task, base, row_number() OVER (ORDER BY task) AS rn, CAST(100 - sum(base) OVER () AS BIGINT) AS diff FROM (SELECT task, CAST(bround(100 * weight, 0) AS BIGINT) AS base FROM mix) a) b
+SELECT task, CAST(base + CASE WHEN rn <= abs(diff) THEN CASE WHEN diff < 0 THEN -1 ELSE 1 END ELSE 0 END AS BIGINT) AS slots, rn FROM (SELECT task, base, row_number() OVER (ORDER BY task) AS rn, CAST(100 - sum(base) OVER () AS BIGINT) AS diff FROM (SELECT task, CAST(bround(100 * weight, 0) AS BIGINT) AS base FROM (SELECT m.task, m.weight / sum(m.weight) OVER () AS weight FROM mix m LEFT SEMI JOIN items i ON i.task = m.task) w) a) b
 """)
 
 QUERIES = {
@@ -175,7 +175,7 @@ SELECT task, model_id, usd, score FROM (SELECT task, model_id, usd, score, max(s
     "per_minute_tph": "SELECT h, n, n * 60 AS tph FROM hour_series",
     "soak_throttle": """
 SELECT first5, last5, CASE WHEN first5 > 0 THEN last5 / first5 END AS factor FROM (SELECT avg(CASE WHEN h < 5 THEN CAST(n AS DOUBLE) END) AS first5, avg(CASE WHEN h >= full_hours - 5 THEN CAST(n AS DOUBLE) END) AS last5 FROM hour_series CROSS JOIN (SELECT CAST(floor(max(t) / 3600) AS BIGINT) AS full_hours FROM completions) f WHERE h < full_hours) x""",
-    "role_model": "SELECT role, min_by(model_id, pos) AS model_id FROM models WHERE kind = 'cloud' GROUP BY role",
+    "role_model": "SELECT m.role, min_by(m.model_id, m.pos) AS model_id, CAST(sum(s.calls) AS BIGINT) AS calls FROM models m JOIN seen_models s ON s.model_id = m.model_id WHERE m.kind = 'cloud' GROUP BY m.role",
     "best_score": "SELECT task, split, max(CASE WHEN isnan(score) THEN NULL ELSE score END) AS best FROM metrics GROUP BY task, split",
     "judge_select": """
 SELECT part, n, ba, price FROM (SELECT j.part, j.n, j.ba, p.price, row_number() OVER (ORDER BY j.ba DESC NULLS LAST, p.price, j.part) AS rn FROM (SELECT part, count(*) AS n, round(avg(CASE WHEN label_pass = predicted_pass THEN 1e0 ELSE 0e0 END), 9) AS ba FROM judged GROUP BY part) j JOIN (SELECT pos AS part, coalesce(prompt_price, 0e0) + coalesce(completion_price, 0e0) AS price FROM models) p ON p.part = j.part) y WHERE rn = 1""",
@@ -192,8 +192,8 @@ SELECT part, n, ba, price FROM (SELECT j.part, j.n, j.ba, p.price, row_number()
     "usage_records": "SELECT seq, prompt_tokens, completion_tokens, k % 4 AS reasoning_tokens, 0 AS cached_tokens, model_id AS provider FROM calls WHERE kind = 'cloud'",
     "window_list": "SELECT name, started, contaminated FROM (SELECT 'window ' || user_id AS name, min(ts) AS started, avg(CASE WHEN value * 10 > 100 THEN 1e0 ELSE 0e0 END) > 0.1e0 AS contaminated FROM events GROUP BY user_id UNION ALL SELECT 'window new', max(ts), FALSE FROM events) w",
     "power_text": """
-SELECT CASE WHEN h.mode = 'configured' OR p.measured = 0 THEN 'configured: ' || CAST(CAST(h.idle_w AS BIGINT) AS STRING) || ' W idle, ' || CAST(CAST(h.load_w AS BIGINT) AS STRING) || ' W incremental' ELSE 'measured (battery telemetry): ' || CAST(CAST(h.idle_w AS BIGINT) AS STRING) || ' W idle, ' || CAST(CAST(h.load_w AS BIGINT) AS STRING) || ' W incremental' END AS text, p.modes
-FROM hardware h CROSS JOIN (SELECT count(*) FILTER (WHERE mode = 'measured') AS measured, count(DISTINCT mode) AS modes FROM power_probes) p""",
+SELECT CASE WHEN h.mode = 'configured' OR p.measured = 0 THEN 'configured: ' || CAST(CAST(h.idle_w AS BIGINT) AS STRING) || ' W idle, ' || CAST(CAST(h.load_w AS BIGINT) AS STRING) || ' W incremental' ELSE 'measured (battery telemetry): ' || CAST(CAST(h.idle_w AS BIGINT) AS STRING) || ' W idle, ' || CAST(CAST(h.load_w AS BIGINT) AS STRING) || ' W incremental' END AS text, p.modes, p.calls
+FROM hardware h CROSS JOIN (SELECT count(*) FILTER (WHERE q.mode = 'measured') AS measured, count(DISTINCT q.mode) AS modes, CAST(sum(s.calls) AS BIGINT) AS calls FROM power_probes q JOIN seen_models s ON s.model_id = q.model_id) p""",
     "finite_or_null": "SELECT event_id, CASE WHEN isnan(x) OR abs(x) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE x END AS x FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) ELSE value END AS x FROM events) e",
     "data_cards": "SELECT lang, source, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY lang, source",
     "judge_table": "SELECT model_id, count(*) AS n, avg(CASE WHEN passed THEN 1e0 ELSE 0e0 END) AS pass_rate FROM judge_passed WHERE split = 'test' AND judged GROUP BY model_id",

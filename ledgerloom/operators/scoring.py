@@ -48,21 +48,21 @@ QUERIES = {
     "ledger_by_command": """
 SELECT command, row_number() OVER (ORDER BY place, command) AS pipeline_order, usd, calls FROM (SELECT l.command, coalesce(p.place, 99) AS place, round(sum(coalesce(l.actual_usd, 0e0)), 4) AS usd, count(*) AS calls FROM ledger_v l LEFT JOIN pipeline_commands p ON p.command = l.command GROUP BY l.command, coalesce(p.place, 99)) x""",
     "price_snapshot_join": """
-SELECT m.model_id, TRY_CAST(p.prompt AS DOUBLE) AS prompt, TRY_CAST(p.completion AS DOUBLE) AS completion FROM models m LEFT JOIN
- (SELECT * FROM (VALUES ('cloud-frontier', '0.0000016', '0.0000048'), ('cloud-small', 'bad', '8e-7'), ('other', '1', '2')) AS t(slug, prompt, completion)) p ON p.slug = m.model_id""",
+SELECT m.model_id, p.taken, TRY_CAST(p.prompt AS DOUBLE) AS prompt, TRY_CAST(p.completion AS DOUBLE) AS completion FROM seen_models m LEFT JOIN
+ (SELECT model_id, max(taken) AS taken, max_by(prompt, seq) AS prompt, max_by(completion, seq) AS completion FROM price_snapshots GROUP BY model_id) p ON p.model_id = m.model_id""",
     "price_snapshot_merge": """
-SELECT base_url, model_id, prompt FROM (SELECT base_url, model_id, prompt, row_number() OVER (PARTITION BY base_url, model_id ORDER BY taken DESC) AS rn FROM (SELECT provider AS base_url, model_id, prompt_price AS prompt, pos AS taken FROM models WHERE kind = 'cloud' UNION ALL SELECT 'vendor-y', 'cloud-small', 3e-7, 99) s) x WHERE rn = 1""",
+SELECT base_url, model_id, taken, round(TRY_CAST(prompt AS DOUBLE), 15) AS prompt FROM (SELECT base_url, model_id, taken, prompt, row_number() OVER (PARTITION BY base_url, model_id ORDER BY taken DESC, seq DESC) AS rn FROM price_snapshots) x WHERE rn = 1""",
     "model_dim": """
-SELECT model_id, max_by(kind, pos) AS kind, max_by(provider, pos) AS provider, max(pos) AS pos
-FROM (SELECT model_id, kind, provider, pos FROM models UNION ALL SELECT 'local-a', 'local', 'local', 9) m GROUP BY model_id""",
-    "hardware_dim": "SELECT r.monthly_volume, h.price, h.idle_w, h.load_w, h.price IS NULL AS absent FROM run_settings r LEFT JOIN hardware h ON h.allocation > 0",
+SELECT model_id, max_by(kind, pos) AS kind, max_by(provider, pos) AS provider, max(pos) AS pos, max(calls) AS calls
+FROM (SELECT m.model_id, m.kind, m.provider, m.pos, s.calls FROM seen_models s JOIN models m ON m.model_id = s.model_id UNION ALL SELECT model_id, kind, 'recorded', -1, calls FROM seen_models) m GROUP BY model_id""",
+    "hardware_dim": "SELECT r.monthly_volume, h.price, h.idle_w, h.load_w, h.price IS NULL AS absent, c.calls, round(c.busy_s, 6) AS busy_s FROM run_settings r CROSS JOIN (SELECT count(*) AS calls, sum(latency_s) AS busy_s FROM calls WHERE kind = 'local') c LEFT JOIN hardware h ON h.allocation > 0",
     "deep_merge_upsert": """
 SELECT coalesce(o.path, n.path) AS path, coalesce(n.v, o.v) AS v FROM (SELECT 'orders/' || o_orderpriority AS path, count(*) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_orderpriority) o
 FULL OUTER JOIN (SELECT 'orders/' || o_orderpriority AS path, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 5 = 0 AND o_orderpriority < '4' GROUP BY o_orderpriority
   UNION ALL SELECT 'suppliers', count(*) FROM supplier) n ON o.path = n.path""",
     "config_merge": """
 SELECT coalesce(n.model_id, o.model_id) AS model_id, coalesce(n.kind, o.kind) AS kind, coalesce(o.pos, 100 + n.pos) AS pos
-FROM (SELECT model_id, kind, pos FROM models WHERE pos < 5) o FULL OUTER JOIN (SELECT model_id, kind || '-new' AS kind, pos FROM models WHERE pos > 2) n ON o.model_id = n.model_id""",
+FROM (SELECT DISTINCT model_id, kind, model_ix AS pos FROM calls WHERE split = 'calib' AND model_ix < 5) o FULL OUTER JOIN (SELECT DISTINCT model_id, kind || '-new' AS kind, model_ix AS pos FROM calls WHERE split = 'test' AND model_ix > 2) n ON o.model_id = n.model_id""",
     "download_budget": """
 SELECT r.repo, r.revision, r.bytes, coalesce(c.cached, 0) AS cached, greatest(0, r.bytes - coalesce(c.cached, 0)) AS new_bytes, sum(r.bytes) OVER () <= 2000000000 AS within_cap
 FROM (SELECT p_brand AS repo, 'r' || substr(p_brand, -2) AS revision, CAST(sum(coalesce(CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END, 0)) * 1000 AS BIGINT) AS bytes FROM part GROUP BY p_brand) r
@@ -79,7 +79,7 @@ SELECT 'pii_redaction', item_id, 'List personal data as JSON: [{{"type": ..., "t
 SELECT 'summarisation', item_id, 'Summarise in at most ' || max_words || ' words.', text FROM brief_items""",
     "judge_prompt": """
 SELECT p.seq, 'Facts:' || char(10) || t.facts || char(10) || 'Source:' || char(10) || i.text || char(10) || 'Summary:' || char(10) || p.summary AS prompt FROM brief_parsed p JOIN brief_items i ON i.item_id = p.item_id AND i.split = p.split
-JOIN (SELECT item_id, split, max(CASE WHEN ix = 0 THEN '0. ' || token END) || ' ' || max(CASE WHEN ix = 2 THEN '2. ' || token END) AS facts FROM brief_tokens GROUP BY item_id, split) t ON t.item_id = p.item_id AND t.split = p.split WHERE p.ok""",
+JOIN (SELECT item_id, split, array_join(transform(array_sort(collect_list(substr('000' || ix, -4) || token)), x -> CAST(CAST(substr(x, 1, 4) AS INTEGER) AS STRING) || '. ' || substr(x, 5)), char(10)) AS facts FROM brief_tokens GROUP BY item_id, split) t ON t.item_id = p.item_id AND t.split = p.split WHERE p.ok""",
     "date_header_extract": f"""
 SELECT id, CASE WHEN d = '' THEN NULL ELSE regexp_extract(d, '([0-9]{{4}})$', 1) || '-' || {m.month_number("regexp_extract(d, '([A-Z][a-z]{2}) [0-9]{4}$', 1)")} || '-' || substr('0' || regexp_extract(d, '^([0-9]+)', 1), -2) END AS reference_date
 FROM (SELECT id, regexp_extract(raw, '(?m)^Date: [A-Z][a-z]{{2}}, ([0-9]{{1,2}} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [0-9]{{4}})', 1) AS d FROM (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'no header' WHEN 1 THEN 'see Date: Mon, 3 Jan 2024' ELSE
@@ -91,12 +91,12 @@ SELECT id, get_json_object(raw, '$.left.name') AS left_name, get_json_object(raw
     "last_user_message": "SELECT conv_id, coalesce(asked, '') AS message FROM talks",
     "prediction_validity": """
 SELECT c.seq, o.valid AND c.error IS NULL AS valid, coalesce(c.error, CASE WHEN NOT o.valid THEN 'no parse' END) AS error FROM calls c JOIN outcomes o ON o.seq = c.seq""",
-    "provider_class": "SELECT model_id, CASE WHEN kind = 'cloud' THEN regexp_extract(provider || '/' || model_id, '^([^/]+)/', 1) ELSE kind END AS provider_class, kind IN ('local', 'baseline') AS is_local FROM models",
+    "provider_class": "SELECT model_id, CASE WHEN kind = 'cloud' THEN regexp_extract(provider || '/' || model_id, '^([^/]+)/', 1) ELSE kind END AS provider_class, kind IN ('local', 'baseline') AS is_local, calls FROM (SELECT m.model_id, m.kind, m.provider, s.calls FROM seen_models s JOIN models m ON m.model_id = s.model_id) x",
     "stratification_key": """
 SELECT 'classification' AS task, item_id, gold AS stratum FROM topic_items UNION ALL SELECT 'entity_matching', item_id, CASE WHEN max(CASE WHEN gold_match THEN 1 ELSE 0 END) = 1 THEN 'true' ELSE 'false' END FROM match_parsed GROUP BY item_id
 UNION ALL SELECT 'pii_redaction', l.item_id, CASE WHEN count(s.span) > 0 THEN 'true' ELSE 'false' END FROM letters l LEFT JOIN letter_spans s ON s.item_id = l.item_id AND s.split = l.split GROUP BY l.item_id UNION ALL SELECT task, item_id, CAST(NULL AS STRING) FROM enquiry_items""",
     "output_cap": """
-SELECT d.task, coalesce(c.cap, t.cap, d.cap) AS cap FROM output_caps d LEFT JOIN (SELECT * FROM (VALUES ('extraction', 600), ('summarisation', 300)) AS t(task, cap)) t ON t.task = d.task LEFT JOIN (SELECT * FROM (VALUES ('summarisation', 200)) AS t(task, cap)) c ON c.task = d.task""",
+SELECT d.task, coalesce(c.cap, t.cap, d.cap) AS cap, k.calls, k.longest FROM output_caps d JOIN (SELECT task, count(*) AS calls, max(completion_tokens) AS longest FROM calls GROUP BY task) k ON k.task = d.task LEFT JOIN (SELECT * FROM (VALUES ('extraction', 600), ('summarisation', 300)) AS t(task, cap)) t ON t.task = d.task LEFT JOIN (SELECT * FROM (VALUES ('summarisation', 200)) AS t(task, cap)) c ON c.task = d.task""",
     "validate_items": f"""
 SELECT kind, id, errors FROM (
 SELECT 'classification' AS kind, i.item_id AS id, concat_ws('; ', CASE WHEN {m.trimmed("coalesce(i.text, '')")} = '' THEN 'no text' END, CASE WHEN t.label IS NULL THEN 'unknown label' END) AS errors FROM (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN ' ' ELSE text END AS text, CASE WHEN item_id % 8 = 0 THEN 'other' ELSE gold END AS gold FROM topic_items) i LEFT JOIN topics t ON t.label = i.gold
@@ -140,4 +140,10 @@ SELECT b.seq, b.ix, b.passes AS key_check, f.present AND f.right_one AS judge, b
 relation("match_inputs", """
 SELECT s.id, '{"left": {"name": "' || s.name || '", "vat_id": "' || s.vat_id || '"}, "right": {"name": "' || t.name || '", "vat_id": "' || t.vat_id || '"}}' AS raw FROM company_records s JOIN company_records t ON t.id = s.id + 1
 """)
+relation("seen_models", "SELECT model_id, max(kind) AS kind, count(*) AS calls FROM calls GROUP BY model_id")
+#: Price lists as providers gave them over time, a row a model and day; some prices are no numbers.
+relation("price_snapshots", """
+SELECT o.o_orderkey AS seq, o.o_orderdate AS taken, m.provider AS base_url, m.model_id, CASE WHEN o.o_orderkey % 23 = 0 THEN 'bad' ELSE CAST(m.prompt_price * (900 + o.o_orderkey % 200) / 1000 AS STRING) END AS prompt, CAST(m.completion_price AS STRING) AS completion
+FROM orders o JOIN models m ON m.pos = 2 + o.o_orderkey % 4 WHERE m.kind = 'cloud'
+""")
 relation("output_caps", "SELECT * FROM (VALUES ('classification', 16), ('entity_matching', 16), ('extraction', 400), ('pii_redaction', 500), ('summarisation', 350)) AS t(task, cap)")

@@ -71,8 +71,8 @@ SELECT l.model_id, l.task, m.utilisation, m.machines, CASE WHEN m.volume > 0 THE
 """)
 
 QUERIES = {
-    "fixed_usd_per_month": "SELECT round(fixed_usd, 6) AS fixed_usd FROM fixed_cost",
-    "power_for": "SELECT model_id, watts, idle_watts, watts_label FROM power_for",
+    "fixed_usd_per_month": "SELECT c.model_id, round(f.fixed_usd, 6) AS fixed_usd, c.n AS calls, round(f.fixed_usd / c.n, 9) AS per_recorded_call FROM (SELECT model_id, count(*) AS n FROM calls WHERE kind = 'local' GROUP BY model_id) c CROSS JOIN fixed_cost f",
+    "power_for": "SELECT p.model_id, p.watts, p.idle_watts, p.watts_label, c.n AS calls FROM power_for p JOIN (SELECT model_id, count(*) AS n FROM calls GROUP BY model_id) c ON c.model_id = p.model_id",
     "energy_usd_per_task": f"SELECT e.event_id, CASE WHEN e.value <= 10 THEN {INF} ELSE h.load_w / (e.value / 3600) / 3.6e6 * h.kwh END AS energy_usd FROM events e CROSS JOIN hardware h",
     "local_usd_per_task": f"SELECT s.s_suppkey, CASE WHEN s.s_acctbal <= 0 THEN {INF} ELSE f.fixed_usd / s.s_acctbal + 1e-5 END AS usd FROM supplier s CROSS JOIN fixed_cost f",
     "local_costs": "SELECT model_id, task, round(c1, 4) AS c1, round(c4, 4) AS c4, throttle, throttle_source, throughput_source, watts_label, round(sustained, 4) AS sustained, round(capacity, 2) AS capacity, round(usd, 9) AS usd FROM local_costs",
@@ -88,11 +88,11 @@ SELECT k.task, CASE WHEN h.price IS NULL THEN 'no hardware, so the fixed cost ca
     "settled_cost": "SELECT c.seq, round(coalesce(CASE WHEN c.k % 4 = 0 THEN NULL ELSE c.cost_usd END, c.prompt_tokens * m.prompt_price + c.completion_tokens * m.completion_price), 12) AS usd, CASE WHEN c.k % 4 = 0 THEN 'tokens x snapshot' ELSE 'usage.cost' END AS source FROM calls c JOIN models m ON c.model_id = m.model_id",
     "budget_audit": "SELECT l.command, count(*) AS n, count(*) FILTER (WHERE round(l.spent - l.actual_usd + l.reserved_usd, 6) > least(s.cap_usd, 60e0)) AS refused FROM running_ledger l CROSS JOIN run_settings s GROUP BY l.command",
     "budget_warn_crossing": "SELECT l.command, min_by(l.seq, l.spent) AS first_seq, round(min(l.spent), 4) AS spent FROM running_ledger l CROSS JOIN run_settings s WHERE l.spent >= s.warn_usd AND l.spent - l.actual_usd < s.warn_usd GROUP BY l.command",
-    "monthly_volume": "SELECT task, monthly AS volume FROM route",
+    "monthly_volume": "SELECT r.task, r.monthly AS volume, c.n AS recorded FROM route r JOIN (SELECT task, count(*) AS n FROM calls GROUP BY task) c ON c.task = r.task",
     "quality_bar": "SELECT c.model_id, c.task, c.split, round(b.bar, 9) AS bar, coalesce(NOT isnan(c.score) AND c.score >= b.bar, FALSE) AS meets FROM candidates c JOIN bars b ON b.task = c.task",
     "gap_to_bar": "SELECT c.model_id, c.task, c.split, round(CASE WHEN c.score IS NULL OR isnan(c.score) THEN NULL ELSE greatest(0e0, b.bar - c.score) END, 9) AS gap FROM candidates c JOIN bars b ON b.task = c.task",
-    "latency_cap": "SELECT task, cap_s FROM route",
-    "bar_config": "SELECT task, relative_bar, absolute_bar FROM route",
+    "latency_cap": "SELECT r.task, r.cap_s, c.late FROM route r JOIN (SELECT c.task, count(*) FILTER (WHERE c.latency_s > t.cap_s) AS late FROM calls c JOIN route t ON t.task = c.task GROUP BY c.task) c ON c.task = r.task",
+    "bar_config": "SELECT r.task, r.relative_bar, r.absolute_bar, c.models FROM route r JOIN (SELECT task, count(DISTINCT model_id) AS models FROM calls GROUP BY task) c ON c.task = r.task",
     "task_universe": "SELECT u.task, m.weight, c.n FROM task_universe u LEFT JOIN mix m ON m.task = u.task LEFT JOIN (SELECT task, count(*) AS n FROM candidates GROUP BY task) c ON c.task = u.task",
     "candidate_table": "SELECT model_id, kind, provider, task, split, n, score, judged, invalid_rate, within_rate, p50_s, p95_s, round(usd, 9) AS usd FROM candidates",
     "calib_test_drift": """
@@ -102,10 +102,11 @@ SELECT t.task, t.model_id, CASE t.kind WHEN 'local' THEN 0 WHEN 'cloud' THEN 1 W
 FROM candidates t JOIN bars b ON b.task = t.task LEFT JOIN candidates c ON c.model_id = t.model_id AND c.task = t.task AND c.split = 'calib' WHERE t.split = 'test'""",
     "local_perf": "SELECT l.model_id, l.task, round(l.c1, 4) AS c1, round(l.c4, 4) AS c4, round(l.capacity, 2) AS capacity, c.p50_s, c.p95_s FROM local_costs l LEFT JOIN candidates c ON l.model_id = c.model_id AND l.task = c.task AND c.split = 'test'",
     "cheapest_cloud": "SELECT task, model_id, round(usd, 9) AS usd FROM cheapest_cloud",
-    "cheapest_single_cloud": "SELECT model_id, round(cost, 9) AS cost FROM single_cloud",
+    "cheapest_single_cloud": "SELECT model_id, CASE WHEN cost < CAST('Infinity' AS DOUBLE) THEN round(cost, 9) END AS cost, met, chosen FROM cloud_totals",
 }
 #: Of cloud models that meet every mixed task's bar the one with the least weighted price; none if there is no such model.
-relation("single_cloud", """
-SELECT model_id, cost FROM (SELECT model_id, cost, row_number() OVER (ORDER BY cost, pos) AS rn FROM (SELECT c.model_id, min(c.pos) AS pos, sum(r.weight * coalesce(t.usd, CAST('Infinity' AS DOUBLE))) AS cost, count(*) FILTER (WHERE c.score >= b.bar) AS met FROM candidates c JOIN route r ON r.task = c.task JOIN bars b ON b.task = c.task
-  LEFT JOIN candidates t ON t.model_id = c.model_id AND t.task = c.task AND t.split = 'test' WHERE c.split = 'calib' AND c.kind = 'cloud' GROUP BY c.model_id) x WHERE met = (SELECT count(*) FROM mix)) y WHERE rn = 1
+relation("cloud_totals", """
+SELECT model_id, cost, met, met = of_tasks AND row_number() OVER (PARTITION BY met = of_tasks ORDER BY cost, pos) = 1 AS chosen FROM (SELECT x.*, (SELECT count(*) FROM mix) AS of_tasks FROM (SELECT c.model_id, min(c.pos) AS pos, sum(r.weight * coalesce(t.usd, CAST('Infinity' AS DOUBLE))) AS cost, count(*) FILTER (WHERE c.score >= b.bar) AS met FROM candidates c JOIN route r ON r.task = c.task JOIN bars b ON b.task = c.task
+  LEFT JOIN candidates t ON t.model_id = c.model_id AND t.task = c.task AND t.split = 'test' WHERE c.split = 'calib' AND c.kind = 'cloud' GROUP BY c.model_id) x) y
 """)
+relation("single_cloud", "SELECT model_id, cost FROM cloud_totals WHERE chosen")

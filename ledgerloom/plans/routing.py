@@ -153,5 +153,5 @@ SELECT row_name, count(*) FILTER (WHERE meets) AS met, max(CASE WHEN task = 'cla
     "hybrid_eligible": "SELECT task, eligible, escalates_to, escalated FROM hybrid",
     "headline_task": "SELECT task, any_met FROM headline",
     "headline_saving": "SELECT round(coalesce(vs_cheapest, vs_frontier), 9) AS saving_pct, CASE WHEN vs_cheapest IS NOT NULL THEN 'cheapest single cloud' WHEN vs_frontier IS NOT NULL THEN 'all-frontier' END AS versus, scope, refused FROM saving",
-    "refused_tasks": "SELECT row_name, task FROM router_tasks WHERE refused",
+    "refused_tasks": "SELECT row_name, task, refused FROM router_tasks",
 }

@@ -126,6 +126,11 @@ def evict(spark: SparkSession, name: str, current: str, grace: float | None = No
             remove(spark, f"{home}/{n}")
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that is published."""
+    remove(spark, f"{shared_dir(spark)}/derived")
+
+
 def kept(df_of: Callable[[], DataFrame], spark: SparkSession, name: str, version: str, lasting: bool = True) -> DataFrame:
     """The table that df_of() makes, written once for a version of its inputs and read from then on."""
     return spark.read.parquet(published(spark, name, version, lambda path: df_of().write.parquet(path), lasting))
