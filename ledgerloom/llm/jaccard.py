@@ -42,7 +42,7 @@ BLOCK_BYTES, BLOCK_ROWS = 3 << 20, 16000
 #: Bits of a bitmap to an element, and sets to a side of a tile of bitmaps.
 BITS, SIDE = 8, 512
 #: Rounds in which hubs are compared; more or fewer change the work, not the result.
-HUBS = 2
+HUBS = 1
 #: Members of a meeting to a row.
 CHUNK = 4096
 _PAIR = np.dtype([("sig", "<u4"), ("at", "<u2")])
@@ -312,6 +312,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     one = rows.join(named.select("key").distinct(), "key").groupBy("key").agg(F.min(F.struct("doc_id", "said")).alias("r")).select("key", "r.doc_id", "r.said")
     packed = staged(texts.join(one, ["doc_id", "said"]).select("key", "text").mapInArrow(_pack_sets(width), "key binary, n long, bits binary, z binary"), "packed")
     sets = staged(named.join(packed.dropDuplicates(["key"]), "key").select("node", "n", "bits", "z"), "sets")
+    discard(packed)
 
     def verified(pairs: DataFrame) -> DataFrame:
         right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("z").alias("zb"))
@@ -334,12 +335,14 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
             break
         new, hubs = _by_hubs(mixed, links, used)
         used = used.unionByName(staged(hubs, "hubs"))
-        links = staged(links.unionByName(verified(new)), "links")
+        before, links = links, staged(links.unionByName(verified(new)), "links")
         comps = components(links)
-        mixed = staged(_mixed(mixed.select("list", "node"), comps), "mixed")
+        wider, mixed = mixed, staged(_mixed(mixed.select("list", "node"), comps), "mixed")
+        discard(before, wider)
     rest = staged(_tiles(mixed, sets, percent).distinct(), "rest")
     if not rest.isEmpty():
         comps = components(links.unionByName(verified(rest)))
+    discard(met, sets, links, mixed, rest)
     placed = rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
