@@ -8,12 +8,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from . import frames, sql
-from .functions import text
+from .functions import dates, text
 from .operators import aggregates, scoring
 from .plans import costs, gates, routing
 
 Query = Callable[..., DataFrame]
-STATEMENTS: dict[str, str] = scoring.QUERIES | aggregates.QUERIES | costs.QUERIES | routing.QUERIES | gates.QUERIES | text.QUERIES
+STATEMENTS: dict[str, str] = scoring.QUERIES | aggregates.QUERIES | costs.QUERIES | routing.QUERIES | gates.QUERIES | text.QUERIES | dates.QUERIES
 
 
 def _run(text: str, spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:

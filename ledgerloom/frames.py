@@ -5,12 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from . import sql, storage
@@ -165,29 +163,6 @@ def judge_verdicts(spark: SparkSession, sf_dir: str, tables: Tables = None) -> D
     return raw.select(*key, parse(parsing.strip_wrappers(F.col("raw")), "n").alias("v")).select(*key, "v.ok", "v.good", "v.claims")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def resolved(text: pd.Series, ref: pd.Series) -> pd.Series:
-    def one(t, r):
-        try:
-            return parsing.resolve_dates(t, date.fromisoformat(str(r)[:10]))
-        except ValueError:
-            return []
-
-    return pd.Series([one(t, r) for t, r in zip(text, ref, strict=True)])
-
-
-def dates(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
-    """Dates that texts mean; the phrases vary with the rows."""
-    d = sql.run(spark, sf_dir, """SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS STRING) AS ref, CASE o_orderkey % 5 WHEN 0 THEN 'see you next tuesday' WHEN 1 THEN 'in two weeks, or tomorrow' WHEN 2 THEN 'on the ' || (1 + o_orderkey % 28) || 'th' WHEN 3 THEN 'by 14 Oct. 2024 or this friday' ELSE o_clerk_like END AS text
-FROM (SELECT *, 'until ' || (1 + o_orderkey % 12) || '/11/2023, March ' || (1 + o_orderkey % 31) || 'th' AS o_clerk_like FROM orders) o""", tables)
-    return d.select("id", F.array_join(resolved("text", "ref"), ",").alias("dates"))
-
-
-def date_rederivable(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
-    d = sql.run(spark, sf_dir, "SELECT f.seq, f.said_value AS day, i.text, i.reference_date AS ref FROM enquiry_fields f JOIN enquiry_items i ON i.item_id = f.item_id AND i.split = f.split WHERE f.type = 'date' AND f.said IS NOT NULL", tables)
-    return d.select("seq", F.array_contains(resolved("text", "ref"), F.col("day")).alias("derivable"))
-
-
 #: Rows that the label baseline is fitted on at most, about, and terms of a vocabulary, which those rows bound as well.
 TRAIN, VOCABULARY = 3000, 1 << 20
 
@@ -278,16 +253,14 @@ def gate_numbers(spark: SparkSession, sf_dir: str, tables: Tables = None) -> Dat
 
 
 def gate_tables(spark: SparkSession, sf_dir: str, tables: Tables = None) -> dict[str, DataFrame]:
-    """What gates compare with beyond SQL, by models and numbers of calib: labels, the band, close matches, date phrases."""
+    """What gates compare with beyond SQL, by models and numbers of calib: labels, the band, close matches."""
     tables = dict(tables or {})
     topics = sql.run(spark, sf_dir, "SELECT item_id, split, text, gold FROM topic_items", tables)
     topic = topic_model(spark, sf_dir, tables)(topics).select("item_id", "split", F.col("predicted").alias("base_label"))
     numbers = gate_numbers(spark, sf_dir, tables)
     least = F.broadcast(numbers.select(F.col("grounding_ratio").alias("least")))  # one row
     close = grounded_fields(spark, sf_dir, tables, only_misses=True).crossJoin(least).filter("ratio >= least").select("seq", "field")
-    items = sql.run(spark, sf_dir, "SELECT split, item_id, text, reference_date FROM enquiry_items", tables)
-    days = items.select("split", "item_id", F.explode(resolved("text", "reference_date")).alias("day"))
-    return {"topic_baseline": topic, "match_band": numbers.select("threshold", "band_low", "band_high"), "grounded_more": close, "dates_derived": days}
+    return {"topic_baseline": topic, "match_band": numbers.select("threshold", "band_low", "band_high"), "grounded_more": close}
 
 
 def gates(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
@@ -346,8 +319,6 @@ QUERIES = {
     "parse_extraction": extraction,
     "parse_pii": parse_pii,
     "judge_verdict_parse": judge_verdicts,
-    "resolve_dates": dates,
-    "date_rederivable": date_rederivable,
     "tfidf_predict": tfidf,
     "gates": gates,
     "gate_context": thresholds,

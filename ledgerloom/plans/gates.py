@@ -1,14 +1,14 @@
 """Evidence gates: what an answer must show before a chain stops at it.
 
 Each kind's relation reads the parsed answer and its source text and gives (seq, passed, reason). What needs more than SQL
-(a close but not literal match, date phrases, learnt baselines) comes in as relations that can be replaced: ``grounded_more``,
-``dates_derived``, ``topic_baseline``; ``frames`` fills them with the full functions.
+(a close but not literal match, learnt baselines) comes in as relations that can be replaced: ``grounded_more``,
+``topic_baseline``; ``frames`` fills them with the full functions.
 """
 
 from __future__ import annotations
 
+from ..functions import dates, similarity  # noqa: F401  dates has the days that phrases mean
 from ..functions import macros as m
-from ..functions import similarity
 from ..functions import text as t
 from ..operators import aggregates, scoring  # noqa: F401
 from ..sql import relation
@@ -31,9 +31,8 @@ SELECT p.seq, CASE WHEN NOT p.ok THEN FALSE WHEN p.kind = 'baseline' OR s.score
 FROM match_parsed p LEFT JOIN pair_similarity s ON s.item_id = p.item_id AND s.split = p.split CROSS JOIN match_band b
 """)
 relation("country_hits", t.country_evidence("enquiry_items", ["split", "item_id"]))
-#: Values that stand in their source but for a few letters, and dates that phrases of the source mean: from ``frames``.
+#: Values that stand in their source but for a few letters: from ``frames``.
 relation("grounded_more", "SELECT CAST(NULL AS BIGINT) AS seq, CAST(NULL AS STRING) AS field WHERE FALSE")
-relation("dates_derived", "SELECT split, item_id, explode(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}', 0)) AS day FROM enquiry_items")
 relation("enquiry_evidence", f"""
 SELECT f.seq, f.pos, CASE WHEN f.said IS NULL THEN CASE WHEN f.required THEN 'missing_required:' || f.field END
   WHEN f.grounded THEN CASE WHEN {m.one_spaced('f.said')} <> '' AND (contains(lower({m.one_spaced('i.text')}), lower({m.one_spaced('f.said')})) OR g.seq IS NOT NULL) THEN NULL ELSE 'ungrounded:' || f.field END
