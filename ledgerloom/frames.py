@@ -15,7 +15,7 @@ from . import sql, storage
 from .functions import fuzzy, parsing
 from .operators.resampling import bootstrap_metric, corrected_rates, stratified_sample
 from .sources import rundir
-from .streaming import jobs
+from .streaming import budget, jobs
 
 Tables = dict[str, DataFrame] | None
 
@@ -336,4 +336,5 @@ STREAMS = {
     "stream_router_stats": jobs.running_totals,
     "stream_router_percentiles": jobs.running_percentiles,
     "stream_dedup": jobs.first_keys,
+    "budget_guard": budget.budget_guard,
 }
