@@ -233,3 +233,11 @@ def test_label_baseline_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = frames.tfidf(spark, str(tmp_path)).collect()
     assert len(got) == 80 and all(r["label"] == r["prediction"] for r in got)
+
+
+def test_seconds_of_completions_are_those_of_clocks(spark):
+    """A minute begins anew with its first second, whatever parts of a second the first event has."""
+    rows = [(0, "2024-01-01 00:00:11.9"), (1, "2024-01-01 00:00:12.1"), (2, "2024-01-01 01:00:11.1"), (3, "2024-01-01 01:00:10.95")]
+    events = spark.createDataFrame(rows, "event_id long, ts string").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts")
+    assert sorted(map(tuple, sql.run(spark, "", "SELECT event_id, t FROM completions", {"events": events}).collect())) == [(0, 0), (1, 1), (2, 3600), (3, 3599)]
+    assert sorted(map(tuple, catalog.over(spark, "per_minute_tph", {"events": events}).collect())) == [(0, 3, 180), (1, 1, 60)]
