@@ -241,3 +241,26 @@ def test_seconds_of_completions_are_those_of_clocks(spark):
     events = spark.createDataFrame(rows, "event_id long, ts string").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts")
     assert sorted(map(tuple, sql.run(spark, "", "SELECT event_id, t FROM completions", {"events": events}).collect())) == [(0, 0), (1, 1), (2, 3600), (3, 3599)]
     assert sorted(map(tuple, catalog.over(spark, "per_minute_tph", {"events": events}).collect())) == [(0, 3, 180), (1, 1, 60)]
+
+
+def test_places_of_texts_in_other_texts(spark):
+    """Spark's short ways equal the plain one: overlaps, nowhere, at both ends, signs of several bytes."""
+    from ledgerloom.functions import macros
+
+    texts = ["aaa", "abc", "x aé日aé", "  a \t\nb  ", "\n", "日 日", "ab", "a  b"]
+    rows = [(t, q) for t in texts for q in ["a", "aa", "aé", "日", "abcd", " ", "b  ", "é日a", "zz"]] + [(None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "t string, q string").selectExpr("t", "q", f"{macros.occurrences('t', 'q')} AS at", f"{macros.kept_places('t')} AS kept")
+    for r in df.collect():
+        if r.t is not None and r.q is not None:
+            assert (r.at or []) == [i + 1 for i in range(len(r.t)) if r.t.startswith(r.q, i)], (r.t, r.q)
+        if r.t is not None:
+            assert r.kept == [i + 1 for i, c in enumerate(r.t) if c not in macros.WS or i > 0 and r.t[i - 1] not in macros.WS], r.t
+
+
+def test_a_kept_table_is_looked_up_once_in_a_run(spark, monkeypatch):
+    from ledgerloom import storage
+
+    asked, published = [], storage.published
+    monkeypatch.setattr(storage, "published", lambda spark, name, *a: (asked.append(name), published(spark, name, *a))[1])
+    catalog.queries()["candidate_table"](spark, "/root/testdata/sf0.001")
+    assert len(asked) == len(set(asked)) and sum(n.startswith("covered-") for n in asked) == 1
