@@ -89,3 +89,37 @@ def test_recorded_spend(spark):
     moves = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() * 2
     assert len(rows) == moves and {"accepted", "refused", "settled", "released"} <= kinds
     assert all(r.spent_usd + r.reserved_usd <= 14.5 * 1.2 for r in rows)
+
+
+def test_rows_that_wait_are_no_state(spark, tmp_path):
+    """The same decisions by tables, for any order, repeats and gaps; a pass holds no entries that wait."""
+    rng = random.Random(5)
+    logs = {name: log_of(rng, name, n) for name, n in (("a", 160), ("b", 40), ("", 1))}
+    gap = [("c", 0, "reserve", "x", 1.0), ("c", 2, "settle", "x", 1.0), (None, 0, "reserve", "x", 1.0), ("d", 3, "reserve", "x", 1.0)]
+    entries = [e for log in logs.values() for e in log]
+    rng.shuffle(entries)
+    entries += rng.sample(entries, 30) + gap
+    want = {k: v for log in logs.values() for k, v in plain(log, 9.0, 4.0).items()} | {("c", 0): ("accepted", 0.0, 1.0, False)}
+    path, third = str(tmp_path / "log"), len(entries) // 3
+    for batch in (entries[:third], entries[third : 2 * third], [], entries[2 * third :]):
+        spark.createDataFrame(batch, ENTRIES).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(ENTRIES).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = budget.guarded_rows(stream, 9.0, 4.0).collect()
+    assert len({(r.ledger, r.place) for r in rows}) == len(rows)
+    assert {(r.ledger, r.place): (r.verdict, r.spent_usd, r.reserved_usd, r.warns) for r in rows} == want
+
+
+def test_a_pass_over_a_log_in_reverse_batches_is_a_stream():
+    """Far more entries that wait than fit a frame pass through without being held."""
+    import tracemalloc
+
+    import pandas as pd
+
+    def frames(n=200):
+        for i in range(n):
+            yield pd.DataFrame({"ledger": "a", "place": range(1 + i * 1000, 1001 + i * 1000), "kind": "reserve", "call": "c", "usd": 1.0})
+
+    tracemalloc.start()
+    rows = sum(len(f) for f in budget._passed(5.0, None)(frames()))
+    assert rows == 200_001 and tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
