@@ -264,3 +264,13 @@ def test_a_kept_table_is_looked_up_once_in_a_run(spark, monkeypatch):
     monkeypatch.setattr(storage, "published", lambda spark, name, *a: (asked.append(name), published(spark, name, *a))[1])
     catalog.queries()["candidate_table"](spark, "/root/testdata/sf0.001")
     assert len(asked) == len(set(asked)) and sum(n.startswith("covered-") for n in asked) == 1
+
+
+def test_large_tables_in_small_files_arent_broadcast(spark):
+    """A file's bytes say little of its rows; what is small indeed is broadcast still."""
+    from ledgerloom import storage
+
+    many = storage.kept(lambda: spark.range(500_000).selectExpr("id AS seq", "'x' AS reason", "'a label' AS model_id"), spark, "many", "v")
+    few = storage.kept(lambda: spark.range(20).coalesce(1).selectExpr("id AS seq", "'x' AS reason"), spark, "few", "v")
+    plan = lambda right: sql.run(spark, "", "SELECT c.model_id, g.reason FROM calls c JOIN gate_results g ON g.seq = c.seq", {"calls": many, "gate_results": right})._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan(many) and "BroadcastHashJoin" in plan(few)
