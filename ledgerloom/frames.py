@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from . import sql, storage
 from .functions import fuzzy, parsing
+from .operators.baseline import LabelBaseline, label_baseline
 from .operators.resampling import bootstrap_metric, corrected_rates, stratified_sample
 from .sources import rundir
 from .streaming import budget, jobs
@@ -163,58 +164,6 @@ def judge_verdicts(spark: SparkSession, sf_dir: str, tables: Tables = None) -> D
     return raw.select(*key, parse(parsing.strip_wrappers(F.col("raw")), "n").alias("v")).select(*key, "v.ok", "v.good", "v.claims")
 
 
-#: Rows that the label baseline is fitted on at most, about, and terms of a vocabulary, which those rows bound as well.
-TRAIN, VOCABULARY = 3000, 1 << 20
-
-
-def label_baseline(train: DataFrame, text: str, label: str) -> "LabelBaseline":
-    """Fit on about TRAIN rows of train: words of two characters and more and pairs of them, smoothed inverse frequencies, unit length, a linear model.
-
-    The vocabulary is that of the rows of the fit, each term with a number of its own.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
-    from pyspark.ml.linalg import Vectors
-
-    n = train.count()
-    chance = min(1.0, TRAIN / max(1, n))
-    some = train.filter(F.pmod(F.xxhash64(text, label, F.lit(7)), F.lit(1 << 30)) < int(chance * (1 << 30)) + 1) if n > TRAIN else train
-    some = storage.scratch(some.select(text, label), "train")
-    counted = lambda i: CountVectorizer(inputCol=f"w{i}", outputCol=f"t{i}", vocabSize=VOCABULARY)
-    words = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="w1", pattern="(?U)\\b\\w\\w+\\b", gaps=False), NGram(n=2, inputCol="w1", outputCol="w2"), counted(1), counted(2), VectorAssembler(inputCols=["t1", "t2"], outputCol="tf")]).fit(some)
-    idf = IDF(inputCol="tf", outputCol="weighted").fit(words.transform(some))
-    smooth = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="tf", outputCol="scaled")
-    unit = Normalizer(p=2.0, inputCol="scaled", outputCol="features")
-    index = StringIndexer(inputCol=label, outputCol="label_ix", stringOrderType="alphabetAsc")
-    linear = LogisticRegression(labelCol="label_ix", maxIter=20, regParam=1.0 / max(1, min(n, TRAIN)), standardization=False, family="multinomial")
-    tail = Pipeline(stages=[smooth, unit, index, linear]).fit(words.transform(some))
-    return LabelBaseline(words, tail)
-
-
-class LabelBaseline:
-    """A fitted baseline that predicts labels, and that a folder can hold."""
-
-    def __init__(self, words, tail) -> None:
-        self.words, self.tail = words, tail
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        smooth, unit, index, linear = self.tail.stages
-        scored = linear.transform(unit.transform(smooth.transform(self.words.transform(df))))
-        said = F.get(F.array(*map(F.lit, index.labels)), F.col("prediction").cast("int"))
-        return scored.select(*df.columns, said.alias("predicted"))
-
-    def save(self, path: str) -> None:
-        self.words.save(f"{path}/words")
-        self.tail.save(f"{path}/tail")
-
-    @staticmethod
-    def load(path: str) -> "LabelBaseline":
-        from pyspark.ml import PipelineModel
-
-        return LabelBaseline(PipelineModel.load(f"{path}/words"), PipelineModel.load(f"{path}/tail"))
-
-
 def tfidf(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:
     """Languages of the documents outside of the training split."""
     docs = sql.run(spark, sf_dir, "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents", tables)
@@ -238,7 +187,7 @@ def topic_model(spark: SparkSession, sf_dir: str, tables: Tables = None) -> Labe
     rows = "SELECT text, gold FROM topic_items WHERE split = 'calib'"
     version, lasting = _version(spark, sf_dir, rows, tables)
     fit = lambda path: label_baseline(sql.run(spark, sf_dir, rows, tables), "text", "gold").save(path)
-    return LabelBaseline.load(storage.published(spark, "topic_model", version, fit, lasting))
+    return LabelBaseline.load(storage.published(spark, "topic_weights", version, fit, lasting))
 
 
 def gate_numbers(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:

@@ -82,3 +82,38 @@ def test_vocabulary_has_no_collisions(spark):
     rows = spark.createDataFrame([(f"word{i} common text", f"l{i % 2}") for i in range(1500)] * 2, "text string, label string")
     got = frames.label_baseline(rows, "text", "label")(rows.distinct()).collect()
     assert all(r["label"] == r["predicted"] for r in got)
+
+
+def test_baseline_is_the_best_fit_by_tables_of_terms(spark, monkeypatch):
+    """Weights by terms are a table's rows; slopes of the plain dense problem vanish at them; a saved model says the same."""
+    import math
+    import re
+    import tempfile
+
+    import numpy as np
+
+    texts = ["red apple pie", "green apple tart", "blue sky high", "sky is blue", "apple sky", "", "Red red APPLE x y"]
+    rows = [(t, f"l{i % 3}") for i, t in enumerate(texts * 3)] + [("red apple pie", "l0")] * 4
+    df = spark.createDataFrame(rows, "text string, label string")
+    monkeypatch.setattr(frames, "VOCABULARY", 1, raising=False)
+    model = frames.label_baseline(df, "text", "label")
+    table = {r["term"]: r for r in model.terms.collect()}
+    words = [re.findall(r"\b\w\w+\b", t.lower()) for t, _ in rows]
+    terms = [w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] for w in words]
+    names = sorted({t for ts in terms for t in ts})
+    table = {t: table.pop(h) for t, h in spark.createDataFrame([(t,) for t in names], "t string").selectExpr("t", "xxhash64(t)").collect()} | table
+    assert sorted(table) == names
+    idf = {t: math.log((len(rows) + 1) / (sum(t in ts for ts in terms) + 1)) + 1 for t in names}
+    assert all(abs(table[t]["idf"] - idf[t]) < 1e-12 for t in names)
+    x = np.array([[ts.count(t) * idf[t] for t in names] for ts in terms])
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    y = np.array([[label == s for s in model.labels] for _, label in rows])
+    w, b = np.array([table[t]["weights"] for t in names]), np.array(model.bases)
+    chances = np.exp(x @ w + b)
+    left = (chances / chances.sum(1, keepdims=True) - y) / len(rows)
+    assert abs(x.T @ left + w / len(rows)).max() < 1e-4 and abs(left.sum(0)).max() < 1e-4 and abs(w).max() > 0.3
+    scores = {t: dict(zip(model.labels, s, strict=True)) for (t, _), s in zip(rows, x @ w + b, strict=True)}
+    want = sorted(map(tuple, model(df.select("text")).collect()))
+    assert [t for t, _ in want] == sorted(t for t, _ in rows) and all(scores[t][said] > max(scores[t].values()) - 1e-9 for t, said in want)
+    model.save(at := tempfile.mkdtemp() + "/model")
+    assert sorted(map(tuple, frames.LabelBaseline.load(at)(df.select("text")).collect())) == want
