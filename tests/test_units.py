@@ -274,3 +274,11 @@ def test_large_tables_in_small_files_arent_broadcast(spark):
     few = storage.kept(lambda: spark.range(20).coalesce(1).selectExpr("id AS seq", "'x' AS reason"), spark, "few", "v")
     plan = lambda right: sql.run(spark, "", "SELECT c.model_id, g.reason FROM calls c JOIN gate_results g ON g.seq = c.seq", {"calls": many, "gate_results": right})._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan(many) and "BroadcastHashJoin" in plan(few)
+
+
+def test_the_driver_keeps_little_of_statements(spark):
+    for name in sql.LEAN:
+        spark.conf.unset(name)
+    spark.conf.unset("spark.sql.sources.fileCompressionFactor")
+    sql.run(spark, "", "SELECT * FROM fields")
+    assert all(spark.conf.get(name) == value for name, value in sql.LEAN.items())
