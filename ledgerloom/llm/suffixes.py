@@ -43,7 +43,9 @@ from .shingles import _BYTE, mix, powers
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1
 #: Bytes to a segment of a text and to a block of segments (below 2**24).
-SEGMENT, BLOCK = 1 << 20, 2 << 20
+SEGMENT, BLOCK = 1 << 18, 2 << 20
+#: Bytes whose places are fingerprinted at once, about; each takes some 200 bytes of memory meanwhile.
+PIECE = 1 << 18
 #: Rows of the sample for the splitters, about, and suffixes that each gives.
 SAMPLE, EACH = 1000, 50
 NO_ID = -(1 << 63)
@@ -105,6 +107,20 @@ def suffix_rows(segments: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]
     }
 
 
+def block_rows(segments: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
+    """``suffix_rows`` of a block, by pieces of it: places see their own segment alone."""
+    parts, held, size = [], [], 0
+    for s in segments:
+        held.append(s)
+        size += len(s[2])
+        if size >= PIECE:
+            parts.append(suffix_rows(held))
+            held, size = [], 0
+    if held or not parts:
+        parts.append(suffix_rows(held))
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+
 def segments_of(doc: int, raw: bytes) -> list[tuple[int, int, bytes]]:
     return [(doc, i, raw[i : i + SEGMENT + LENGTH - 1]) for i in range(0, len(raw) - LENGTH + 1, SEGMENT)]
 
@@ -218,7 +234,7 @@ def _send(splitters: np.ndarray) -> Callable:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segments in _blocks(batches):
-            rows = suffix_rows(segments)
+            rows = block_rows(segments)
             order, later = repeats(rows)
             doc, start, end = _spans(rows, order[later])
             sent = order[~later]
@@ -353,7 +369,7 @@ def sample_splitters(texts: DataFrame, ranges: int) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segments in _blocks(batches):
-            tokens = sort_tokens(suffix_rows(segments))
+            tokens = sort_tokens(block_rows(segments))
             step = max(1, len(tokens[0]) // (EACH * len(segments)))
             yield pa.RecordBatch.from_arrays([pa.array(t[::step].view(np.int64)) for t in tokens], names=names)
 

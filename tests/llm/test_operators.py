@@ -809,3 +809,22 @@ def test_pseudonyms_inside_longer_finds():
     assert not found("on 13/32/2020") and not found("1 612 345 678 of 0.5 12345678")
     days = {pii.day(f"{m:02d}/{d:02d}/{y}", b"k") for y in (2019, 2020) for m in range(1, 13) for d in range(13, 29)}
     assert len(days) == 384 and all(int(d[:2]) <= 12 < int(d[3:5]) for d in days)
+
+
+def test_suffixes_of_a_block_are_picked_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    text = "".join(chr(97 + x % 26) for x in np.random.default_rng(5).integers(0, 26, 2_500_000).tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text[:300_000]])], names=["doc", "text"])
+    work = suffixes._send(np.empty((0, 7), np.uint64))
+    tracemalloc.start()
+    out = list(work(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out and peak < 200e6, peak
+    segments = suffixes.segments_of(1, text.encode()[:700_000])
+    whole = suffixes.suffix_rows(segments)
+    assert all((x == whole[c]).all() for c, x in suffixes.block_rows(segments).items())
