@@ -58,22 +58,21 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     codes, size = [clear], clear + 2
     put, touch = codes.append, touched.append
     at = data[0] << 8 if data else -1
+    entry, full = size << 8, FULL << 8
     for b in data[1:]:
-        known = child[at + b]
-        if known:
-            at = known
+        if at := child[k := at + b]:
             continue
-        put(at >> 8)
-        if size < FULL:
-            child[at + b] = size << 8
-            touch(at + b)
-            size += 1
+        put(k >> 8)
+        if entry < full:
+            child[k] = entry
+            touch(k)
+            entry += 256
         else:
             runs.append(codes)
             for k in touched:
                 child[k] = 0
             touched.clear()
-            codes, size = [clear], clear + 2
+            codes, entry = [clear], clear + 2 << 8
             put = codes.append
         at = b << 8
     if at >= 0:
@@ -105,39 +104,41 @@ def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
         raise ValueError(f"code size {bits}")
     stream = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
     clear, first = 1 << bits, (1 << bits) + 2
-    out, starts, at = bytearray(), [], 0  # starts: where in out each code of the run has put its string
-    while len(out) < limit:
-        size = first + max(0, len(starts) - 1)  # of the table; a string and its next byte are an entry
+    fresh = [*(bytes([b]) for b in range(clear)), b"", b""]
+    table, before, parts, done, at = fresh.copy(), b"", [], 0, 0  # the table's strings; the one before in the run; bytes that came
+    while done < limit:
+        size = len(table)  # a string and the next one's first byte are an entry
         width = min(12, size.bit_length())
         some = _codes(stream, at, CHUNK if width == 12 else (1 << width) - size, width)
         if not len(some):
             break
         stop = np.flatnonzero((some == clear) | (some == clear + 1))
         end = int(stop[0]) if len(stop) else len(some)
-        here, count = len(out), len(starts)
-        note, add = starts.append, out.append
-        for code in some[:end].tolist():
-            note(here)
-            if code < clear:
-                add(code)
-                here += 1
+        came, codes = len(parts), some[:end].tolist()
+        put, grow = parts.append, table.append
+        if codes and not before:  # the first of a run makes no entry
+            if codes[0] >= clear:
+                raise ValueError("code beyond the table")
+            put(before := table[codes.pop(0)])
+        for code in codes:
+            if code < size:
+                string = table[code]
+            elif code == size < FULL:  # the string that is being written
+                string = before + before[:1]
             else:
-                k = code - first  # the k-th code's string and the byte after it
-                if k >= count or k >= FULL - first:
-                    raise ValueError("code beyond the table")
-                low, high = starts[k], starts[k + 1] + 1
-                if high > here:  # the string that is being written
-                    out += out[low:here] + out[low : low + 1]
-                else:
-                    out += out[low:high]
-                here += high - low
-            count += 1
+                raise ValueError("code beyond the table")
+            put(string)
+            if size < FULL:
+                grow(before + string[:1])
+                size += 1
+            before = string
+        done += sum(map(len, parts[came:]))
         at += width * (end + (1 if len(stop) else 0))
         if len(stop):
             if some[end] == clear + 1:
                 break
-            starts = []
-    return bytes(out[:limit])
+            table, before = fresh.copy(), b""
+    return b"".join(parts)[:limit]
 
 
 # --- files ---
