@@ -107,7 +107,10 @@ class ByteBPE:
             lengths.setdefault(b[:LEAD], {1, 2}).add(len(b))
         self.lengths = {b: tuple(sorted(n, reverse=True)) for b, n in lengths.items() if len(b) == LEAD}
         #: Tokens that merging their own bytes gives; others are never taken from a proposal.
-        self.sound = np.array([not b or len(b) == 1 or self.merged(b) == [i] for i, b in enumerate(self.bytes_of)])
+        self.sound = np.ones(size, bool)
+        some = [i for i, b in enumerate(self.bytes_of) if len(b) > 1]
+        for i, x in zip(some, self.merged_all([self.bytes_of[i] for i in some]), strict=True):
+            self.sound[i] = x == [i]
         self.stats = {"words": 0, "merged": 0}
 
     def _cutters(self, special: dict[str, int]) -> None:
@@ -195,6 +198,18 @@ class ByteBPE:
             rank[row[has], at[has] - 1] = self.ranks(ids[row[has], at[has] - 1], ids[row[has], at[has]])
         return out
 
+    def merged_all(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of words of any lengths."""
+        out: list[list[int]] = [[]] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(next((n for n in TOGETHER if len(w) <= n), 0), []).append(i)
+        for n, group in groups.items():
+            some = [words[i] for i in group]
+            for i, x in zip(group, self.merged_together(some) if n else map(self.merged, some), strict=True):
+                out[i] = x
+        return out
+
     def check_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the bytes of each pair of tokens gives the pair.
 
@@ -236,13 +251,8 @@ class ByteBPE:
             bad[owner[seam[~holds[back]]]] = True
         failed = np.flatnonzero(bad).tolist()
         self.stats["merged"] += len(failed)
-        groups: dict[int, list[int]] = {}
-        for i in failed:
-            groups.setdefault(next((n for n in TOGETHER if len(words[i]) <= n), 0), []).append(i)
-        for n, group in groups.items():
-            some = [words[i] for i in group]
-            for i, x in zip(group, self.merged_together(some) if n else map(self.merged, some), strict=True):
-                out[i] = x
+        for i, x in zip(failed, self.merged_all([words[i] for i in failed]), strict=True):
+            out[i] = x
         return out
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:

@@ -294,6 +294,16 @@ def fuzz(n):
     return ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(n)]
 
 
+def test_packing_encodes_a_piece_once_in_a_large_table(monkeypatch):
+    tokens, new = packing.LibraryTokens(VOCABULARY), []
+    assert tokens.sound.tolist() == [len(b) < 2 or tokens.merged(b) == [i] for i, b in enumerate(tokens.bytes_of)]
+    monkeypatch.setattr(tokens, "encode_new", lambda pieces: new.extend(pieces) or dict.fromkeys(pieces, b""))
+    texts = [" ".join(map(str, range(at, at + 100_000))) for at in range(0, 500_000, 100_000)]
+    for text in texts + texts:
+        tokens.encode_batch([text])
+    assert len(new) == len(set(new)) > 499_000
+
+
 def test_bpe_equals_library():
     own, fast, lib = bpe.ByteBPE(VOCABULARY), packing.LibraryTokens(VOCABULARY), library()
     texts = [t or "" for t in sample_texts()] + fuzz(3000)
