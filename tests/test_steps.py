@@ -59,3 +59,14 @@ def test_pairs_are_compared_on_all_cores(spark):
     files = {r[0] for r in sql.run(spark, "", "SELECT input_file_name() FROM pair_similarity", given).distinct().collect()}
     want = sql.run(spark, "", similarity.scored("match_pairs", ["item_id", "split", "gold_match"]), given)
     assert len(files) > 4 and told(sql.run(spark, "", "SELECT * FROM pair_similarity", given)) == told(want)
+
+
+def test_trims_and_words_ends_without_slow_patterns(spark):
+    words = [None, "", " \t\v", "a", "\f a\n b\r\n", " a ", "a  ", " \x85 é \x85", "a  "]
+    df = {"words": spark.createDataFrame([(w,) for w in words], "w string")}
+    assert "/*<*/btrim(" in m.trimmed("w") and told(sql.run(spark, "", f"SELECT w, {m.trimmed('w')} AS x FROM words", df)) == sorted(((w, w and w.strip(m.WS)) for w in words), key=repr)
+    texts = {"texts": spark.createDataFrame([(s,) for s in [*SAID, "3/4 5/6 7/8", "é3/4é _3/4", "x-2024-01-02 2024-01-023", " April 3\u0085", "3rd  May4 3 Mayé", "2k 3.5K, 4kg 5k"]], "w string")}
+    for text in (m.day_then_month("w"), m.month_then_day("w"), m.slash_days("w"), m.iso_days("w"), t.thousands_in("w")):
+        ours = re.sub(r"/\*\|.*?>\*/", "", text, flags=re.S)
+        assert m.OTHER not in ours and told(sql.run(spark, "", f"SELECT w, {text} AS x FROM texts", texts)) == told(sql.run(spark, "", f"SELECT w, {theirs(text)} AS x FROM texts", texts))
+    assert m.OTHER not in t.country_hits("texts", ["w"])
