@@ -282,3 +282,14 @@ def test_the_driver_keeps_little_of_statements(spark):
     spark.conf.unset("spark.sql.sources.fileCompressionFactor")
     sql.run(spark, "", "SELECT * FROM fields")
     assert all(spark.conf.get(name) == value for name, value in sql.LEAN.items())
+
+
+def test_throughput_is_counted_by_minutes(spark):
+    """Sixty seconds from the first completion make a minute, to the part of a second; one without completions has zero; none, no minutes."""
+    times = ["00:00:11.9", "00:01:11.8", "00:01:11.9", "00:04:00", "00:04:12", None]
+    events = spark.createDataFrame([(t and f"2024-01-01 {t}",) for t in times], "ts string").selectExpr("CAST(ts AS timestamp_ntz) AS ts")
+    got = lambda rows: sorted(map(tuple, catalog.over(spark, "per_minute_tph", {"events": rows}).collect()))
+    assert got(events) == [(0, 2, 120), (1, 1, 60), (2, 0, 0), (3, 1, 60), (4, 1, 60)]
+    days = events.limit(1).unionByName(spark.sql("SELECT CAST('2024-01-03 00:00:11.9' AS timestamp_ntz) AS ts"))
+    assert [m for m, n, _ in got(days) if n] == [0, 2880] and len(got(days)) == 2881
+    assert got(events.limit(0)) == got(events.filter("ts IS NULL")) == []
