@@ -187,7 +187,7 @@ def topic_model(spark: SparkSession, sf_dir: str, tables: Tables = None) -> Labe
     rows = "SELECT text, gold FROM topic_items WHERE split = 'calib'"
     version, lasting = _version(spark, sf_dir, rows, tables)
     fit = lambda path: label_baseline(sql.run(spark, sf_dir, rows, tables), "text", "gold").save(path)
-    return LabelBaseline.load(storage.published(spark, "topic_weights", version, fit, lasting))
+    return LabelBaseline.load(storage.published(spark, "topic_blocks", version, fit, lasting))
 
 
 def gate_numbers(spark: SparkSession, sf_dir: str, tables: Tables = None) -> DataFrame:

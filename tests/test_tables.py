@@ -1,9 +1,11 @@
 """Documents merged as tables, ledgers that stay equal, models and numbers of gates that are kept."""
 
 import json
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom import catalog, frames, storage  # noqa: F401  the catalog registers the relations
 from ledgerloom.sources import rundir
@@ -117,3 +119,27 @@ def test_baseline_is_the_best_fit_by_tables_of_terms(spark, monkeypatch):
     assert [t for t, _ in want] == sorted(t for t, _ in rows) and all(scores[t][said] > max(scores[t].values()) - 1e-9 for t, said in want)
     model.save(at := tempfile.mkdtemp() + "/model")
     assert sorted(map(tuple, frames.LabelBaseline.load(at)(df.select("text")).collect())) == want
+
+
+def test_baseline_is_fitted_on_all_rows(spark, monkeypatch):
+    """Beyond any sample: each of 8,000 rows has a word of its own that alone tells its label; blocks of any size say the same."""
+    from ledgerloom.operators import baseline
+
+    rows = spark.range(8000).selectExpr("concat('word', id, ' common text') AS text", "CASE WHEN id % 10 < 9 THEN concat('l', id % 2) END AS label")
+    model, fits = frames.label_baseline(rows, "text", "label"), []
+    table = {r["term"]: r for r in model.terms.collect()}
+    assert len(table) == 2 * 7200 + 3 and model.labels == ["l0", "l1"]
+    assert {round(r["idf"], 9) for r in table.values()} == {1.0, round(math.log(7201 / 2) + 1, 9)}
+    said = lambda m, df: sorted(map(tuple, m(df).collect()), key=str)
+    assert all(r[2] == r[1] for r in said(model, rows.filter("label IS NOT NULL").withColumn("more", F.lit(1)).select("text", "label")))
+    monkeypatch.setattr(baseline, "ENTRIES", 3000)
+    fits.append(frames.label_baseline(rows, "text", "label"))
+    assert fits[0].bits > model.bits == 0
+    for term, r in {r["term"]: r for r in fits[0].terms.collect()}.items():
+        assert r["idf"] == table[term]["idf"] and r["weights"] == pytest.approx(table[term]["weights"], abs=1e-4)
+    odd = spark.createDataFrame([(None,), ("",), ("word1 common text",), ("word1 common text",), ("unheard of",)], "text string")
+    want = said(model, rows.select("text").unionByName(odd))
+    for bits in (500, 3000):  # blocks of predictions finer than those of the fit
+        monkeypatch.setattr(baseline, "ENTRIES", bits)
+        assert said(fits[0], rows.select("text").unionByName(odd)) == want == said(model, rows.select("text").unionByName(odd))
+    assert said(model, odd.limit(0)) == [] and said(frames.label_baseline(rows.limit(0), "text", "label"), odd.filter("text IS NULL OR text = ''")) == [("", None), (None, None)]
